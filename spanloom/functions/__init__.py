@@ -1,4 +1,6 @@
+from .expr import Expr, S, column, expr, let
 from .paths import NodePath, node_path
+from .text import tokenize, tokenized
 from .tree import (
     TREE_TYPE,
     can_update,
@@ -6,14 +8,16 @@ from .tree import (
     has_children,
     is_defined,
     leaf_tree,
-    let,
     name_at,
+    name_in,
     name_is,
     render,
+    render_at,
     require_name,
     subtree,
     tree_from_json,
     tree_from_text,
     tree_from_text_shallow,
     update,
+    update_in,
 )

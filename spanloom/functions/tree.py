@@ -13,16 +13,14 @@ makes no sense makes that string NULL, and NULL sticks, so malformed text ends
 as a NULL tree and never as a wrong one.
 
 Lambdas are evaluated as written, without common-subexpression elimination:
-whatever is needed twice is bound once, with :func:`let` or as a fold field.
+whatever is needed twice is bound once, with ``let`` or as a fold field.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from .expr import Expr, S, expr, let
 from .paths import NodePath, node_path
 
 TREE_TYPE = "struct<path:array<string>,name:array<string>>"
@@ -41,168 +39,169 @@ _SORTED_TOKEN = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 # --------------------------------------------------------------------------
 # the fold
 
 
-def _standing(stem: Column, index: Column, seen: Column) -> Column:
-    return F.struct(
-        stem.cast("string").alias("stem"), index.cast("int").alias("index"), seen.cast("string").alias("seen")
+def _as(value: object, type_: str) -> Expr:
+    return S.lit(value).cast(type_)
+
+
+def _standing(stem: object, index: object, seen: object) -> Expr:
+    return S.struct(
+        stem=_as(stem, "string"), index=_as(index, "int"), seen=_as(seen, "string")
     )
 
 
-def _up(at: Column, seen: Column) -> Column:
+def _up(at: Expr, seen: Expr) -> Expr:
     """Leave the current node: "3.2." becomes "3." and 2; the root has no index."""
-    parent = F.left(at["stem"], F.length(at["stem"]) - 1)
-    index = F.substring_index(parent, ".", -1)
-    stem = F.left(parent, F.length(parent) - F.length(index))
-    outermost = _standing(F.lit(""), F.lit(None), F.when(at["index"].isNotNull(), seen))
-    return F.when(at["stem"] == "", outermost).otherwise(_standing(stem, index.try_cast("int"), seen))
+    parent = S.left(at["stem"], S.length(at["stem"]) - 1)
+    index = S.substring_index(parent, ".", -1)
+    stem = S.left(parent, S.length(parent) - S.length(index))
+    outermost = _standing("", S.lit(None), S.when(at["index"].is_not_null(), seen))
+    return S.when(at["stem"] == "", outermost).otherwise(_standing(stem, index.try_cast("int"), seen))
 
 
-def _next(at: Column) -> Column:
+def _next(at: Expr) -> Expr:
     return (at["index"] + 1).cast("string")
 
 
-def _noted(at: Column, *address: Column) -> Column:
-    return F.concat(at["seen"], F.lit(","), at["stem"], *address)
+def _noted(at: Expr, *address: Expr) -> Expr:
+    return S.concat(at["seen"], ",", at["stem"], *address)
 
 
-def _tail(items: Column) -> Column:
-    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+def _tail(items: Expr) -> Expr:
+    return S.slice(items, 2, S.greatest(S.size(items) - 1, 0))
 
 
-def _tree(paths: Column, names: Column) -> Column:
-    return F.struct(paths.alias("path"), names.alias("name"))
+def _tree(paths: Expr, names: Expr) -> Expr:
+    return S.struct(path=paths, name=names)
 
 
 # --------------------------------------------------------------------------
 # JSON
 
 
-def _unescape_all(text: Column, names: Column) -> Column:
-    def unescape(inner: Column) -> Column:
-        quoted = F.concat(F.lit('"'), inner, F.lit('"'))
-        value = F.try_variant_get(F.try_parse_json(quoted), "$", "string")
-        return F.when(inner.contains("\\"), value).otherwise(inner)
+def _unescape_all(text: Expr, names: Expr) -> Expr:
+    def unescape(inner: Expr) -> Expr:
+        quoted = S.concat('"', inner, '"')
+        value = S.try_variant_get(S.try_parse_json(quoted), "$", "string")
+        return S.when(inner.contains("\\"), value).otherwise(inner)
 
-    return F.when(text.contains("\\"), F.transform(names, unescape)).otherwise(names)
+    return S.when(text.contains("\\"), S.transform(names, unescape)).otherwise(names)
 
 
-def _leaf(token: Column) -> Column:
+def _leaf(token: Expr) -> Expr:
     return token.startswith('"') | (token == "null")
 
 
-def _json_fold(tokens: Column, opens: Callable, mark: str) -> Column:
+def _json_fold(tokens: Expr, opens: Callable, mark: str) -> Expr:
     """Addresses of all tokens that begin a node; ``mark`` is noted on closing."""
 
-    def step(at: Column, token: Column) -> Column:
+    def step(at: Expr, token: Expr) -> Expr:
         return (
-            F.when(_leaf(token), _standing(at["stem"], at["index"] + 1, _noted(at, _next(at))))
+            S.when(_leaf(token), _standing(at["stem"], at["index"] + 1, _noted(at, _next(at))))
             .when(
                 opens(token),
-                _standing(F.concat(at["stem"], _next(at), F.lit(".")), F.lit(0), _noted(at, _next(at))),
+                _standing(S.concat(at["stem"], _next(at), "."), 0, _noted(at, _next(at))),
             )
             .when(
                 token.startswith("]"),
-                _up(at, F.concat(at["seen"], F.lit("," + mark), at["stem"]) if mark else at["seen"]),
+                _up(at, S.concat(at["seen"], "," + mark, at["stem"]) if mark else at["seen"]),
             )
-            .otherwise(_standing(F.lit(""), F.lit(None), F.lit(None)))
+            .otherwise(_standing("", S.lit(None), S.lit(None)))
         )
 
-    first = F.get(tokens, F.lit(0))
+    first = S.get(tokens, 0)
     # An opened root stands before its first child; a leaf root is already over.
     start = (
-        F.when(opens(first), _standing(F.lit(""), F.lit(0), F.lit("")))
-        .when(_leaf(first), _standing(F.lit(""), F.lit(None), F.lit("")))
-        .otherwise(_standing(F.lit(""), F.lit(None), F.lit(None)))
+        S.when(opens(first), _standing("", 0, ""))
+        .when(_leaf(first), _standing("", S.lit(None), ""))
+        .otherwise(_standing("", S.lit(None), S.lit(None)))
     )
-    return F.aggregate(
-        _tail(tokens), start, step, lambda at: F.when(at["index"].isNull(), at["seen"])
+    return S.aggregate(
+        _tail(tokens), start, step, lambda at: S.when(at["index"].is_null(), at["seen"])
     )
 
 
-def _from_writer_order(text: Column) -> Column:
-    opens = lambda t: (t.startswith("{") & (F.length(t) > 1)) | (t == "[")
+def _from_writer_order(text: Expr) -> Expr:
+    opens = lambda t: (t.startswith("{") & (S.length(t) > 1)) | (t == "[")
     frame = len('{"type":"')
 
-    def name(token: Column) -> Column:
-        size = F.length(token)
+    def name(token: Expr) -> Expr:
+        size = S.length(token)
         return (
-            F.when(token.startswith('"'), F.substring(token, F.lit(2), size - 2))
-            .when(token == "[", F.lit(""))
+            S.when(token.startswith('"'), S.substring(token, 2, size - 2))
+            .when(token == "[", "")
             .when(token == "null", token)
-            .otherwise(F.substring(token, F.lit(frame + 1), size - frame - len('","fields":[')))
+            .otherwise(S.substring(token, S.lit(frame + 1), size - frame - len('","fields":[')))
         )
 
-    def build(tokens: Column) -> Column:
-        names = F.transform(F.filter(tokens, lambda t: ~t.startswith("]")), name)
+    def build(tokens: Expr) -> Expr:
+        names = S.transform(S.filter(tokens, lambda t: ~t.startswith("]")), name)
         return let(
             _json_fold(tokens, opens, mark=""),
-            lambda seen: F.when(
-                seen.isNotNull(), _tree(F.split(seen, ",", -1), _unescape_all(text, names))
+            lambda seen: S.when(
+                seen.is_not_null(), _tree(S.split(seen, ",", -1), _unescape_all(text, names))
             ),
         )
 
-    return let(F.regexp_extract_all(text, F.lit(_WRITER_TOKEN), F.lit(0)), build)
+    return let(S.regexp_extract_all(text, _WRITER_TOKEN, 0), build)
 
 
-def _from_key_order(text: Column) -> Column:
+def _from_key_order(text: Expr) -> Expr:
     """Decode ``{"fields":[…],"type":…}``, where an object's name follows its children."""
     opens = lambda t: (t == '{"fields":[') | (t == "[")
 
-    def build(tokens: Column) -> Column:
-        def finish(seen: Column) -> Column:
-            def name(address: Column, token: Column) -> Column:
+    def build(tokens: Expr) -> Expr:
+        def finish(seen: Expr) -> Expr:
+            def name(address: Expr, token: Expr) -> Expr:
                 # A closing token was noted as "!" and the stem of the node it closes.
-                note = F.concat(F.lit("!"), F.when(address != "", F.concat(address, F.lit("."))).otherwise(""))
-                close = F.get(tokens, F.array_position(seen, note).cast("int") - 1)
+                note = S.concat("!", S.when(address != "", S.concat(address, ".")).otherwise(""))
+                close = S.get(tokens, S.array_position(seen, note).cast("int") - 1)
                 return (
-                    F.when(token == "null", token)
-                    .when(token.startswith('"'), F.substring(token, F.lit(2), F.length(token) - 2))
-                    .when(token == "[", F.lit(""))
-                    .otherwise(F.regexp_extract(close, r'(?s)^\],"type":"(.*)"\}$', 1))
+                    S.when(token == "null", token)
+                    .when(token.startswith('"'), S.substring(token, 2, S.length(token) - 2))
+                    .when(token == "[", "")
+                    .otherwise(S.regexp_extract(close, r'(?s)^\],"type":"(.*)"\}$', 1))
                 )
 
-            nodes = F.filter(
-                F.zip_with(
+            nodes = S.filter(
+                S.zip_with(
                     seen,
                     tokens,
-                    lambda a, t: F.when(
-                        ~t.startswith("]"), F.struct(a.alias("path"), name(a, t).alias("name"))
+                    lambda a, t: S.when(
+                        ~t.startswith("]"), S.struct(path=a, name=name(a, t))
                     ),
                 ),
-                lambda n: n.isNotNull(),
+                lambda n: n.is_not_null(),
             )
             whole = let(nodes, lambda n: _tree(n["path"], _unescape_all(text, n["name"])))
-            return F.when(seen.isNotNull(), whole)
+            return S.when(seen.is_not_null(), whole)
 
-        return let(F.split(_json_fold(tokens, opens, mark="!"), ",", -1), finish)
+        return let(S.split(_json_fold(tokens, opens, mark="!"), ",", -1), finish)
 
-    return let(F.regexp_extract_all(text, F.lit(_SORTED_TOKEN), F.lit(0)), build)
+    return let(S.regexp_extract_all(text, _SORTED_TOKEN, 0), build)
 
 
-def tree_from_json(text: Column) -> Column:
+def tree_from_json(text: Expr | str) -> Expr:
     """Decode one JSON trace line; NULL when it is not a well-formed event.
 
     Strings, null, ``{"type", "fields"}`` objects and bare arrays are the only
     accepted values.  Lines laid out as the tracer writes them decode directly;
     any other spacing or key order is first normalised by the VARIANT parser.
     """
+    text = expr(text)
 
-    def normalised(ordered: Column) -> Column:
+    def normalised(ordered: Expr) -> Expr:
         # The VARIANT parser stops at the end of the first value; more text after it is an error.
-        punctuation = lambda s: F.length(F.regexp_replace(s, _STRING + r"|\s", ""))
-        return F.when(punctuation(ordered) == punctuation(text), _from_key_order(ordered))
+        bare = lambda s: S.regexp_replace(S.regexp_replace(s, _STRING, "s"), r"\s", "")
+        punctuation = lambda s: S.length(bare(s))
+        return S.when(punctuation(ordered) == punctuation(text), _from_key_order(ordered))
 
-    parsed = F.try_parse_json(text)
-    return F.when(
-        parsed.isNotNull(), F.coalesce(_from_writer_order(text), let(F.to_json(parsed), normalised))
+    parsed = S.try_parse_json(text)
+    return S.when(
+        parsed.is_not_null(), S.coalesce(_from_writer_order(text), let(S.to_json(parsed), normalised))
     )
 
 
@@ -210,91 +209,93 @@ def tree_from_json(text: Column) -> Column:
 # name(arg, arg(...)) text
 
 
-def _trim(text: Column) -> Column:
-    return F.btrim(text, F.lit(_BLANKS))
+def _trim(text: Expr) -> Expr:
+    return S.btrim(text, _BLANKS)
 
 
-def tree_from_text(text: Column) -> Column:
+def tree_from_text(text: Expr | str) -> Expr:
     """Decode ``name(arg, arg(arg))`` to any depth; NULL when ill-formed."""
+    text = expr(text)
     # Each token is a delimiter and the text up to the next one; the text after
     # "(" or "," names the node that delimiter begins.
-    tokens = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r"[(),][^(),]*+"), F.lit(0))
+    tokens = S.regexp_extract_all(S.concat(",", text), r"[(),][^(),]*+", 0)
 
-    def step(at: Column, token: Column) -> Column:
+    def step(at: Expr, token: Expr) -> Expr:
         inside = _standing(
-            F.concat(at["stem"], at["index"].cast("string"), F.lit(".")),
-            F.lit(1),
-            _noted(at, at["index"].cast("string"), F.lit(".1")),
+            S.concat(at["stem"], at["index"].cast("string"), "."),
+            1,
+            _noted(at, at["index"].cast("string"), ".1"),
         )
-        below_root = _standing(F.lit(""), F.lit(1), F.concat(at["seen"], F.lit(",1")))
+        below_root = _standing("", 1, S.concat(at["seen"], ",1"))
         return (
-            F.when(token.startswith(","), _standing(at["stem"], at["index"] + 1, _noted(at, _next(at))))
+            S.when(token.startswith(","), _standing(at["stem"], at["index"] + 1, _noted(at, _next(at))))
             .when(token.startswith(")"), _up(at, at["seen"]))
-            .when(at["index"].isNull(), below_root)
+            .when(at["index"].is_null(), below_root)
             .otherwise(inside)
         )
 
-    def build(ts: Column) -> Column:
-        names = F.transform(
-            F.filter(ts, lambda t: ~t.startswith(")")),
-            lambda t: _trim(F.substring(t, F.lit(2), F.length(t))),
+    def build(ts: Expr) -> Expr:
+        names = S.transform(
+            S.filter(ts, lambda t: ~t.startswith(")")),
+            lambda t: _trim(S.substring(t, 2, S.length(t))),
         )
-        seen = F.aggregate(
+        seen = S.aggregate(
             _tail(ts),
-            _standing(F.lit(""), F.lit(None), F.lit("")),
+            _standing("", S.lit(None), ""),
             step,
-            lambda at: F.when(at["index"].isNull(), at["seen"]),
+            lambda at: S.when(at["index"].is_null(), at["seen"]),
         )
-        return let(seen, lambda all_: F.when(all_.isNotNull(), _tree(F.split(all_, ",", -1), names)))
+        return let(seen, lambda all_: S.when(all_.is_not_null(), _tree(S.split(all_, ",", -1), names)))
 
     # After a closing parenthesis only "," or ")" may follow.
     stray = text.rlike(r"\)" + _BLANK + r"*+[^\x00-\x20,)]")
-    return F.when(~stray, let(tokens, build))
+    return S.when(~stray, let(tokens, build))
 
 
-def _split_arguments(inner: Column) -> Column:
+def _split_arguments(inner: Expr) -> Expr:
     """Cut at the commas outside parentheses; NULL when these do not match up."""
     # The cuts are marked as \x01b in the folded text, a literal \x01 as \x01a.
-    tokens = F.regexp_extract_all(
-        F.concat(F.lit("("), F.replace(inner, F.lit("\x01"), F.lit("\x01a"))),
-        F.lit(r"[(),][^(),]*+"),
-        F.lit(0),
+    tokens = S.regexp_extract_all(
+        S.concat("(", S.replace(inner, "\x01", "\x01a")),
+        r"[(),][^(),]*+",
+        0,
     )
-    at = lambda depth, text: F.struct(depth.cast("int").alias("depth"), text.alias("text"))
+    at = lambda depth, text: S.struct(depth=depth.cast("int"), text=text)
 
-    def step(acc: Column, token: Column) -> Column:
-        text = F.concat(acc["text"], token)
-        cut = F.concat(acc["text"], F.lit("\x01b"), F.substring(token, F.lit(2), F.length(token)))
+    def step(acc: Expr, token: Expr) -> Expr:
+        text = S.concat(acc["text"], token)
+        cut = S.concat(acc["text"], "\x01b", S.substring(token, 2, S.length(token)))
         return (
-            F.when(token.startswith("("), at(acc["depth"] + 1, text))
-            .when(token.startswith(")"), at(F.when(acc["depth"] > 0, acc["depth"] - 1), text))
+            S.when(token.startswith("("), at(acc["depth"] + 1, text))
+            .when(token.startswith(")"), at(S.when(acc["depth"] > 0, acc["depth"] - 1), text))
             .when(acc["depth"] == 0, at(acc["depth"], cut))
             .otherwise(at(acc["depth"], text))
         )
 
-    def build(ts: Column) -> Column:
-        start = at(F.lit(0), F.substring(F.get(ts, F.lit(0)), F.lit(2), F.length(inner) * 2))
-        marked = F.aggregate(_tail(ts), start, step, lambda acc: F.when(acc["depth"] == 0, acc["text"]))
-        return F.transform(
-            F.split(marked, "\x01b", -1), lambda s: F.replace(s, F.lit("\x01a"), F.lit("\x01"))
+    def build(ts: Expr) -> Expr:
+        start = at(S.lit(0), S.substring(S.get(ts, 0), 2, S.length(inner) * 2))
+        marked = S.aggregate(_tail(ts), start, step, lambda acc: S.when(acc["depth"] == 0, acc["text"]))
+        return S.transform(
+            S.split(marked, "\x01b", -1), lambda s: S.replace(s, "\x01a", "\x01")
         )
 
-    return F.when(inner.rlike("[()]"), let(tokens, build)).otherwise(F.split(inner, ",", -1))
+    return S.when(inner.rlike("[()]"), let(tokens, build)).otherwise(S.split(inner, ",", -1))
 
 
-def tree_from_text_shallow(text: Column) -> Column:
+def tree_from_text_shallow(text: Expr | str) -> Expr:
     """Decode only the outermost ``name(arg, …)``; arguments stay text leaves."""
+    text = expr(text)
 
-    def arguments(t: Column, head: Column) -> Column:
-        inner = F.substring(t, F.length(head) + 2, F.length(t) - F.length(head) - 2)
-        return F.when(t.endswith(")"), let(inner, _split_arguments))
+    def arguments(t: Expr, head: Expr) -> Expr:
+        inner = S.substring(t, S.length(head) + 2, S.length(t) - S.length(head) - 2)
+        return S.when(t.endswith(")"), let(inner, _split_arguments))
 
-    def build(t: Column) -> Column:
-        head = F.substring_index(t, "(", 1)
-        names = let(head, lambda h: F.when(~h.rlike("[),]"), F.concat(F.array(h), arguments(t, h))))
-        paths = lambda n: F.transform(n, lambda _n, i: F.when(i == 0, F.lit("")).otherwise(i.cast("string")))
-        compound = let(names, lambda n: F.when(n.isNotNull(), _tree(paths(n), F.transform(n, _trim))))
-        return F.when(t.contains("("), compound).when(~t.rlike("[),]"), leaf_tree(t))
+    def build(t: Expr) -> Expr:
+        head = S.substring_index(t, "(", 1)
+        names = let(head, lambda h: S.when(~h.rlike("[),]"), S.concat(S.array(h), arguments(t, h))))
+        paths = lambda n: S.transform(n, lambda _n, i: S.when(i == 0, "").otherwise(i.cast("string")))
+        compound = let(names, lambda n: S.when(n.is_not_null(), _tree(paths(n), S.transform(n, _trim))))
+        return S.when(t.contains("("), compound).when(~t.rlike("[),]"), leaf_tree(t))
 
     return let(_trim(text), build)
 
@@ -303,185 +304,201 @@ def tree_from_text_shallow(text: Column) -> Column:
 # reading
 
 
-def _position(tree: Column, node: str) -> Column:
-    return F.array_position(tree["path"], F.lit(node)).cast("int")
+def _position(tree: Expr, node: Expr) -> Expr:
+    return S.array_position(tree["path"], node).cast("int")
 
 
-def _below(tree: Column, node: str) -> Column:
-    """How many nodes lie under ``node``."""
-    if not node:
-        return F.size(tree["path"]) - 1
-    return F.size(F.filter(tree["path"], lambda p: p.startswith(node + ".")))
+def _below(tree: Expr, node: Expr) -> Expr:
+    """How many nodes lie under ``node`` (not the root)."""
+    return S.size(S.filter(tree["path"], lambda p: p.startswith(S.concat(node, "."))))
 
 
-def name_at(tree: Column, path) -> Column:
+def name_in(tree: Expr | str, node: Expr) -> Expr:
+    """Name of the node whose address is in a column; NULL for an empty or missing one."""
+    tree = expr(tree)
+    return S.nullif(S.get(tree["name"], _position(tree, node) - 1), "")
+
+
+def name_at(tree: Expr | str, path) -> Expr:
     """Name of the addressed node; NULL for an empty or missing one."""
     at = node_path(path)
     if at.nowhere:
-        return F.lit(None).cast("string")
-    if not at.node:
-        return F.nullif(F.get(tree["name"], F.lit(0)), F.lit(""))
-    return F.nullif(F.get(tree["name"], _position(tree, at.node) - 1), F.lit(""))
+        return S.lit(None).cast("string")
+    return name_in(tree, S.lit(at.node))
 
 
-def require_name(tree: Column, path) -> Column:
+def require_name(tree: Expr | str, path) -> Expr:
     """Like :func:`name_at`, but an empty or missing node fails the query."""
     at = node_path(path)
-    return F.coalesce(
-        name_at(tree, at), F.raise_error(F.lit(f"no name at path {at.node or '<root>'}")).cast("string")
+    return S.coalesce(
+        name_at(tree, at), S.raise_error(S.lit(f"no name at path {at.node or '<root>'}")).cast("string")
     )
 
 
-def name_is(tree: Column, path, *names: str) -> Column:
+def name_is(tree: Expr | str, path, *names: str) -> Expr:
     """Whether the addressed node has one of these names (never NULL)."""
-    return F.coalesce(name_at(tree, path).isin(*[n for n in names if n]), F.lit(False))
+    return S.coalesce(name_at(tree, path).isin(*[n for n in names if n]), False)
+
+
+def _subtree(tree: Expr, node: Expr) -> Expr:
+    def cut(first: Expr) -> Expr:
+        count = S.when(first > 0, _below(tree, node) + 1).otherwise(0)
+        paths = S.transform(
+            S.slice(tree["path"], S.greatest(first, 1), count),
+            lambda p: S.substring(p, S.length(node) + 2, S.length(p)),
+        )
+        return _tree(paths, S.slice(tree["name"], S.greatest(first, 1), count))
+
+    return let(_position(tree, node), cut)
 
 
-def subtree(tree: Column, path) -> Column:
+def subtree(tree: Expr | str, path) -> Expr:
     """The addressed subtree as a tree of its own; a missing node is an empty tree."""
+    tree = expr(tree)
     at = node_path(path)
-    empty = _tree(F.array(F.lit("")), F.array(F.lit("")))
-    if at.nowhere:
-        return empty
-    if not at.node and not at.name_only:
+    if at.name_only or at.nowhere:
+        return leaf_tree(S.coalesce(name_at(tree, at), ""))
+    if not at.node:
         return tree
-    start = _position(tree, at.node)
-    count = F.lit(1) if at.name_only else _below(tree, at.node) + 1
-    drop = len(at.node) + 1 if at.node else 0
-
-    def cut(first: Column) -> Column:
-        paths = F.transform(
-            F.slice(tree["path"], first, count), lambda p: F.substring(p, F.lit(drop + 1), F.length(p))
-        )
-        return _tree(paths, F.slice(tree["name"], first, count))
-
-    return let(start, lambda first: F.when(first == 0, empty).otherwise(cut(first)))
+    found = let(_subtree(tree, S.lit(at.node)), lambda t: S.when(S.size(t["path"]) > 0, t))
+    return S.coalesce(found, leaf_tree(""))
 
 
-def is_defined(tree: Column, path="") -> Column:
+def is_defined(tree: Expr | str, path="") -> Expr:
     """Whether the addressed node or anything under it has a name."""
+    tree = expr(tree)
     at = node_path(path)
-    named = name_at(tree, at).isNotNull()
+    named = name_at(tree, at).is_not_null()
     if at.name_only or at.nowhere:
         return named
     return named | has_children(tree, at)
 
 
-def has_children(tree: Column, path="") -> Column:
+def has_children(tree: Expr | str, path="") -> Expr:
     """Whether anything *under* the addressed node has a name."""
+    tree = expr(tree)
     at = node_path(path)
     if at.name_only or at.nowhere:
-        return F.lit(False)
+        return S.lit(False)
     start = at.node + "." if at.node else ""
-    pairs = F.zip_with(
+    pairs = S.zip_with(
         tree["path"],
         tree["name"],
         lambda p, n: (n != "") & p.startswith(start) & (p != ""),
     )
-    return F.exists(pairs, lambda hit: hit)
+    return S.exists(pairs, lambda hit: hit)
 
 
 # --------------------------------------------------------------------------
 # text output
 
 
-def _depth(path: Column) -> Column:
-    dots = F.length(path) - F.length(F.replace(path, F.lit("."), F.lit("")))
-    return F.when(path == "", F.lit(0)).otherwise(dots + 1)
+def _depth(path: Expr) -> Expr:
+    dots = S.length(path) - S.length(S.replace(path, ".", ""))
+    return S.when(path == "", 0).otherwise(dots + 1)
 
 
-def _visible(tree: Column) -> Column:
+def _visible(tree: Expr) -> Expr:
     """Drop what hangs below a node under which nothing has a name."""
 
-    def parent_prefix(path: Column) -> Column:
-        return F.left(path, F.length(path) - F.length(F.substring_index(path, ".", -1)))
+    def parent_prefix(path: Expr) -> Expr:
+        return S.left(path, S.length(path) - S.length(S.substring_index(path, ".", -1)))
 
-    def prune(t: Column) -> Column:
-        named = F.filter(
-            F.zip_with(t["path"], t["name"], lambda p, n: F.when(n != "", p)),
-            lambda p: p.isNotNull() & (p != ""),
+    def prune(t: Expr) -> Expr:
+        named = S.filter(
+            S.zip_with(t["path"], t["name"], lambda p, n: S.when(n != "", p)),
+            lambda p: p.is_not_null() & (p != ""),
         )
 
-        def keep(names: Column) -> Column:
+        def keep(names: Expr) -> Expr:
             # A node shows when it is the root or has a named node beside or below it.
             shown = lambda p: (p == "") | let(
-                parent_prefix(p), lambda prefix: F.exists(names, lambda q: q.startswith(prefix))
+                parent_prefix(p), lambda prefix: S.exists(names, lambda q: q.startswith(prefix))
             )
-            kept = F.filter(
-                F.zip_with(
+            kept = S.filter(
+                S.zip_with(
                     t["path"],
                     t["name"],
-                    lambda p, n: F.when(shown(p), F.struct(p.alias("path"), n.alias("name"))),
+                    lambda p, n: S.when(shown(p), S.struct(path=p, name=n)),
                 ),
-                lambda s: s.isNotNull(),
+                lambda s: s.is_not_null(),
             )
             return let(kept, lambda k: _tree(k["path"], k["name"]))
 
         return let(named, keep)
 
     # Without an unnamed node every parent has a named child: nothing to drop.
-    return F.when(F.array_contains(tree["name"], ""), prune(tree)).otherwise(tree)
+    return S.when(S.array_contains(tree["name"], ""), prune(tree)).otherwise(tree)
 
 
-def _join(tree: Column) -> Column:
-    def text(t: Column) -> Column:
-        def link(here: Column, after: Column) -> Column:
+def _join(tree: Expr) -> Expr:
+    def text(t: Expr) -> Expr:
+        def link(here: Expr, after: Expr) -> Expr:
             return (
-                F.when(after.isNull(), F.repeat(F.lit(")"), here - F.get(t["depth"], F.lit(0))))
-                .when(after > here, F.lit("("))
-                .when(after == here, F.lit(", "))
-                .otherwise(F.concat(F.repeat(F.lit(")"), here - after), F.lit(", ")))
+                S.when(after.is_null(), S.repeat(")", here - S.get(t["depth"], 0)))
+                .when(after > here, "(")
+                .when(after == here, ", ")
+                .otherwise(S.concat(S.repeat(")", here - after), ", "))
             )
 
-        links = F.zip_with(t["depth"], _tail(t["depth"]), link)
-        return F.array_join(F.zip_with(t["name"], links, lambda n, l: F.concat(n, l)), "")
+        links = S.zip_with(t["depth"], _tail(t["depth"]), link)
+        return S.array_join(S.zip_with(t["name"], links, lambda n, l: S.concat(n, l)), "")
 
-    depths = F.transform(tree["path"], _depth)
-    return let(F.struct(depths.alias("depth"), tree["name"].alias("name")), text)
+    depths = S.transform(tree["path"], _depth)
+    return let(S.struct(depth=depths, name=tree["name"]), text)
 
 
-def _render_whole(tree: Column) -> Column:
-    unnamed = F.array_contains(tree["name"], "")
+def _render_whole(tree: Expr) -> Expr:
+    unnamed = S.array_contains(tree["name"], "")
     return (
-        F.when(F.size(tree["name"]) == 1, F.get(tree["name"], F.lit(0)))
+        S.when(S.size(tree["name"]) == 1, S.get(tree["name"], 0))
         .when(unnamed, let(_visible(tree), _join))
         .otherwise(_join(tree))
     )
 
 
-def render(tree: Column, path="") -> Column:
+def render_at(tree: Expr | str, node: Expr) -> Expr:
+    """Compact text of the subtree whose address is in a column."""
+    tree = expr(tree)
+    follower = S.get(tree["path"], _position(tree, node))
+    inside = S.when(node == "", S.size(tree["path"]) > 1).otherwise(
+        S.coalesce(follower.startswith(S.concat(node, ".")), False)
+    )
+    whole = S.when(node == "", tree).otherwise(_subtree(tree, node))
+    return S.when(inside, let(whole, _render_whole)).otherwise(
+        S.coalesce(name_in(tree, node), "")
+    )
+
+
+def render(tree: Expr | str, path="") -> Expr:
     """Compact text ``name(child, child)`` of the addressed subtree (missing: ``""``)."""
+    tree = expr(tree)
     at = node_path(path)
     if at.name_only or at.nowhere:
-        return F.coalesce(name_at(tree, at), F.lit(""))
-    if not at.node:
-        return _render_whole(tree)
-    inside = F.get(tree["path"], _position(tree, at.node)).startswith(at.node + ".")
-    compound = let(subtree(tree, at), _render_whole)
-    return F.when(F.coalesce(inside, F.lit(False)), compound).otherwise(
-        F.coalesce(name_at(tree, at), F.lit(""))
-    )
+        return S.coalesce(name_at(tree, at), "")
+    return render_at(tree, S.lit(at.node)) if at.node else _render_whole(tree)
 
 
-def debug_text(tree: Column) -> Column:
+def debug_text(tree: Expr | str) -> Expr:
     """One line per visible node: address, dots up to a depth-dependent column, name."""
+    tree = expr(tree)
 
-    def line(path: Column, after: Column) -> Column:
-        room = F.lit(8) + _depth(path) * 2 - F.length(path)
-        dots = lambda used: F.repeat(F.lit("."), F.greatest(room - used, F.lit(0)))
-        parent = F.when(path == "", after.isNotNull()).otherwise(
-            F.coalesce(after.startswith(F.concat(path, F.lit("."))), F.lit(False))
+    def line(path: Expr, after: Expr) -> Expr:
+        room = _depth(path) * 2 + 8 - S.length(path)
+        dots = lambda used: S.repeat(".", S.greatest(room - used, 0))
+        parent = S.when(path == "", after.is_not_null()).otherwise(
+            S.coalesce(after.startswith(S.concat(path, ".")), False)
         )
-        return F.when(
+        return S.when(
             parent,
-            F.when(path == "", F.concat(F.lit("0"), dots(1))).otherwise(
-                F.concat(path, F.lit(".0"), dots(2))
+            S.when(path == "", S.concat("0", dots(1))).otherwise(
+                S.concat(path, ".0", dots(2))
             ),
-        ).otherwise(F.concat(path, dots(0)))
+        ).otherwise(S.concat(path, dots(0)))
 
-    def lines(t: Column) -> Column:
-        labels = F.zip_with(t["path"], _tail(t["path"]), line)
-        return F.array_join(F.zip_with(labels, t["name"], lambda l, n: F.concat(l, n)), "\n")
+    def lines(t: Expr) -> Expr:
+        labels = S.zip_with(t["path"], _tail(t["path"]), line)
+        return S.array_join(S.zip_with(labels, t["name"], lambda l, n: S.concat(l, n)), "\n")
 
     return let(_visible(tree), lines)
 
@@ -490,52 +507,59 @@ def debug_text(tree: Column) -> Column:
 # rewriting
 
 
-def leaf_tree(text: Column) -> Column:
-    return _tree(F.array(F.lit("")), F.array(text))
+def leaf_tree(text: Expr) -> Expr:
+    return _tree(S.array(""), S.array(text))
 
 
-def can_update(tree: Column, path) -> Column:
+def can_update(tree: Expr | str, path) -> Expr:
     """Whether :func:`update` has something to replace at this address."""
+    tree = expr(tree)
     at = node_path(path)
     if at.name_only:
         raise ValueError("only whole nodes can be replaced, not their names")
-    return _position(tree, at.node) > 0
+    return _position(tree, S.lit(at.node)) > 0
 
 
-def update(tree: Column, path, replacement: Column, strict: bool = False) -> Column:
-    """Replace the addressed subtree.
+def update_in(tree: Expr, node: Expr, replacement: Expr, missing: Expr) -> Expr:
+    """Replace the subtree whose address (not the root) is in a column.
 
-    ``replacement`` is a tree, or a string for a leaf.  When the node does not
-    exist or the replacement is NULL the tree is returned unchanged, or the
-    query fails if ``strict``.
+    ``missing`` is the result when there is no such node or no replacement.
     """
-    at = node_path(path)
-    if at.name_only:
-        raise ValueError("only whole nodes can be replaced, not their names")
-    if not at.node:
-        return F.coalesce(replacement, _fail(at) if strict else tree)
-
-    def splice(position: Column, replacement: Column) -> Column:
-        after = position + 1 + _below(tree, at.node)
-        rest = F.greatest(F.size(tree["path"]) - after + 1, F.lit(0))
-        rebased = F.transform(
-            replacement["path"],
-            lambda p: F.when(p == "", F.lit(at.node)).otherwise(F.concat(F.lit(at.node + "."), p)),
+
+    def splice(position: Expr, new: Expr) -> Expr:
+        after = position + 1 + _below(tree, node)
+        rest = S.greatest(S.size(tree["path"]) - after + 1, 0)
+        rebased = S.transform(
+            new["path"], lambda p: S.when(p == "", node).otherwise(S.concat(node, ".", p))
         )
-        around = lambda column, middle: F.concat(
-            F.slice(column, F.lit(1), position - 1), middle, F.slice(column, after, rest)
+        around = lambda items, middle: S.concat(
+            S.slice(items, 1, position - 1), middle, S.slice(items, after, rest)
         )
-        return _tree(around(tree["path"], rebased), around(tree["name"], replacement["name"]))
+        return _tree(around(tree["path"], rebased), around(tree["name"], new["name"]))
 
-    missing = _fail(at) if strict else tree
-    bound = F.struct(_position(tree, at.node).alias("position"), replacement.alias("new"))
     return let(
-        bound,
-        lambda b: F.when(
-            (b["position"] > 0) & b["new"].isNotNull(), splice(b["position"], b["new"])
+        S.struct(position=_position(tree, node), new=replacement),
+        lambda b: S.when(
+            (b["position"] > 0) & b["new"].is_not_null(), splice(b["position"], b["new"])
         ).otherwise(missing),
     )
 
 
-def _fail(at: NodePath) -> Column:
-    return F.raise_error(F.lit(f"cannot replace node {at.node or '<root>'}")).cast(TREE_TYPE)
+def update(tree: Expr | str, path, replacement: Expr, strict: bool = False) -> Expr:
+    """Replace the addressed subtree by another tree.
+
+    When the node does not exist or the replacement is NULL the tree is
+    returned unchanged, or the query fails if ``strict``.
+    """
+    tree = expr(tree)
+    at = node_path(path)
+    if at.name_only:
+        raise ValueError("only whole nodes can be replaced, not their names")
+    missing = _fail(at) if strict else tree
+    if not at.node:
+        return S.coalesce(replacement, missing)
+    return update_in(tree, S.lit(at.node), replacement, missing)
+
+
+def _fail(at: NodePath) -> Expr:
+    return S.raise_error(S.lit(f"cannot replace node {at.node or '<root>'}")).cast(TREE_TYPE)
