@@ -131,13 +131,10 @@ def result_records(spark: SparkSession, path: str) -> DataFrame:
     heads = (
         placed.withColumn("line_no", F.row_number().over(first))
         .filter("line_no <= 3")
-        .select("block_no", F.col("at").alias("head_at"), "line_no")
+        .select("at", "line_no")
     )
-    return placed.join(
-        F.broadcast(heads),
-        (placed.block_no == heads.block_no) & (placed.at == heads.head_at),
-        "left",
-    ).select(placed.block_no, "line_no", "line")
+    # Three rows per table.
+    return placed.join(F.broadcast(heads), "at", "left").select("block_no", "line_no", "line")
 
 
 def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
