@@ -4,9 +4,10 @@ from .pipeline import (
     context,
     diagnostics,
     dump_trace,
+    keep,
+    kept_context,
     open_traces,
     prepare,
     process_trace,
     run,
-    store,
 )

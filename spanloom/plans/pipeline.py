@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import S, debug_text, name_at, name_is
 from ..operators.blocks import BLOCKS, Block, Context
@@ -61,25 +62,31 @@ def context(prepared: DataFrame, config: TraceConfig) -> Context:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return folder.rstrip("/")
+def kept_context(prepared: DataFrame, config: TraceConfig) -> Context:
+    """A context whose events and services are computed once."""
+    ready = context(keep(prepared, "trace_id", "kept", "kind"), config)
+    return Context(ready.events, keep(ready.services), ready.formatter)
 
 
-def store(frame: DataFrame, *partitions: str, path: str | None = None) -> DataFrame:
-    """Write an intermediate table once and read it back.
+def keep(frame: DataFrame, *partitions: str) -> DataFrame:
+    """Compute an intermediate table once, for all that is made from it.
 
-    What follows then starts from files: a lost executor costs no recomputation
-    of what came before, and the planner knows the true size of the table, so
-    it broadcasts small ones by its own threshold and no others.
+    It is written to the shared folder the cluster names in
+    ``spark.checkpoint.dir`` and read back: a lost executor then costs no
+    recomputation of what came before, and the planner knows the true size of
+    the table, so it broadcasts small ones by its own threshold and no others.
+    Without such a folder the table is cached, spilling to disk.
     """
     spark = frame.sparkSession
-    target = path or f"{shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return frame.persist(StorageLevel.MEMORY_AND_DISK)
+    target = f"{folder.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
     frame.write.partitionBy(*partitions).parquet(target)
-    return spark.read.schema(frame.schema).parquet(target)
+    table = spark.read.schema(frame.schema).parquet(target)
+    # An empty string in a partition column comes back as NULL.
+    texts = [name for name in partitions if frame.schema[name].dataType.typeName() == "string"]
+    return table.fillna("", texts).select(frame.columns) if texts else table.select(frame.columns)
 
 
 def open_traces(
@@ -87,15 +94,14 @@ def open_traces(
 ) -> Context:
     """Read, decode and rewrite trace directories for use by any number of blocks.
 
-    ``stored`` writes the prepared events once, laid out by trace and kind: a
-    block then reads the kinds and columns it needs.  Services are stored too.
+    ``stored`` computes the prepared events once, laid out by trace and kind: a
+    block then reads the kinds and columns it needs.  Services are kept too.
     """
     events = base_events(read_lines(spark, directories), len(directories), mode)
     prepared = prepare(events, config)
     if not stored:
         return context(prepared, config)
-    ready = context(store(prepared, "trace_id", "kept", "kind"), config)
-    return Context(ready.events, store(ready.services), ready.formatter)
+    return kept_context(prepared, config)
 
 
 def process_trace(

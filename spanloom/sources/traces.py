@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import TREE_TYPE, S, let, name_at, tree_from_json
+from ..functions import TREE_TYPE, S, leaf_tree, let, name_at, tree_from_json, update
 
 # A table with one row per trace is broadcast up to this many traces; a run
 # compares a handful of directories, each named on the driver.
@@ -88,5 +88,8 @@ def relative_time(events: DataFrame, starts: DataFrame, traces: int | None = Non
     """
     if traces is not None and traces <= BROADCAST_TRACES:
         starts = F.broadcast(starts)
-    joined = events.join(starts, "trace_id", "left")
-    return joined.withColumn("ts", F.col("ts") - F.col("trace_start")).drop("trace_start")
+    joined = events.join(starts, "trace_id", "left").withColumn("ts", F.col("ts") - F.col("trace_start"))
+    # The tree carries the time as well; exploded so that filters do not copy the update.
+    retimed = update("tree", 2, leaf_tree(S.col("ts").cast("string")))
+    rest = [name for name in events.columns if name != "tree"]
+    return joined.select(*rest, F.explode(S.array(retimed).column).alias("tree"))
