@@ -11,6 +11,7 @@ from .tree import (
     name_at,
     name_in,
     name_is,
+    rename_leaf,
     render,
     render_at,
     require_name,

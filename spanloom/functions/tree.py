@@ -18,6 +18,8 @@ whatever is needed twice is bound once, with ``let`` or as a fold field.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from .expr import Expr, S, expr, let
@@ -39,6 +41,19 @@ _SORTED_TOKEN = (
 )
 
 
+def _bound(function: Callable[..., Expr]) -> Callable[..., Expr]:
+    """Let a function of a tree take a whole expression for it, evaluated once."""
+
+    @functools.wraps(function)
+    def call(tree: Expr | str, *args: object, **options: object) -> Expr:
+        tree = expr(tree)
+        if re.fullmatch(r"[`\w.]+", tree.text):
+            return function(tree, *args, **options)
+        return let(tree, lambda t: function(t, *args, **options))
+
+    return call
+
+
 # --------------------------------------------------------------------------
 # the fold
 
@@ -99,16 +114,15 @@ def _json_fold(tokens: Expr, opens: Callable, mark: str) -> Expr:
     """Addresses of all tokens that begin a node; ``mark`` is noted on closing."""
 
     def step(at: Expr, token: Expr) -> Expr:
+        leaf = _standing(at["stem"], at["index"] + 1, _noted(at, _next(at)))
+        down = _standing(S.concat(at["stem"], _next(at), "."), 0, _noted(at, _next(at)))
+        up = _up(at, S.concat(at["seen"], "," + mark, at["stem"]) if mark else at["seen"])
+        # Most tokens are strings, so these are told apart first.
         return (
-            S.when(_leaf(token), _standing(at["stem"], at["index"] + 1, _noted(at, _next(at))))
-            .when(
-                opens(token),
-                _standing(S.concat(at["stem"], _next(at), "."), 0, _noted(at, _next(at))),
-            )
-            .when(
-                token.startswith("]"),
-                _up(at, S.concat(at["seen"], "," + mark, at["stem"]) if mark else at["seen"]),
-            )
+            S.when(token.startswith('"'), leaf)
+            .when(token.startswith("]"), up)
+            .when(opens(token), down)
+            .when(token == "null", leaf)
             .otherwise(_standing("", S.lit(None), S.lit(None)))
         )
 
@@ -313,12 +327,18 @@ def _below(tree: Expr, node: Expr) -> Expr:
     return S.size(S.filter(tree["path"], lambda p: p.startswith(S.concat(node, "."))))
 
 
+def _label(tree: Expr, node: Expr) -> Expr:
+    """Name of a node: empty for an empty one, NULL for a missing one."""
+    return S.get(tree["name"], _position(tree, node) - 1)
+
+
+@_bound
 def name_in(tree: Expr | str, node: Expr) -> Expr:
     """Name of the node whose address is in a column; NULL for an empty or missing one."""
-    tree = expr(tree)
-    return S.nullif(S.get(tree["name"], _position(tree, node) - 1), "")
+    return S.nullif(_label(tree, node), "")
 
 
+@_bound
 def name_at(tree: Expr | str, path) -> Expr:
     """Name of the addressed node; NULL for an empty or missing one."""
     at = node_path(path)
@@ -327,6 +347,7 @@ def name_at(tree: Expr | str, path) -> Expr:
     return name_in(tree, S.lit(at.node))
 
 
+@_bound
 def require_name(tree: Expr | str, path) -> Expr:
     """Like :func:`name_at`, but an empty or missing node fails the query."""
     at = node_path(path)
@@ -335,9 +356,13 @@ def require_name(tree: Expr | str, path) -> Expr:
     )
 
 
+@_bound
 def name_is(tree: Expr | str, path, *names: str) -> Expr:
     """Whether the addressed node has one of these names (never NULL)."""
-    return S.coalesce(name_at(tree, path).isin(*[n for n in names if n]), False)
+    at, wanted = node_path(path), [n for n in names if n]
+    if at.nowhere or not wanted:
+        return S.lit(False)
+    return S.coalesce(_label(tree, S.lit(at.node)).isin(*wanted), False)
 
 
 def _subtree(tree: Expr, node: Expr) -> Expr:
@@ -352,9 +377,9 @@ def _subtree(tree: Expr, node: Expr) -> Expr:
     return let(_position(tree, node), cut)
 
 
+@_bound
 def subtree(tree: Expr | str, path) -> Expr:
     """The addressed subtree as a tree of its own; a missing node is an empty tree."""
-    tree = expr(tree)
     at = node_path(path)
     if at.name_only or at.nowhere:
         return leaf_tree(S.coalesce(name_at(tree, at), ""))
@@ -364,19 +389,21 @@ def subtree(tree: Expr | str, path) -> Expr:
     return S.coalesce(found, leaf_tree(""))
 
 
+@_bound
 def is_defined(tree: Expr | str, path="") -> Expr:
     """Whether the addressed node or anything under it has a name."""
-    tree = expr(tree)
     at = node_path(path)
-    named = name_at(tree, at).is_not_null()
+    if at.nowhere:
+        return S.lit(False)
+    named = S.coalesce(_label(tree, S.lit(at.node)), "") != ""
     if at.name_only or at.nowhere:
         return named
     return named | has_children(tree, at)
 
 
+@_bound
 def has_children(tree: Expr | str, path="") -> Expr:
     """Whether anything *under* the addressed node has a name."""
-    tree = expr(tree)
     at = node_path(path)
     if at.name_only or at.nowhere:
         return S.lit(False)
@@ -457,31 +484,33 @@ def _render_whole(tree: Expr) -> Expr:
     )
 
 
+@_bound
 def render_at(tree: Expr | str, node: Expr) -> Expr:
     """Compact text of the subtree whose address is in a column."""
-    tree = expr(tree)
     follower = S.get(tree["path"], _position(tree, node))
     inside = S.when(node == "", S.size(tree["path"]) > 1).otherwise(
         S.coalesce(follower.startswith(S.concat(node, ".")), False)
     )
     whole = S.when(node == "", tree).otherwise(_subtree(tree, node))
     return S.when(inside, let(whole, _render_whole)).otherwise(
-        S.coalesce(name_in(tree, node), "")
+        S.coalesce(_label(tree, node), "")
     )
 
 
+@_bound
 def render(tree: Expr | str, path="") -> Expr:
     """Compact text ``name(child, child)`` of the addressed subtree (missing: ``""``)."""
-    tree = expr(tree)
     at = node_path(path)
-    if at.name_only or at.nowhere:
-        return S.coalesce(name_at(tree, at), "")
+    if at.nowhere:
+        return S.lit("")
+    if at.name_only:
+        return S.coalesce(_label(tree, S.lit(at.node)), "")
     return render_at(tree, S.lit(at.node)) if at.node else _render_whole(tree)
 
 
+@_bound
 def debug_text(tree: Expr | str) -> Expr:
     """One line per visible node: address, dots up to a depth-dependent column, name."""
-    tree = expr(tree)
 
     def line(path: Expr, after: Expr) -> Expr:
         room = _depth(path) * 2 + 8 - S.length(path)
@@ -511,9 +540,9 @@ def leaf_tree(text: Expr) -> Expr:
     return _tree(S.array(""), S.array(text))
 
 
+@_bound
 def can_update(tree: Expr | str, path) -> Expr:
     """Whether :func:`update` has something to replace at this address."""
-    tree = expr(tree)
     at = node_path(path)
     if at.name_only:
         raise ValueError("only whole nodes can be replaced, not their names")
@@ -545,13 +574,29 @@ def update_in(tree: Expr, node: Expr, replacement: Expr, missing: Expr) -> Expr:
     )
 
 
+@_bound
+def rename_leaf(tree: Expr | str, path, name: Expr) -> Expr:
+    """Replace the addressed node by a leaf; in the usual case that it is one, only its name changes."""
+    at = node_path(path)
+    position = _position(tree, S.lit(at.node))
+    beside = S.coalesce(S.get(tree["path"], position), "").startswith(at.node + ".")
+    names = S.concat(
+        S.slice(tree["name"], 1, position - 1),
+        S.array(name),
+        S.slice(tree["name"], position + 1, S.size(tree["name"])),
+    )
+    return S.when((position > 1) & ~beside, _tree(tree["path"], names)).otherwise(
+        update(tree, at, leaf_tree(name))
+    )
+
+
+@_bound
 def update(tree: Expr | str, path, replacement: Expr, strict: bool = False) -> Expr:
     """Replace the addressed subtree by another tree.
 
     When the node does not exist or the replacement is NULL the tree is
     returned unchanged, or the query fails if ``strict``.
     """
-    tree = expr(tree)
     at = node_path(path)
     if at.name_only:
         raise ValueError("only whole nodes can be replaced, not their names")

@@ -1,2 +1,2 @@
 from .results import read_result, result_lines, typed, write_blocks, write_dump, write_result_text
-from .traces import decode_events, read_lines, relative_time, trace_starts
+from .traces import decode_events, read_lines, relative_time, spread, trace_starts

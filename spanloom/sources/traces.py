@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import TREE_TYPE, S, leaf_tree, let, name_at, tree_from_json, update
+from ..functions import TREE_TYPE, S, let, name_at, rename_leaf, tree_from_json
 
 # A table with one row per trace is broadcast up to this many traces; a run
 # compares a handful of directories, each named on the driver.
@@ -17,12 +17,22 @@ BROADCAST_TRACES = 100_000
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Give a small input to all cores.
+
+    Decoding costs more than reading, so a scan with fewer splits than there
+    are cores is dealt out to them.  Larger inputs are left where they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def read_lines(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
     """``(trace_id, line)`` of newline-delimited traces; directories are numbered from 0."""
     if not directories:
         raise ValueError("at least one trace directory is required")
     parts = [
-        spark.read.text(directory).select(F.lit(i).alias("trace_id"), F.col("value").alias("line"))
+        spread(spark.read.text(directory)).select(F.lit(i).alias("trace_id"), F.col("value").alias("line"))
         for i, directory in enumerate(directories)
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -90,6 +100,6 @@ def relative_time(events: DataFrame, starts: DataFrame, traces: int | None = Non
         starts = F.broadcast(starts)
     joined = events.join(starts, "trace_id", "left").withColumn("ts", F.col("ts") - F.col("trace_start"))
     # The tree carries the time as well; exploded so that filters do not copy the update.
-    retimed = update("tree", 2, leaf_tree(S.col("ts").cast("string")))
+    retimed = rename_leaf("tree", 2, S.col("ts").cast("string"))
     rest = [name for name in events.columns if name != "tree"]
     return joined.select(*rest, F.explode(S.array(retimed).column).alias("tree"))

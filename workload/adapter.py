@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources import spread
+
 TRACES = 2
 
 
@@ -104,7 +106,7 @@ def json_sql(tree) -> str:
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the columns the templates use; ``ms`` reads ``ts`` as UTC."""
     wall = "from_utc_timestamp(cast(ts AS timestamp), current_timezone())"
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select(
         "event_id",
         "user_id",
         "event_type",

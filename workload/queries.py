@@ -30,7 +30,7 @@ from spanloom.operators.pairing import span_length, span_pairs, time_delta
 from spanloom.operators.rules import condition, keeps
 from spanloom.operators.services import main_services, resolve_services
 from spanloom.plans import TraceConfig, base_events, context, diagnostics, keep, prepare
-from spanloom.sources import decode_events, result_lines, trace_starts
+from spanloom.sources import decode_events, result_lines, spread, trace_starts
 
 from .adapter import TRACES, event_rows, trace_lines
 
@@ -168,7 +168,7 @@ def paren_reject(spark, sf_dir):
 
 def document_lines(spark, sf_dir):
     """Whole documents as the value of a traced variable: quotes, line breaks and all scripts."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     quoted = "substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)"
     line = f"""'{{"type":"Tuple3","fields":["d","' || doc_id || '",{{"type":"LocalVariable","fields":["f(x)","text",' || {quoted} || ']}}]}}'"""
     lines = documents.select(F.lit(0).alias("trace_id"), F.expr(line).alias("line"))
@@ -182,7 +182,7 @@ def document_lines(spark, sf_dir):
 def tokenize_documents(spark, sf_dir):
     pieces = tokenized("text", "[0-9]+").column
     return (
-        spark.read.parquet(f"{sf_dir}/documents.parquet")
+        spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
         .select("doc_id", pieces.alias("p"))
         .select(
             "doc_id",
@@ -272,8 +272,9 @@ def service_dim(spark, sf_dir):
 
 
 def service_fallback(spark, sf_dir):
-    lines = trace_lines(spark, sf_dir, services=False)
-    ready = prepare(base_events(lines, TRACES), TraceConfig())
+    lines = lambda: trace_lines(spark, sf_dir, services=False)
+    made = lambda: prepare(base_events(lines(), TRACES), TraceConfig())
+    ready = once(spark, sf_dir, "prepared without services", made, "trace_id", "kept", "kind")
     return resolve_services(ready).select("trace_id", "uuid", "host", "port", "name", "start", "service_id", "removed")
 
 
