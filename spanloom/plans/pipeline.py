@@ -90,18 +90,15 @@ def keep(frame: DataFrame, *partitions: str) -> DataFrame:
 
 
 def open_traces(
-    spark: SparkSession, directories: Sequence[str], config: TraceConfig, stored: bool = True, mode: str = "FAILFAST"
+    spark: SparkSession, directories: Sequence[str], config: TraceConfig, mode: str = "FAILFAST"
 ) -> Context:
     """Read, decode and rewrite trace directories for use by any number of blocks.
 
-    ``stored`` computes the prepared events once, laid out by trace and kind: a
-    block then reads the kinds and columns it needs.  Services are kept too.
+    The prepared events are computed once, laid out by trace and kind: a block
+    then reads the kinds and columns it needs.  Services are kept too.
     """
     events = base_events(read_lines(spark, directories), len(directories), mode)
-    prepared = prepare(events, config)
-    if not stored:
-        return context(prepared, config)
-    return kept_context(prepared, config)
+    return kept_context(prepare(events, config), config)
 
 
 def process_trace(
@@ -110,11 +107,10 @@ def process_trace(
     config: TraceConfig,
     result: str | None = None,
     blocks: Sequence[Block] | None = None,
-    stored: bool = True,
     mode: str = "FAILFAST",
 ) -> dict[str, DataFrame]:
     """All result tables of one or more traces; written under ``result`` if given."""
-    ctx = open_traces(spark, directories, config, stored, mode)
+    ctx = open_traces(spark, directories, config, mode)
     chosen = list(blocks if blocks is not None else BLOCKS.values())
     frames = {block.name: block.frame(ctx) for block in chosen}
     if result is not None:

@@ -1,0 +1 @@
+"""Nothing runs on streams: traces are read as a batch once the traced run is over."""

@@ -54,10 +54,16 @@ def directories(tmp_path_factory):
     return [str(one), str(two), str(empty)]
 
 
-@pytest.mark.parametrize("stored", [True, False])
-def test_process(spark, directories, tmp_path, stored):
+@pytest.mark.parametrize("folder", [True, False], ids=["written", "cached"])
+def test_process(spark, directories, tmp_path, folder):
     out = str(tmp_path / "out")
-    tables = process_trace(spark, directories, TraceConfig(), out, stored=stored)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    if not folder:
+        spark.conf.unset("spark.checkpoint.dir")
+    try:
+        tables = process_trace(spark, directories, TraceConfig(), out)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", shared)
     assert set(tables) == {"timerange", "axes", "rpcs", "events", "spans", "stat:count", "stat:dist"}
     driver, executor = "1.1.1.1 10 sparkDriver", "2.2.2.2 20 sparkExecutor"
     assert rows(tables["axes"]) == [(executor,), (driver,), ("z",)]
