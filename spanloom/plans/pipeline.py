@@ -68,6 +68,11 @@ def kept_context(prepared: DataFrame, config: TraceConfig) -> Context:
     return Context(ready.events, keep(ready.services), ready.formatter)
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors can reach, if the cluster names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def keep(frame: DataFrame, *partitions: str) -> DataFrame:
     """Compute an intermediate table once, for all that is made from it.
 
@@ -78,7 +83,7 @@ def keep(frame: DataFrame, *partitions: str) -> DataFrame:
     Without such a folder the table is cached, spilling to disk.
     """
     spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
     if not folder:
         return frame.persist(StorageLevel.MEMORY_AND_DISK)
     target = f"{folder.rstrip('/')}/spanloom-{uuid.uuid4().hex}"

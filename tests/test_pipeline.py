@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from spanloom.plans import pipeline
 from spanloom.plans import TraceConfig, dump_trace, open_traces, process_trace, run
 from spanloom.sources import decode_events, read_lines, read_result
 
@@ -55,15 +56,11 @@ def directories(tmp_path_factory):
 
 
 @pytest.mark.parametrize("folder", [True, False], ids=["written", "cached"])
-def test_process(spark, directories, tmp_path, folder):
+def test_process(spark, directories, tmp_path, monkeypatch, folder):
     out = str(tmp_path / "out")
-    shared = spark.conf.get("spark.checkpoint.dir")
     if not folder:
-        spark.conf.unset("spark.checkpoint.dir")
-    try:
-        tables = process_trace(spark, directories, TraceConfig(), out)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", shared)
+        monkeypatch.setattr(pipeline, "shared_folder", lambda spark: None)
+    tables = process_trace(spark, directories, TraceConfig(), out)
     assert set(tables) == {"timerange", "axes", "rpcs", "events", "spans", "stat:count", "stat:dist"}
     driver, executor = "1.1.1.1 10 sparkDriver", "2.2.2.2 20 sparkExecutor"
     assert rows(tables["axes"]) == [(executor,), (driver,), ("z",)]
