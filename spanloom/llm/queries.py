@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
+from .packing import pack
 from .url_filters import url_verdicts
 
 
@@ -60,9 +62,25 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.size("removed").cast("bigint").alias("n_runs"), sha.alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
+    "op8_packing": op8_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_url_filters": OP5_SQL}
