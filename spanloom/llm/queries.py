@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .packing import pack
+from .toxicity import held_out, toxicity
 from .url_filters import url_verdicts
 
 
@@ -31,6 +32,11 @@ WINDOW w AS (PARTITION BY t ORDER BY n_chars DESC, doc_id)
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -78,6 +84,7 @@ def tokenizer_path(name: str) -> str:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op8_packing": op8_packing,
