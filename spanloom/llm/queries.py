@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
+from .near_dedup import near_classes
 from .packing import pack
 from .toxicity import held_out, toxicity
 from .url_filters import url_verdicts
@@ -32,6 +33,10 @@ WINDOW w AS (PARTITION BY t ORDER BY n_chars DESC, doc_id)
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -84,6 +89,7 @@ def tokenizer_path(name: str) -> str:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
