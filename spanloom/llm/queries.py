@@ -11,6 +11,7 @@ from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .near_dedup import near_classes
 from .packing import pack
+from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
 from .url_filters import url_verdicts
 
@@ -37,6 +38,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -90,6 +95,7 @@ def tokenizer_path(name: str) -> str:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
