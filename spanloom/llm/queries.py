@@ -11,6 +11,7 @@ from .fingerprints import fingerprint_edits
 from .line_dedup import dedup_lines
 from .near_dedup import near_classes
 from .packing import pack
+from .pieces import encoding_digests
 from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
 from .url_filters import url_verdicts
@@ -82,6 +83,10 @@ def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), vocabulary or tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -100,6 +105,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op8_packing": op8_packing,
+    "op9_pieces": op9_pieces,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_url_filters": OP5_SQL}
