@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_edits
+from .language_model import language_scores
 from .line_dedup import dedup_lines
 from .near_dedup import near_classes
 from .packing import pack
@@ -79,6 +80,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.size("removed").cast("bigint").alias("n_runs"), sha.alias("kept_sha256"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language_model": op7_language_model,
     "op8_packing": op8_packing,
     "op9_pieces": op9_pieces,
     "op10_fingerprints": op10_fingerprints,
