@@ -173,7 +173,8 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     if not heads:
         return spark.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     follows = spark.createDataFrame([(heads[(i + 1) % len(heads)][1], b) for i, (b, _) in enumerate(heads)], "head bigint, target int")
-    firsts = rows.join(follows, F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("target").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    # One row per shuffle partition at most, whatever the size of the table.
+    firsts = rows.join(F.broadcast(follows), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("target").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     dealt = rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "text").union(firsts.select("target", F.lit(1), "doc_id", "text"))
     ordered = dealt.repartitionById(len(bounds) + 2, F.col("bucket")).sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
     return ordered.mapInArrow(compare_neighbours(samples), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -27,7 +27,8 @@ def line_chunks(docs: DataFrame, window: int = 2, mean_lines: int = 4) -> DataFr
     ends = F.expr(f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 OR pmod({rolling}, {mean_lines}) = 0)")
     cut = hashed.withColumn("ends", ends)
     spans = F.expr("transform(ends, (e, k) -> struct(if(k = 0, 0, ends[k - 1] + 1) AS first, e AS last))")
-    spread = cut.withColumn("spans", spans).select("doc_id", "text_key", "lines", "h", F.posexplode("spans").alias("chunk", "s"))
+    # The outer form: from a plain explode the planner infers a filter, into which it would copy all of the above.
+    spread = cut.withColumn("spans", spans).select("doc_id", "text_key", "lines", "h", F.posexplode_outer("spans").alias("chunk", "s"))
     n = F.col("s.last") - F.col("s.first") + 1
     return spread.select(
         "doc_id",

@@ -472,3 +472,31 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined(whole, left, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256")
     )
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut from ``text``; all other columns stay as they are.
+
+    ``n_chars``, where there is such a column, is counted anew for the texts
+    that change.  A cut may leave part of a character; such bytes are left
+    out of the text.  Rows whose text is wholly cut go; rows that were empty
+    stay.  Of rows that share ``doc_id`` and text, all are cut alike.
+    """
+    _, changed = cleaned(docs, length)
+    left = changed.filter("n_removed > 0").select("doc_id", F.col("text_hash").alias("__hash"), F.col("left").alias("__left"), F.lit(True).alias("__cut"))
+    out = joined(docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), left, ["doc_id", "__hash"], "left")
+    out = out.filter("__cut is null or octet_length(__left) > 0").withColumn("__new", _readable(F.col("__left")))
+    columns = []
+    for name in docs.columns:
+        column = F.col(f"`{name}`")
+        if name == "text":
+            column = F.when(F.col("__cut"), F.col("__new")).otherwise(column)
+        elif name == "n_chars":
+            column = F.when(F.col("__cut"), F.length("__new").cast(docs.schema[name].dataType)).otherwise(column)
+        columns.append(column.alias(name))
+    return out.select(columns)
+
+
+@F.pandas_udf("string")
+def _readable(data):
+    return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
