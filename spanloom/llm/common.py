@@ -42,6 +42,12 @@ def documents(frame: DataFrame) -> DataFrame:
     return frame.select(own_column(frame, "doc_id", "bigint").alias("doc_id"), F.coalesce(own_column(frame, "text", "string"), F.lit("")).alias("text"))
 
 
+def wrapped(frame: DataFrame) -> DataFrame:
+    """``(row, doc_id, text)``: whole rows as one column, so that nothing an operator adds clashes with a name of the input; ``row.*`` unpacks them."""
+    row = F.struct(*[F.col(f"`{name}`") for name in frame.columns]).alias("row")
+    return frame.select(row, own_column(frame, "doc_id", "bigint").alias("doc_id"), F.coalesce(own_column(frame, "text", "string"), F.lit("")).alias("text"))
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, joined, kept
+from .common import batches_of, documents, joined, kept, wrapped
 
 #: The characters that do not count: ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -130,10 +130,9 @@ def exact_groups(docs: DataFrame, block_bytes: int = 1024, shard_bytes: int = 32
 
 def drop_copies(docs: DataFrame, block_bytes: int = 1024) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that share ``doc_id`` and normalised text, one stays."""
-    stay = exact_groups(docs, block_bytes).filter("kept").groupBy(F.col("doc_id"), F.col("text_sha256").alias("__sha")).count()
-    stay = kept(stay.select("doc_id", "__sha", (F.col("count") > 1).alias("__repeats")))
-    sha = F.sha2(F.encode(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACES, ""), "UTF-8"), 256)
-    left = docs.withColumn("__sha", sha)
-    once = joined(left, stay.filter("not __repeats").drop("__repeats"), ["doc_id", "__sha"], "left_semi")
-    repeats = joined(left, stay.filter("__repeats").drop("__repeats"), ["doc_id", "__sha"], "left_semi")
-    return once.unionByName(repeats.dropDuplicates(["doc_id", "__sha"])).drop("__sha")
+    stay = exact_groups(docs, block_bytes).filter("kept").groupBy("doc_id", F.col("text_sha256").alias("sha")).count()
+    stay = kept(stay.select("doc_id", "sha", (F.col("count") > 1).alias("repeats")))
+    rows = wrapped(docs).select("row", "doc_id", F.sha2(F.encode(F.translate("text", SPACES, ""), "UTF-8"), 256).alias("sha"))
+    once = joined(rows, stay.filter("not repeats").drop("repeats"), ["doc_id", "sha"], "left_semi")
+    repeats = joined(rows, stay.filter("repeats").drop("repeats"), ["doc_id", "sha"], "left_semi")
+    return once.union(repeats.dropDuplicates(["doc_id", "sha"])).select("row.*")

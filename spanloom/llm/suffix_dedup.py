@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, joined, kept
+from .common import batches_of, documents, joined, kept, wrapped
 
 LENGTH = 100
 ANCHOR = 32
@@ -60,7 +60,9 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             break
         suffixes = order[open_]
         own = rank[suffixes]
-        pair = (own << 32) | (rank[np.minimum(suffixes + sorted_bytes, n)] + 1)
+        # Of suffixes that end before, the shorter comes first.
+        after = suffixes + sorted_bytes
+        pair = (own << 32) + np.where(after < n, rank[np.minimum(after, n)], n - after - 1) + (1 << 30)
         again = np.argsort(pair)
         suffixes, pair = suffixes[again], pair[again]
         order[open_] = suffixes
@@ -482,21 +484,21 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out of the text.  Rows whose text is wholly cut go; rows that were empty
     stay.  Of rows that share ``doc_id`` and text, all are cut alike.
     """
+
+    @F.pandas_udf("string")
+    def readable(data):
+        return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
     _, changed = cleaned(docs, length)
-    left = changed.filter("n_removed > 0").select("doc_id", F.col("text_hash").alias("__hash"), F.col("left").alias("__left"), F.lit(True).alias("__cut"))
-    out = joined(docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), left, ["doc_id", "__hash"], "left")
-    out = out.filter("__cut is null or octet_length(__left) > 0").withColumn("__new", _readable(F.col("__left")))
-    columns = []
+    gone = changed.filter("n_removed > 0").select("doc_id", "text_hash", "left", readable("left").alias("new"))
+    out = joined(wrapped(docs).withColumn("text_hash", F.xxhash64("text")), gone, ["doc_id", "text_hash"], "left")
+    out = out.filter("left is null or octet_length(left) > 0")
+    cut, columns = F.col("left").isNotNull(), []
     for name in docs.columns:
-        column = F.col(f"`{name}`")
+        column = F.col("row").getField(name)
         if name == "text":
-            column = F.when(F.col("__cut"), F.col("__new")).otherwise(column)
+            column = F.when(cut, F.col("new")).otherwise(column)
         elif name == "n_chars":
-            column = F.when(F.col("__cut"), F.length("__new").cast(docs.schema[name].dataType)).otherwise(column)
+            column = F.when(cut, F.length("new").cast(docs.schema[name].dataType)).otherwise(column)
         columns.append(column.alias(name))
     return out.select(columns)
-
-
-@F.pandas_udf("string")
-def _readable(data):
-    return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))

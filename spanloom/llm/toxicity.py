@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, kept
+from .common import batches_of, documents, kept, wrapped
 
 #: What a character of disguised text may stand for.  Fixed values.
 STANDS_FOR = {
@@ -362,12 +363,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     @F.pandas_udf("double")
-    def score(texts):
-        out = []
-        for i in range(0, len(texts), 500):
-            out.append(model.value.scores(pa.array(texts.iloc[i : i + 500], pa.large_string())))
-        import pandas as pd
+    def score(texts: pd.Series) -> pd.Series:
+        # Some texts at a time: a batch may hold long ones.
+        parts = [model.value.scores(pa.array(texts.iloc[i : i + 500], pa.large_string())) for i in range(0, len(texts), 500)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
-
-    return docs.withColumn("__score", score(F.coalesce(F.col("text"), F.lit("")))).filter(F.col("__score") < threshold).drop("__score")
+    return wrapped(docs).withColumn("score", score("text")).filter(F.col("score") < threshold).select("row.*")
