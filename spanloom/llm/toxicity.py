@@ -52,25 +52,29 @@ class CharacterModel:
     def logp(self, a: str, b: str, c: str) -> float:
         x, y, z = ord(a), ord(b), ord(c)
         one, total = self.counts[_slot1(z)], self.counts[-1]
-        p = (one + 0.1) / (total + 0.1 * 4096)
+        p = (one + 0.1) / (total + 0.1 * _PRIMES[0])
         p = (self.counts[_slot2(y, z)] + 5 * p) / (self.counts[_slot1(y)] + 5)
         p = (self.counts[_slot3(x, y, z)] + 5 * p) / (self.counts[_slot2(x, y)] + 5)
         return math.log(min(max(p, 1e-12), 1.0))
 
 
+#: n-grams are numbered by their code points (of 21 bits each) modulo primes.
+_PRIMES = (4093, 65521, 262139)
+
+
 def _slot1(z):
-    return z % 4096
+    return z % _PRIMES[0]
 
 
 def _slot2(y, z):
-    return 4096 + (y * 31337 + z) % 65536
+    return _PRIMES[0] + (y * 2097152 + z) % _PRIMES[1]
 
 
 def _slot3(x, y, z):
-    return 4096 + 65536 + ((x * 31337 + y) * 7919 + z) % (1 << BITS)
+    return _PRIMES[0] + _PRIMES[1] + ((x * 2097152 + y) * 2097152 + z) % _PRIMES[2]
 
 
-SLOTS = 4096 + 65536 + (1 << BITS) + 1
+SLOTS = sum(_PRIMES) + 1
 
 
 def decode(observed: str, model: CharacterModel) -> str:
