@@ -3,7 +3,6 @@ from .paths import NodePath, node_path
 from .text import tokenize, tokenized
 from .tree import (
     TREE_TYPE,
-    can_update,
     debug_text,
     has_children,
     is_defined,

@@ -540,15 +540,6 @@ def leaf_tree(text: Expr) -> Expr:
     return _tree(S.array(""), S.array(text))
 
 
-@_bound
-def can_update(tree: Expr | str, path) -> Expr:
-    """Whether :func:`update` has something to replace at this address."""
-    at = node_path(path)
-    if at.name_only:
-        raise ValueError("only whole nodes can be replaced, not their names")
-    return _position(tree, S.lit(at.node)) > 0
-
-
 def update_in(tree: Expr, node: Expr, replacement: Expr, missing: Expr) -> Expr:
     """Replace the subtree whose address (not the root) is in a column.
 

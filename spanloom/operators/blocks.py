@@ -63,14 +63,14 @@ def rpcs(ctx: Context) -> DataFrame:
     # The payload is rendered before the joins: trees stay out of any shuffle.
     messages = ctx.events.filter(F.col("kind") == "RPC").select(
         "trace_id",
-        F.col("ts").alias("time"),
+        "ts",
         name_at("tree", "3.1").column.alias("source"),
         name_at("tree", "3.2").column.alias("target"),
         render("tree", "3.3").column.alias("content"),
     )
     sent = with_endpoint(messages, ctx.endpoints, "source", "origin")
     return with_endpoint(sent, ctx.endpoints, "target", "destination").select(
-        "time", "origin", "destination", "content"
+        F.col("ts").alias("time"), "origin", "destination", "content"
     )
 
 

@@ -30,10 +30,11 @@ def service_id() -> Column:
 
 
 def removed_by(patterns: Sequence[str], service: Column) -> Column:
-    """Whether any pattern matches the whole service id."""
-    if not patterns:
-        return F.lit(False)
-    return service.rlike(r"\A(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\z")
+    """Whether any pattern matches the whole service id; each is matched by itself, so its back-references are its own."""
+    found = F.lit(False)
+    for pattern in patterns:
+        found = found | service.rlike(rf"\A(?:{pattern})\z")
+    return found
 
 
 def registrations(events: DataFrame) -> DataFrame:
@@ -96,20 +97,34 @@ def main_services(services: DataFrame) -> DataFrame:
 
 
 def endpoints(services: DataFrame) -> DataFrame:
-    """One row per address in use; the first registration of an address names it."""
-    first = F.min_by(F.struct("service_id", "removed", "uuid", "name"), F.struct("start", "uuid", "name"))
-    return (
-        services.groupBy("trace_id", "host", "port")
-        .agg(first.alias("first"), F.min("start").alias("start"))
-        .select("trace_id", "host", "port", "start", "first.*")
+    """One row per registration, with the time it is in force: ``since`` up to before ``until``.
+
+    An address names the service that last registered it.  The first
+    registration reaches back without end (``since`` is null), the last one on
+    (``until`` is null).  Of several at one time the last by JVM and name
+    stays.  A window holds the registrations of one address.
+    """
+    of_address = Window.partitionBy("trace_id", "host", "port").orderBy("start", "uuid", "name")
+    return services.select(
+        "trace_id",
+        "host",
+        "port",
+        "start",
+        "service_id",
+        "removed",
+        "uuid",
+        "name",
+        F.when(F.lag("start").over(of_address).isNotNull(), F.col("start")).alias("since"),
+        F.lead("start").over(of_address).alias("until"),
     )
 
 
 def listed_services(services: DataFrame) -> DataFrame:
-    """The services to show, in order of appearance."""
+    """The services to show, each once per trace, in order of appearance."""
     return (
-        endpoints(services)
-        .filter(~F.col("removed"))
+        services.filter(~F.col("removed"))
+        .groupBy("trace_id", "service_id")
+        .agg(F.min("start").alias("start"))
         .select("trace_id", "start", "service_id")
         .orderBy("trace_id", "start", "service_id")
     )
@@ -121,14 +136,23 @@ def with_main_service(events: DataFrame, mains: DataFrame) -> DataFrame:
 
 
 def with_endpoint(messages: DataFrame, ends: DataFrame, address: str, out: str) -> DataFrame:
-    """Resolve an address column to a service id and drop messages to removed services."""
+    """Resolve an address column to the service that holds it at the time of the message.
+
+    Messages to removed services and to addresses that nothing registered are
+    dropped; :func:`spanloom.plans.diagnostics` counts them.  The spans of one
+    address do not overlap, so a message meets one row at most.
+    """
     named = ends.filter(~F.col("removed")).select(
         "trace_id",
         F.col("host").alias("_host"),
         F.col("port").alias("_port"),
+        F.col("since").alias("_since"),
+        F.col("until").alias("_until"),
         F.col("service_id").alias(out),
     )
     located = messages.withColumn("_host", host_of(F.col(address))).withColumn(
         "_port", port_of(F.col(address))
     )
-    return located.join(named, ["trace_id", "_host", "_port"], "inner").drop("_host", "_port")
+    found = located.join(named, ["trace_id", "_host", "_port"], "inner")
+    in_force = (F.col("_since").isNull() | (F.col("ts") >= F.col("_since"))) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
+    return found.filter(in_force).drop("_host", "_port", "_since", "_until")

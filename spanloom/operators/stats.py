@@ -307,7 +307,7 @@ STAT_COLUMNS: dict[str, StatColumn | Percentile] = {
     c.name: c for c in (COUNT, *QUARTILES, ARG_MIN, ARG_MAX)
 }
 
-# Values this close, relative to 1 + |value|, are ranked together (e^(1/1024)).
+# Values this close, relative to themselves, are ranked together (2^(1/1024)).
 _BANDS = 1024
 
 
@@ -318,10 +318,13 @@ def nearest_ranks(
 
     A group is never sorted as a whole.  Its values fall into narrow bands in
     order of size; counts per band tell which band holds each rank, and only
-    the values of that one band are put in order.
+    the values of that one band are put in order.  Bands are narrow relative
+    to the values themselves, so tiny and huge values split alike: 2^-1080 to
+    2^1024 in steps of 2^(1/1024), on both sides of zero.
     """
-    v = F.col(value)
-    band = F.signum(v) * F.floor(F.log(F.abs(v) + 1.0) * _BANDS)
+    v = F.col(value).cast("double")
+    size = F.floor((F.log2(F.abs(v)) + 1080.0) * _BANDS) + 1
+    band = F.when(v == 0, F.lit(0).cast("bigint")).otherwise(F.signum(v).cast("bigint") * size)
     banded = counted.withColumn("band", band)
     in_order = Window.partitionBy(*groups).orderBy("band")
     bands = (

@@ -18,6 +18,8 @@ class TraceConfig:
     filters: Mapping[str, Any] = field(default_factory=lambda: defaults.FILTERS)
     remove_services: Sequence[str] = field(default_factory=lambda: defaults.REMOVE_SERVICES)
     case_parse: Mapping[str, Any] = field(default_factory=lambda: defaults.CASE_PARSE)
+    #: Whether a rule that cannot parse its node fails the run, instead of being recorded in ``faults``.
+    strict: bool = False
 
     @classmethod
     def from_mapping(cls, settings: Mapping[str, Any]) -> TraceConfig:

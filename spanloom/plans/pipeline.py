@@ -19,9 +19,14 @@ from ..sources.traces import decode_events, read_lines, relative_time, trace_sta
 from .config import TraceConfig
 
 
-def base_events(lines: DataFrame, traces: int | None = None, mode: str = "DROPMALFORMED") -> DataFrame:
-    """Decoded events with time relative to the start of their trace, as written."""
-    return relative_time(decode_events(lines, mode), trace_starts(lines), traces)
+def base_events(lines: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
+    """Decoded events with time relative to the start of their trace, as written.
+
+    Lines are read and decoded once; the starts of the traces are those of the
+    events that were accepted.
+    """
+    events = keep(decode_events(lines, mode))
+    return relative_time(events, trace_starts(events))
 
 
 def prepare(events: DataFrame, config: TraceConfig) -> DataFrame:
@@ -40,7 +45,7 @@ def prepare(events: DataFrame, config: TraceConfig) -> DataFrame:
         S.when(announces, name_at("tree", "3.2")).column.alias("service_address"),
         "tree",
     )
-    rewritten = case_parse(announced, config.case_parse)
+    rewritten = case_parse(announced, config.case_parse, strict=config.strict)
     return rewritten.select(
         "trace_id",
         "uuid",
@@ -64,7 +69,7 @@ def context(prepared: DataFrame, config: TraceConfig) -> Context:
 
 def kept_context(prepared: DataFrame, config: TraceConfig) -> Context:
     """A context whose events and services are computed once."""
-    ready = context(keep(prepared, "trace_id", "kept", "kind"), config)
+    ready = context(keep(prepared, "kept", "kind"), config)
     return Context(ready.events, keep(ready.services), ready.formatter)
 
 
@@ -73,25 +78,25 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def keep(frame: DataFrame, *partitions: str) -> DataFrame:
+def keep(frame: DataFrame, *order: str) -> DataFrame:
     """Compute an intermediate table once, for all that is made from it.
 
     It is written to the shared folder the cluster names in
     ``spark.checkpoint.dir`` and read back: a lost executor then costs no
     recomputation of what came before, and the planner knows the true size of
     the table, so it broadcasts small ones by its own threshold and no others.
-    Without such a folder the table is cached, spilling to disk.
+    Without such a folder the table is cached, spilling to disk.  Rows are put
+    in ``order`` within each task, so statistics of row groups let a reader
+    skip what it does not want; data never decides on names or numbers of files.
     """
     spark = frame.sparkSession
     folder = shared_folder(spark)
+    frame = frame.sortWithinPartitions(*order) if order else frame
     if not folder:
         return frame.persist(StorageLevel.MEMORY_AND_DISK)
     target = f"{folder.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
-    frame.write.partitionBy(*partitions).parquet(target)
-    table = spark.read.schema(frame.schema).parquet(target)
-    # An empty string in a partition column comes back as NULL.
-    texts = [name for name in partitions if frame.schema[name].dataType.typeName() == "string"]
-    return table.fillna("", texts).select(frame.columns) if texts else table.select(frame.columns)
+    frame.write.parquet(target)
+    return spark.read.schema(frame.schema).parquet(target)
 
 
 def open_traces(
@@ -102,7 +107,7 @@ def open_traces(
     The prepared events are computed once, laid out by trace and kind: a block
     then reads the kinds and columns it needs.  Services are kept too.
     """
-    events = base_events(read_lines(spark, directories), len(directories), mode)
+    events = base_events(read_lines(spark, directories), mode)
     return kept_context(prepare(events, config), config)
 
 
@@ -128,7 +133,7 @@ def dump_trace(
     spark: SparkSession, directories: Sequence[str], config: TraceConfig, result: str | None = None, mode: str = "FAILFAST"
 ) -> DataFrame:
     """Filtered and rewritten events as debug text, one row each."""
-    events = base_events(read_lines(spark, directories), len(directories), mode)
+    events = base_events(read_lines(spark, directories), mode)
     text = prepare(events, config).filter("kept").select(debug_text("tree").column.alias("value"))
     if result is not None:
         write_dump(text, result)

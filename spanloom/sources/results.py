@@ -69,6 +69,8 @@ def result_lines(blocks: Sequence[Block], frames: Mapping[str, DataFrame]) -> Da
             .withColumn("tie", F.lit(""))
         )
         line = F.concat_ws("\t", *[_field(F.col(f"`{name}`")) for name in names])
+        # A row that is just the end mark, or would read back as one or as blank, gets a backslash in front.
+        line = F.when(line.rlike(r"^\\*(%|\s*)$"), F.concat(F.lit("\\"), line)).otherwise(line)
         kinds = dict(block.columns)
         keys = [F.col(f"`{name}`") for name in block.order]
         numeric = [key.cast("bigint") for key, name in zip(keys, block.order) if kinds[name] != "string"]
@@ -148,7 +150,8 @@ def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     tables = {}
     for number, (name, names, types) in described.items():
         columns = list(zip(names.split("\t"), types.split("\t")))
-        fields = F.split("line", "\t", -1)
+        shown = F.when(F.col("line").rlike(r"^\\+(%|\s*)$"), F.expr("substring(line, 2)")).otherwise(F.col("line"))
+        fields = F.split(shown, "\t", -1)
         rows = records.filter((F.col("block_no") == number) & F.col("line_no").isNull()).select(
             *[F.coalesce(F.get(fields, F.lit(i)), F.lit("")).alias(n) for i, (n, _t) in enumerate(columns)]
         )

@@ -5,34 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import TREE_TYPE, S, let, name_at, rename_leaf, tree_from_json
 
-# A table with one row per trace is broadcast up to this many traces; a run
-# compares a handful of directories, each named on the driver.
-BROADCAST_TRACES = 100_000
-
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Give a small input to all cores.
+def read_lines(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
+    """``(trace_id, line)`` of newline-delimited traces; directories are numbered from 0.
 
-    Decoding costs more than reading, so a scan with fewer splits than there
-    are cores is dealt out to them.  Larger inputs are left where they are.
+    Decoding costs more than reading: set ``spark.sql.files.maxPartitionBytes``
+    for splits as small as the cluster has cores for.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
-def read_lines(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
-    """``(trace_id, line)`` of newline-delimited traces; directories are numbered from 0."""
     if not directories:
         raise ValueError("at least one trace directory is required")
     parts = [
-        spread(spark.read.text(directory)).select(F.lit(i).alias("trace_id"), F.col("value").alias("line"))
+        spark.read.text(directory).select(F.lit(i).alias("trace_id"), F.col("value").alias("line"))
         for i, directory in enumerate(directories)
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -77,28 +67,18 @@ def decode_events(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     )
 
 
-def event_time(line: Column) -> Column:
-    """The time stamp of a raw line, without decoding the rest of it."""
-    stamp = F.get_json_object(line, "$.fields[1]").try_cast("bigint")
-    return F.when(F.get_json_object(line, "$.type").isNotNull(), stamp)
-
-
-def trace_starts(lines: DataFrame) -> DataFrame:
-    """First time stamp of each trace, over the raw input before any filter."""
-    return (
-        lines.groupBy("trace_id").agg(F.min(event_time(F.col("line"))).alias("trace_start"))
-    )
+def trace_starts(events: DataFrame) -> DataFrame:
+    """First time stamp of each trace, over all decoded events before any filter."""
+    return events.groupBy("trace_id").agg(F.min("ts").alias("trace_start"))
 
 
-def relative_time(events: DataFrame, starts: DataFrame, traces: int | None = None) -> DataFrame:
+def relative_time(events: DataFrame, starts: DataFrame) -> DataFrame:
     """Count time from the start of each trace.
 
-    ``starts`` has one row per trace.  With a known number of ``traces`` within
-    bounds it is broadcast, so the events themselves never move.
+    ``starts`` has one row per trace, and traces are the directories a run was
+    given by name, so it is broadcast and the events never move.
     """
-    if traces is not None and traces <= BROADCAST_TRACES:
-        starts = F.broadcast(starts)
-    joined = events.join(starts, "trace_id", "left").withColumn("ts", F.col("ts") - F.col("trace_start"))
+    joined = events.join(F.broadcast(starts), "trace_id", "left").withColumn("ts", F.col("ts") - F.col("trace_start"))
     # The tree carries the time as well; exploded so that filters do not copy the update.
     retimed = rename_leaf("tree", 2, S.col("ts").cast("string"))
     rest = [name for name in events.columns if name != "tree"]

@@ -127,7 +127,7 @@ r AS (SELECT l.*, t AS ms, t - t0 AS ts FROM l JOIN t0 USING (trace_id))"""
 
 SERVICES = f""",
 reg AS (
-  SELECT trace_id, uuid, '10.0.0.' || user_id AS host, CAST(40000 + event_id % 3 AS INTEGER) AS port,
+  SELECT trace_id, uuid, '10.0.0.' || user_id AS host, CAST(40000 + event_id % 2 AS INTEGER) AS port,
          {at(RAW['service'], 1).sql} AS name, min(ts) AS start
   FROM r WHERE tag = 'service' GROUP BY ALL),
 svc AS (SELECT *, host || ' ' || port || ' ' || name AS service_id, name = 'driverPropsFetcher' AS removed FROM reg),
@@ -135,8 +135,9 @@ mains AS (
   SELECT trace_id, uuid, service_id AS service, name AS service_kind FROM svc WHERE NOT removed
   QUALIFY row_number() OVER (PARTITION BY trace_id, uuid ORDER BY start, port, host, name) = 1),
 ends AS (
-  SELECT trace_id, host, port, start, service_id, removed FROM svc
-  QUALIFY row_number() OVER (PARTITION BY trace_id, host, port ORDER BY start, uuid, name) = 1)"""
+  SELECT trace_id, host, port, start, service_id, removed,
+         CASE WHEN lag(start) OVER w IS NOT NULL THEN start END AS since, lead(start) OVER w AS until
+  FROM svc WINDOW w AS (PARTITION BY trace_id, host, port ORDER BY start, uuid, name))"""
 
 
 def select(columns: str, where: str = "true", rest: str = "") -> str:
@@ -147,6 +148,10 @@ def kept(verdict: str) -> str:
     return select(f"uuid, ts, {by_tag(lambda t: t.name)} AS kind", verdict)
 
 
+def in_force(end: str) -> str:
+    return f"({end}.since IS NULL OR r.ts >= {end}.since) AND ({end}.until IS NULL OR r.ts < {end}.until)"
+
+
 def with_services(query: str) -> str:
     return f"WITH {lines_cte()}{SERVICES}{query}"
 
@@ -299,7 +304,7 @@ ORACLES = {
       SELECT trace_id, uuid, '' AS host, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start, uuid) - 1 AS INTEGER) AS port,
       uuid AS name, start, uuid AS service_id, false AS removed FROM first""",
     "main_service": with_services(" SELECT trace_id, uuid, service, service_kind FROM mains"),
-    "endpoint_dim": with_services(" SELECT trace_id, host, port, start, service_id, removed FROM ends"),
+    "endpoint_dim": with_services(" SELECT trace_id, host, port, start, service_id, removed, coalesce(since, -1) AS since, coalesce(until, -1) AS until FROM ends"),
     "time_delta_tasks": with_services(
         TASKS + ' SELECT trace_id, stage, part, s AS start, e AS "end", e - s AS delta FROM task'
     ),
@@ -318,11 +323,11 @@ ORACLES = {
     "order_ship_delta": """WITH d AS (SELECT o_orderkey AS orderkey, max(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS start,
       max(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS "end" FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)
       SELECT *, "end" - start AS delta FROM d""",
-    "axes": with_services(" SELECT service_id AS name FROM ends WHERE NOT removed"),
+    "axes": with_services(" SELECT service_id AS name FROM (SELECT DISTINCT trace_id, service_id FROM svc WHERE NOT removed)"),
     "rpcs": with_services(
         f""" SELECT r.ts AS time, a.service_id AS origin, b.service_id AS destination, {rendered(3, trees=PARSED)} AS content
-      FROM r JOIN ends a ON a.trace_id = r.trace_id AND a.host = '10.0.0.' || ((user_id * 7 + event_id) % 150) AND a.port = 40000 + event_id % 3
-      JOIN ends b ON b.trace_id = r.trace_id AND b.host = '10.0.0.' || user_id AND b.port = 40000 + event_id % 3
+      FROM r JOIN ends a ON a.trace_id = r.trace_id AND a.host = '10.0.0.' || ((user_id * 7 + event_id) % 150) AND a.port = 40000 + event_id % 2 AND {in_force("a")}
+      JOIN ends b ON b.trace_id = r.trace_id AND b.host = '10.0.0.' || user_id AND b.port = 40000 + event_id % 2 AND {in_force("b")}
       WHERE {MESSAGES} AND NOT a.removed AND NOT b.removed"""
     ),
     "events_block": with_services(
@@ -374,7 +379,7 @@ ORACLES = {
         (2, 0, 'num' || chr(9) || 'string' || chr(9) || 'num'), (2, 2, '%'))
       SELECT * FROM head UNION ALL SELECT 0, 1, CAST(min(ts) AS VARCHAR) FROM known
       UNION ALL SELECT 0, 1, CAST(max(ts) AS VARCHAR) FROM known
-      UNION ALL SELECT 1, 1, service_id FROM ends WHERE NOT removed
+      UNION ALL SELECT 1, 1, service_id FROM (SELECT DISTINCT trace_id, service_id FROM svc WHERE NOT removed)
       UNION ALL SELECT 2, 1, trace || chr(9) || stat || chr(9) || n FROM ({STAT_COUNT})"""
     ),
 }

@@ -30,7 +30,7 @@ from spanloom.operators.pairing import span_length, span_pairs, time_delta
 from spanloom.operators.rules import condition, keeps
 from spanloom.operators.services import main_services, resolve_services
 from spanloom.plans import TraceConfig, base_events, context, diagnostics, keep, prepare
-from spanloom.sources import decode_events, result_lines, spread, trace_starts
+from spanloom.sources import decode_events, result_lines, trace_starts
 
 from .adapter import TRACES, event_rows, trace_lines
 
@@ -38,23 +38,23 @@ from .adapter import TRACES, event_rows, trace_lines
 _KEPT: dict[tuple, DataFrame] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], *partitions: str) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], *order: str) -> DataFrame:
     """A table that all queries of a session share; see :func:`spanloom.plans.keep`."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = keep(make(), *partitions)
+        _KEPT[key] = keep(make(), *order)
     return _KEPT[key]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded events as they were written."""
-    return once(spark, sf_dir, "events", lambda: base_events(trace_lines(spark, sf_dir), TRACES))
+    return once(spark, sf_dir, "events", lambda: base_events(trace_lines(spark, sf_dir)))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events after case parsing, with the verdict of the filters."""
     made = lambda: prepare(events(spark, sf_dir), TraceConfig())
-    return once(spark, sf_dir, "prepared", made, "trace_id", "kept", "kind")
+    return once(spark, sf_dir, "prepared", made, "kept", "kind")
 
 
 def default_context(spark: SparkSession, sf_dir: str) -> Context:
@@ -168,7 +168,7 @@ def paren_reject(spark, sf_dir):
 
 def document_lines(spark, sf_dir):
     """Whole documents as the value of a traced variable: quotes, line breaks and all scripts."""
-    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
     quoted = "substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)"
     line = f"""'{{"type":"Tuple3","fields":["d","' || doc_id || '",{{"type":"LocalVariable","fields":["f(x)","text",' || {quoted} || ']}}]}}'"""
     lines = documents.select(F.lit(0).alias("trace_id"), F.expr(line).alias("line"))
@@ -182,7 +182,7 @@ def document_lines(spark, sf_dir):
 def tokenize_documents(spark, sf_dir):
     pieces = tokenized("text", "[0-9]+").column
     return (
-        spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
         .select("doc_id", pieces.alias("p"))
         .select(
             "doc_id",
@@ -207,11 +207,11 @@ def quarantine(spark, sf_dir):
 
 
 def relative_time(spark, sf_dir):
-    return base_events(trace_lines(spark, sf_dir), TRACES).select("trace_id", "uuid", "ts")
+    return base_events(trace_lines(spark, sf_dir)).select("trace_id", "uuid", "ts")
 
 
 def trace_start(spark, sf_dir):
-    return trace_starts(trace_lines(spark, sf_dir))
+    return trace_starts(decode_events(trace_lines(spark, sf_dir), "DROPMALFORMED"))
 
 
 def diagnose(spark, sf_dir):
@@ -273,8 +273,8 @@ def service_dim(spark, sf_dir):
 
 def service_fallback(spark, sf_dir):
     lines = lambda: trace_lines(spark, sf_dir, services=False)
-    made = lambda: prepare(base_events(lines(), TRACES), TraceConfig())
-    ready = once(spark, sf_dir, "prepared without services", made, "trace_id", "kept", "kind")
+    made = lambda: prepare(base_events(lines()), TraceConfig())
+    ready = once(spark, sf_dir, "prepared without services", made, "kept", "kind")
     return resolve_services(ready).select("trace_id", "uuid", "host", "port", "name", "start", "service_id", "removed")
 
 
@@ -283,7 +283,7 @@ def main_service(spark, sf_dir):
 
 
 def endpoint_dim(spark, sf_dir):
-    return default_context(spark, sf_dir).endpoints.select("trace_id", "host", "port", "start", "service_id", "removed")
+    return default_context(spark, sf_dir).endpoints.select("trace_id", "host", "port", "start", "service_id", "removed", F.coalesce("since", F.lit(-1)).alias("since"), F.coalesce("until", F.lit(-1)).alias("until"))
 
 
 # ---------------------------------------------------------------- pairing
