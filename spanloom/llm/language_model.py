@@ -309,7 +309,7 @@ def train_part(vocabulary: Vocabulary, chunk: int, rate: float):
             fresh[starts[:-1]] = True
             inputs[fresh] = vocabulary.end
             # The texts one after the other, dealt into lanes of equal length; the last, shorter steps have fewer lanes.
-            lanes = min(LANES, max(1, n // 64))
+            lanes = min(LANES, max(1, n // 512))
             length = -(-n // lanes)
             state = np.zeros((lanes, HIDDEN), np.float32)
             first = np.arange(lanes) * length
