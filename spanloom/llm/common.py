@@ -24,11 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Lets Spark delete the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(frame: DataFrame) -> DataFrame:
-    """Compute a table once: written to the shared folder and read back, which also cuts its lineage."""
+    """Compute a table once: written to the shared folder and read back, which also cuts its lineage.
+
+    What was shuffled to make it is deleted once it is written.
+    """
     spark = frame.sparkSession
     target = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    frame.write.parquet(target)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        frame.write.parquet(target)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(frame.schema).parquet(target)
 
 
@@ -52,9 +64,10 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hint: str | None = None) -> DataFrame:
     """Join on keys that may be null; the keys are taken from the left."""
     renamed = right.select([F.col(k).alias(f"__{k}") for k in keys] + [c for c in right.columns if c not in keys])
+    renamed = renamed.hint(hint) if hint else renamed
     on = None
     for k in keys:
         one = same(left[k], renamed[f"__{k}"])

@@ -69,7 +69,8 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean_lines: int = 4, min_lines
     runs = repeated_chunks(docs, window, mean_lines, min_lines)
     gone = kept(runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("removed")))
     base = documents(docs).withColumn("text_key", F.xxhash64("text"))
-    out = joined(base, gone, ["doc_id", "text_key"], "left").withColumn("lines", F.split("text", "\n", -1))
+    # What is removed grows with the table: always a merge join, whose plan does not change with the size.
+    out = joined(base, gone, ["doc_id", "text_key"], "left", "merge").withColumn("lines", F.split("text", "\n", -1))
     # Runs are in order and apart: what stays lies between the end of one and the start of the next.
     none = "cast(array() AS array<struct<first: int, n: int>>)"
     out = out.withColumn("removed", F.coalesce("removed", F.expr(none)))
