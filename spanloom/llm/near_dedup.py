@@ -22,10 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, documents, joined, kept
+from .common import batches_of, components, documents, joined, kept, wrapped
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Sketches of a text, labelled shingles in each, and how many sketches candidates share.  At a similarity of 0.8 a
+#: pair shares a sketch with probability 0.8 ** 3, so it shares fewer than five of 32 five times in a million.
+SKETCHES, TAKEN, SHARED = 32, 3, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,7 +145,7 @@ def _text_key(words: np.ndarray) -> bytes:
 
 
 def sketch_rows(docs: DataFrame, n_sketches: int, taken: int) -> DataFrame:
-    """``(doc_id, text_hash, text_key, bands)`` per row of ``docs``; ``doc_id`` and ``text_hash`` tell rows apart."""
+    """``(doc_id, text_hash, text_key, n, bands)`` per row of ``docs``; ``doc_id`` and ``text_hash`` tell rows apart, ``n`` counts shingles."""
     salts = np.random.default_rng(2).integers(1, 2**62, n_sketches, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +155,12 @@ def sketch_rows(docs: DataFrame, n_sketches: int, taken: int) -> DataFrame:
             for i, j in zip(starts, starts[1:]):
                 keys.append(_text_key(words[i:j]))
                 found.append(sketches(shingles(words[i:j]), salts, taken).view(np.int64))
-            columns = [part["doc_id"].combine_chunks(), part["text_hash"].combine_chunks(), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "text_key", "bands"])
+            n = np.maximum(np.diff(starts) - SHINGLE + 1, 1).astype(np.int64)
+            columns = [part["doc_id"].combine_chunks(), part["text_hash"].combine_chunks(), pa.array(keys, pa.binary()), pa.array(n), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "text_key", "n", "bands"])
 
     rows = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, text_key binary, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, text_key binary, n bigint, bands array<bigint>")
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -190,7 +194,7 @@ def verified(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int = 16, taken: int = 2) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int = SKETCHES, taken: int = TAKEN, shared: int = SHARED) -> DataFrame:
     """One row per row of ``docs``: ``(doc_id, text_hash, class_id, class_size, n_links, kept)``.
 
     Classes are the connected components of linked texts; ``class_id`` is the
@@ -199,8 +203,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
     Copies (equal sequences of lower-case words) are handled as one text.  A
     null or empty text is a text of no words; all of these are copies.
 
-    Within a bucket of equal sketches no all-pairs product is made.  Each text
-    meets one leader first, chosen by hash; once classes are known, only
+    Candidates share a sketch, and ``shared`` of them in all, and their numbers
+    of shingles allow the similarity.  Within a bucket of equal sketches no
+    all-pairs product is made.  Each text
+    meets one leader first, the text that shares most with all others; once classes are known, only
     buckets that still hold several of them go on, with sixteen times as many
     leaders each time, until every bucket is one class or every pair across
     its classes was compared.  So no link between candidates of different
@@ -209,32 +215,39 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
     """
     rows = kept(sketch_rows(docs, n_sketches, taken))
     origin = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("origin")
-    texts = rows.groupBy("text_key").agg(F.first("bands").alias("bands"), origin)
+    texts = rows.groupBy("text_key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), origin)
     texts = kept(texts.withColumn("text_no", F.monotonically_increasing_id()))
-    bands = texts.select("text_no", F.posexplode("bands").alias("band", "key"))
-    sizes = kept(bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("text_no", "band").alias("h"), "text_no")).alias("leader")).filter("size > 1"))
-    sizes = sizes.select("band", "key", "size", F.col("leader.text_no").alias("leader"))
+    # A byte of each sketch goes along, to count how many two texts share.
+    sig = F.transform("bands", lambda b: (F.pmod(b, F.lit(251)) - 125).cast("tinyint"))
+    bands = texts.select("text_no", "n", sig.alias("sig"), F.posexplode("bands").alias("band", "key"))
+    alike = f"least(n, n_x) >= {threshold} * greatest(n, n_x) AND size(filter(zip_with(sig, sig_x, (p, q) -> p = q), e -> e)) >= {shared}"
+    sizes = kept(bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1"))
     members = kept(bands.join(sizes, ["band", "key"]))
+    # A text that many others were made from shares more sketches with them than they do with one another.
+    degree = members.groupBy("text_no").agg(F.sum("size").alias("degree"))
+    hub = F.max(F.struct("degree", (-F.col("text_no")).alias("first"), "n", "sig")).alias("hub")
+    hubs = kept(members.join(degree, "text_no").groupBy("band", "key").agg(hub))
+    hubs = hubs.select("band", "key", (-F.col("hub.first")).alias("x"), F.col("hub.n").alias("n_x"), F.col("hub.sig").alias("sig_x"))
     wanted = members.select("text_no").distinct().join(texts.select("text_no", "origin.doc_id", "origin.text_hash"), "text_no")
     codes = kept(shingle_rows(docs, wanted))
 
     def between(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
 
-    tested = kept(between(members.select(F.col("leader").alias("x"), F.col("text_no").alias("y"))))
+    tested = kept(between(members.join(hubs, ["band", "key"]).filter(alike).select("x", F.col("text_no").alias("y"))))
     links = kept(verified(tested, codes, threshold))
     classes = components(links)
     leaders = 16
     while True:
         named = members.join(classes.withColumnRenamed("node", "text_no"), "text_no", "left").withColumn("class", F.coalesce("root", "text_no"))
         open_ = named.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("band", "key")
-        named = kept(named.join(kept(open_), ["band", "key"], "left_semi").select("band", "key", "size", "text_no", "class").filter(F.col("size") > leaders // 16))
+        named = kept(named.join(kept(open_), ["band", "key"], "left_semi").select("band", "key", "size", "text_no", "n", "sig", "class").filter(F.col("size") > leaders // 16))
         if not named.head(1):
             break
         # About so many leaders of each bucket; all of its members where it has no more.
         chosen = named.filter((F.pmod(F.xxhash64("band", "text_no"), F.lit(1 << 20)) / (1 << 20)) * F.col("size") < leaders)
-        chosen = chosen.select("band", "key", F.col("text_no").alias("x"), F.col("class").alias("class_x"))
-        new = named.join(chosen, ["band", "key"]).filter("class <> class_x").select("x", F.col("text_no").alias("y"))
+        chosen = chosen.select("band", "key", F.col("text_no").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x"), F.col("class").alias("class_x"))
+        new = named.join(chosen, ["band", "key"]).filter("class <> class_x").filter(alike).select("x", F.col("text_no").alias("y"))
         new = kept(between(new).join(tested, ["a", "b"], "left_anti"))
         if new.head(1):
             tested = tested.union(new)
@@ -259,9 +272,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns; of rows that share ``doc_id`` and text, one stays."""
-    stay = near_classes(docs, threshold).filter("kept").groupBy("doc_id", F.col("text_hash").alias("__hash")).count()
-    stay = kept(stay.select("doc_id", "__hash", (F.col("count") > 1).alias("__repeats")))
-    left = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    once = joined(left, stay.filter("not __repeats").drop("__repeats"), ["doc_id", "__hash"], "left_semi")
-    repeats = joined(left, stay.filter("__repeats").drop("__repeats"), ["doc_id", "__hash"], "left_semi")
-    return once.unionByName(repeats.dropDuplicates(["doc_id", "__hash"])).drop("__hash")
+    stay = near_classes(docs, threshold).filter("kept").groupBy("doc_id", "text_hash").count()
+    stay = kept(stay.select("doc_id", "text_hash", (F.col("count") > 1).alias("repeats")))
+    rows = wrapped(docs).select("row", "doc_id", F.xxhash64("text").alias("text_hash"))
+    once = joined(rows, stay.filter("not repeats").drop("repeats"), ["doc_id", "text_hash"], "left_semi")
+    repeats = joined(rows, stay.filter("repeats").drop("repeats"), ["doc_id", "text_hash"], "left_semi")
+    return once.union(repeats.dropDuplicates(["doc_id", "text_hash"])).select("row.*")
