@@ -301,6 +301,7 @@ def cut_segments(length: int):
         packs: list[np.ndarray] = []
         shared: np.ndarray | None = None
         known: dict[tuple, tuple[list[int], list[int]]] = {}
+        sent: set[bytes] = set()
         last = None
         for batch in batches:
             out: list[tuple] = []
@@ -333,7 +334,14 @@ def cut_segments(length: int):
                     mark = np.where(wanted, place + 1, 0)
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], mark, [0]])))
                     for s, e in zip(edge, edge[1:]):
-                        if mark[s]:
+                        if not mark[s]:
+                            continue
+                        # A segment that this part has sent repeats throughout; documents come in order.
+                        digest = hashlib.blake2b(data[s : e + length - 1], digest_size=16).digest()
+                        if digest in sent:
+                            starts, ends = [*starts, int(s)], [*ends, int(e)]
+                        else:
+                            sent.add(digest)
                             mine.append((doc_id, text_hash, None, None, None, int(value[s].view(np.int64)), int(s), data[s : e + length - 1]))
                 if mine or starts:
                     out.append((doc_id, text_hash, text, starts, ends, None, None, None))
@@ -349,7 +357,14 @@ def merge_segments(length: int):
 
     def merged(rows: list[tuple]) -> list[tuple]:
         seen = np.zeros(0, f"S{length}")
-        out = []
+        out, distinct, whole = [], [], set()
+        for r in rows:  # of equal segments the first is looked at, the others repeat throughout
+            if r[4] in whole:
+                out.append((r[1], r[2], r[3], r[3] + len(r[4]) - length + 1))
+            else:
+                whole.add(r[4])
+                distinct.append(r)
+        rows = distinct if len(distinct) > 1 else []
         for i in range(0, len(rows), 256):
             part = rows[i : i + 256]
             strings = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(r[4], np.uint8), length) for r in part]
@@ -414,7 +429,7 @@ def cut_out(length: int):
     return run
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def cleaned(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, text_hash, n_bytes, sha)`` of all documents, and ``(doc_id, text_hash, n_removed, starts, ends, left)`` of those that lose bytes.
 
     "Earlier" is a smaller ``doc_id`` (null first; equal ids by a hash of the
