@@ -38,7 +38,7 @@ def kept(frame: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        frame.write.parquet(target)
+        frame.write.option("compression", "zstd").parquet(target)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(frame.schema).parquet(target)
