@@ -71,16 +71,20 @@ def labelled(codes: np.ndarray) -> np.ndarray:
 def sketches(codes: np.ndarray, salts: np.ndarray, taken: int) -> np.ndarray:
     """One number per salt: of the ``taken`` labelled shingles of smallest hash, in text order."""
     own = labelled(codes)
+    taken = min(taken, len(own))
+    # So many salts at a time that a very long text needs no more memory than its shingles do.
+    step = max(1, (1 << 20) // len(own))
+    out = np.zeros(len(salts), np.uint64)
     with np.errstate(over="ignore"):
-        h = own[None, :] * salts[:, None]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        taken = min(taken, h.shape[1])
-        at = np.sort(np.argpartition(h, taken - 1, axis=1)[:, :taken], axis=1)
-        out = np.zeros(len(salts), np.uint64)
-        for k in range(taken):
-            out = (out ^ own[at[:, k]]) * _MIX
-            out ^= out >> np.uint64(31)
+        for i in range(0, len(salts), step):
+            h = own[None, :] * salts[i : i + step, None]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            at = np.sort(np.argpartition(h, taken - 1, axis=1)[:, :taken], axis=1)
+            part = out[i : i + step]
+            for k in range(taken):
+                part[:] = (part ^ own[at[:, k]]) * _MIX
+                part ^= part >> np.uint64(31)
         return (out ^ salts) * _MIX
 
 
