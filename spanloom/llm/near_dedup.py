@@ -211,7 +211,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
     of shingles allow the similarity.  Within a bucket of equal sketches no
     all-pairs product is made.  Each text
     meets one leader first, the text that shares most with all others; once classes are known, only
-    buckets that still hold several of them go on, with sixteen times as many
+    buckets that still hold several of them go on, with four times as many
     leaders each time, until every bucket is one class or every pair across
     its classes was compared.  So no link between candidates of different
     classes is lost, and a hot bucket of near copies costs a few comparisons
@@ -241,15 +241,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
     tested = kept(between(members.join(hubs, ["band", "key"]).filter(alike).select("x", F.col("text_no").alias("y"))))
     links = kept(verified(tested, codes, threshold))
     classes = components(links)
-    leaders = 16
+    leaders = 4
     while True:
         named = members.join(classes.withColumnRenamed("node", "text_no"), "text_no", "left").withColumn("class", F.coalesce("root", "text_no"))
         open_ = named.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("band", "key")
-        named = kept(named.join(kept(open_), ["band", "key"], "left_semi").select("band", "key", "size", "text_no", "n", "sig", "class").filter(F.col("size") > leaders // 16))
+        named = kept(named.join(kept(open_), ["band", "key"], "left_semi").select("band", "key", "size", "text_no", "n", "sig", "class").filter(F.col("size") > leaders // 4))
         if not named.head(1):
             break
-        # About so many leaders of each bucket; all of its members where it has no more.
-        chosen = named.filter((F.pmod(F.xxhash64("band", "text_no"), F.lit(1 << 20)) / (1 << 20)) * F.col("size") < leaders)
+        # About so many leaders of each bucket; all of its members where it has no more.  A text leads in all its
+        # buckets alike, so that the buckets of one group propose the same pairs.
+        chosen = named.filter((F.pmod(F.xxhash64("text_no"), F.lit(1 << 20)) / (1 << 20)) * F.col("size") < leaders)
         chosen = chosen.select("band", "key", F.col("text_no").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x"), F.col("class").alias("class_x"))
         new = named.join(chosen, ["band", "key"]).filter("class <> class_x").filter(alike).select("x", F.col("text_no").alias("y"))
         new = kept(between(new).join(tested, ["a", "b"], "left_anti"))
@@ -257,7 +258,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
             tested = tested.union(new)
             links = links.union(kept(verified(new, codes, threshold)))
             classes = components(links)
-        leaders *= 16
+        leaders *= 4
     own = texts.select("text_key", "text_no").join(classes.withColumnRenamed("node", "text_no"), "text_no", "left")
     own = own.select("text_key", F.coalesce("root", "text_no").alias("class"))
     per_class = links.join(classes.withColumnRenamed("node", "a"), "a").groupBy(F.col("root").alias("class")).agg(F.count("*").alias("n_links"))
