@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -48,9 +48,18 @@ class CharacterModel:
     """Counts of hashed character n-grams of orders 1 to 3, spaces being the ends of words; interpolated from short to long."""
 
     counts: np.ndarray
+    #: What :meth:`logp` gave before; emptied whenever it is full.
+    known: dict[tuple[str, str, str], float] = field(default_factory=dict, repr=False, compare=False)
 
     def logp(self, a: str, b: str, c: str) -> float:
-        x, y, z = ord(a), ord(b), ord(c)
+        found = self.known.get((a, b, c))
+        if found is None:
+            if len(self.known) >= 1 << 19:
+                self.known.clear()
+            found = self.known[a, b, c] = self._logp(ord(a), ord(b), ord(c))
+        return found
+
+    def _logp(self, x: int, y: int, z: int) -> float:
         one, total = self.counts[_slot1(z)], self.counts[-1]
         p = (one + 0.1) / (total + 0.1 * _PRIMES[0])
         p = (self.counts[_slot2(y, z)] + 5 * p) / (self.counts[_slot1(y)] + 5)
