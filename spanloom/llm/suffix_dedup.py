@@ -290,12 +290,12 @@ def meeting_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 _SEGMENT = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("anchor", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("anchor", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())]
 )
 
 
 def cut_segments(length: int):
-    """Over the rows of one part, hashes first: the documents that repeats may touch, and the strings around anchors that other parts have."""
+    """Over the rows of one part, hashes first: the runs of starts that repeat in the part, and the strings around anchors that other parts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[np.ndarray] = []
@@ -342,10 +342,10 @@ def cut_segments(length: int):
                             starts, ends = [*starts, int(s)], [*ends, int(e)]
                         else:
                             sent.add(digest)
-                            mine.append((doc_id, text_hash, None, None, None, int(value[s].view(np.int64)), int(s), data[s : e + length - 1]))
-                if mine or starts:
-                    out.append((doc_id, text_hash, text, starts, ends, None, None, None))
-                    out += mine
+                            mine.append((doc_id, text_hash, None, None, int(value[s].view(np.int64)), int(s), data[s : e + length - 1]))
+                if starts:
+                    out.append((doc_id, text_hash, starts, ends, None, None, None))
+                out += mine
             for i in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[i : i + 20_000]), _SEGMENT)], schema=_SEGMENT)
 
@@ -409,14 +409,22 @@ def _runs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def cut_out(length: int):
-    """Remove the runs of each document."""
+    """Over rows in order of document, its runs before its text: the documents that have runs, without these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting = None, None
         for batch in batches:
             rows = []
             for doc_id, text_hash, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "runs"))):
+                if runs is not None:
+                    last, waiting = (doc_id, text_hash), runs
+                    continue
+                # Rows that share id and text are one document.
+                if waiting is None or (doc_id, text_hash) != last:
+                    continue
                 data = text.encode()
-                spans = removed_spans([(r["start"], r["end"]) for r in runs], length)
+                spans = removed_spans([(r["start"], r["end"]) for r in waiting], length)
+                waiting = None
                 pieces, at = [], 0
                 for s, e in spans:
                     pieces.append(data[at:s])
@@ -460,8 +468,8 @@ def cleaned(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 20) -
     own = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int"))
     all_ = shaped(shared, 0).unionByName(shaped(own, 1)).unionByName(shaped(rows.select("part", "doc_id", "text_hash", "text"), 2))
     dealt = all_.repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind", "doc_id", "text_hash")
-    touched = kept(dealt.mapInArrow(cut_segments(length), "doc_id bigint, text_hash bigint, text string, starts array<bigint>, ends array<bigint>, anchor bigint, start bigint, segment binary"))
-    texts = touched.filter("anchor is null").select("doc_id", "text_hash", "text", "starts", "ends")
+    touched = kept(dealt.mapInArrow(cut_segments(length), "doc_id bigint, text_hash bigint, starts array<bigint>, ends array<bigint>, anchor bigint, start bigint, segment binary"))
+    within = touched.filter("anchor is null").select("doc_id", "text_hash", "starts", "ends")
     segments = touched.filter("anchor is not null").select("anchor", "doc_id", "text_hash", "start", "segment")
 
     hot = kept(segments.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"))
@@ -475,10 +483,13 @@ def cleaned(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 20) -
     place = F.struct("doc_id", "text_hash", "start")
     firsts = kept(strings.groupBy("string").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("string", "first"))
     runs = runs.union(strings.join(firsts, "string").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "start", (F.col("start") + 1).alias("end")))
-    runs = runs.union(texts.select("doc_id", "text_hash", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select("doc_id", "text_hash", "r.starts", "r.ends"))
+    runs = runs.union(within.select("doc_id", "text_hash", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select("doc_id", "text_hash", "r.starts", "r.ends"))
     per_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    changed = joined(texts.select("doc_id", "text_hash", "text"), per_doc, ["doc_id", "text_hash"])
-    return whole, kept(changed.mapInArrow(cut_out(length), "doc_id bigint, text_hash bigint, n_removed bigint, starts array<bigint>, ends array<bigint>, left binary"))
+    # Runs meet the texts by the same part as before; texts are read again rather than kept.
+    per_doc = per_doc.select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int").alias("part"), F.lit(0).alias("kind"), "doc_id", "text_hash", F.lit(None).cast("string").alias("text"), "runs")
+    texts = rows.select("part", F.lit(1).alias("kind"), "doc_id", "text_hash", "text", F.lit(None).cast(per_doc.schema["runs"].dataType).alias("runs"))
+    both = per_doc.union(texts).repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "text_hash", "kind")
+    return whole, kept(both.select("doc_id", "text_hash", "text", "runs").mapInArrow(cut_out(length), "doc_id bigint, text_hash bigint, n_removed bigint, starts array<bigint>, ends array<bigint>, left binary"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
