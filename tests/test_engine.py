@@ -32,7 +32,7 @@ from spanloom.operators.stats import (
 from spanloom.plans import TraceConfig, context, defaults
 from spanloom.sources import read_result, result_lines, write_result_text
 
-from samples import DEEP, RUN, SERVICES, evaluate, prepared, rows, run_context, trees
+from samples import RUN, SERVICES, evaluate, prepared, rows, run_context, trees
 
 DRIVER, EXEC = "1 1 sparkDriver", "2 1 sparkExecutor"
 
@@ -169,38 +169,46 @@ def service_events(spark):
 
 def test_service_dimension(service_events):
     services = resolve_services(service_events)
-    assert services.count() == 15
-    assert services.select("trace_id", "uuid").distinct().count() == 9
+    assert services.count() == 8
+    assert services.select("trace_id", "uuid").distinct().count() == 6
     assert services.filter("trace_id = 0").select("uuid").distinct().count() == 4
-    (one,) = endpoints(services).filter("host = '10.50.108.70' AND port = 38638").collect()
-    assert (one.trace_id, one.start, one.service_id) == (1, 1505917121956, "10.50.108.70 38638 sparkDriver")
-    assert one.uuid == "b5b55c94-21bc-4f90-a027-39c4591cc65f"
+    (one,) = endpoints(services).filter("host = '192.168.7.4' AND port = 7301").collect()
+    assert (one.trace_id, one.start, one.service_id, one.uuid) == (1, 60, "192.168.7.4 7301 sparkExecutor", "aide")
     listed = rows(listed_services(services))
-    assert listed == sorted(listed) and len(listed) == 15
+    assert listed == sorted(listed) and len(listed) == 8
 
 
 @pytest.mark.parametrize(
     "removed, main, passing",
     [
-        ([], "10.50.108.70 41246 driverPropsFetcher", [True, True, True]),
-        ([".*sparkExecutor"], "10.50.108.70 41246 driverPropsFetcher", [True, False, False]),
-        ([".*driverPropsFetcher"], "10.50.108.70 41250 sparkExecutor", [False, True, False]),
+        ([], "192.168.7.2 7101 driverPropsFetcher", [True, True, True]),
+        ([".*sparkExecutor"], "192.168.7.2 7101 driverPropsFetcher", [True, False, False]),
+        ([".*driverPropsFetcher"], "192.168.7.2 7102 sparkExecutor", [False, True, False]),
         ([".*sparkExecutor", ".*driverPropsFetcher"], None, [False, False, False]),
-        (["sparkExecutor"], "10.50.108.70 41246 driverPropsFetcher", [True, True, True]),
+        (["sparkExecutor"], "192.168.7.2 7101 driverPropsFetcher", [True, True, True]),
     ],
 )
 def test_service_removal(spark, service_events, removed, main, passing):
     services = resolve_services(service_events, removed)
-    mains = {r.uuid: r.service for r in main_services(services).collect()}
-    assert mains.get("77152954-d105-46ca-b6cf-3a32c76e42a6") == main
-    assert mains.get("3bcf41dd-fcb9-40f4-9ce0-da5337598517") == "10.50.108.70 35766 sparkDriver"
-    fetcher, driver, executor = "/10.50.108.70:41246", "/10.50.108.70:35766", "/10.50.108.70:41250"
-    pairs = spark.createDataFrame([(0, 0, fetcher, driver), (1, 0, driver, executor), (2, 0, fetcher, executor)], "i int, trace_id int, a string, b string")
+    mains = {(r.trace_id, r.uuid): r.service for r in main_services(services).collect()}
+    assert mains.get((0, "hand")) == main
+    assert mains.get((0, "boss")) == "192.168.7.1 7001 sparkDriver"
+    fetcher, driver, executor = "/192.168.7.2:7101", "/192.168.7.1:7001", "/192.168.7.2:7102"
+    pairs = [(0, 0, 200, fetcher, driver), (1, 0, 200, driver, executor), (2, 0, 200, fetcher, executor)]
+    pairs = spark.createDataFrame(pairs, "i int, trace_id int, ts bigint, a string, b string")
     ends = endpoints(services)
     kept = {r.i for r in with_endpoint(with_endpoint(pairs, ends, "a", "x"), ends, "b", "y").collect()}
     assert [i in kept for i in range(3)] == passing
 
 
+def test_reused_address(spark, service_events):
+    ends = endpoints(resolve_services(service_events))
+    messages = spark.createDataFrame([(0, ts, "/192.168.7.2:7101") for ts in (10, 299, 300, 999)], "trace_id int, ts bigint, a string")
+    found = {r.ts: r.x for r in with_endpoint(messages, ends, "a", "x").collect()}
+    before, after = "192.168.7.2 7101 driverPropsFetcher", "192.168.7.2 7101 sparkExecutor"
+    assert found == {10: before, 299: before, 300: after, 999: after}
+
+
 def test_stand_ins(spark):
     ready = prepared(spark, ["(v,7,MainEnd)", "(u,7,MainEnd)", "(w,5,MainEnd)", "(w,9,MainEnd)"], ["(a,1,Service(n,/h:1))"])
     found = resolve_services(ready).select("trace_id", "uuid", "host", "port", "start", "service_id")
