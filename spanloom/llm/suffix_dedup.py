@@ -6,10 +6,11 @@ array, refined by prefix doubling of the groups that are not yet sorted, and
 the common prefixes of neighbours in it, so its own repeats are known.
 
 Across shards, a string of ``length`` bytes that occurs in two of them shares
-its anchor, the window of ``ANCHOR`` bytes of smallest hash in it.  Shards send
-the distinct hashes of their anchors, packed, and learn which occur elsewhere
-too.  Only the strings around those travel; where they meet, those of each
-shard are looked up in the sorted ones of the shards before by binary search.
+its anchor, the window of ``ANCHOR`` bytes of smallest hash in it.  Each part
+sends the distinct hashes of its anchors, packed, those of several of its
+shards twice, and learns which another shard has too, of its own or elsewhere.
+Only the strings around those travel; where they meet, those of each shard are
+looked up in the sorted ones of the shards before by binary search.
 """
 
 from __future__ import annotations
@@ -226,15 +227,21 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tup
 
 
 def search_shards(length: int, shard_bytes: int):
-    """Per document: its bytes, digest and the runs of starts that repeat in the shard; per pack: the distinct anchors of all other starts."""
+    """Per document: its bytes, digest and the runs of starts that repeat in the shard; per pack: the distinct anchors of all other starts, twice where several shards of the part have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        seen = np.zeros(0, np.uint64)
+        seen = again = np.zeros(0, np.uint64)
         fresh: list[np.ndarray] = []
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            values, counts = np.unique(np.concatenate([seen, *fresh]), return_counts=True)
+            return values, np.union1d(again, values[counts > 1])
+
         for keys, texts in _shards(batches, shard_bytes):
+            own_anchors: list[np.ndarray] = []
             shard = Shard(texts)
             repeats = repeated_starts(shard.bytes, shard.valid(length), length)
             rows = []
@@ -243,14 +250,17 @@ def search_shards(length: int, shard_bytes: int):
                 own = runs_of(repeats[at : at + max(0, count)])
                 if count > 0 and not (len(own) == 1 and own[0, 1] - own[0, 0] == count):
                     place, h = anchors(np.frombuffer(text, np.uint8), length)
-                    fresh.append(np.unique(h[np.unique(place[~repeats[at : at + count]])]))
+                    own_anchors.append(np.unique(h[np.unique(place[~repeats[at : at + count]])]))
                 rows.append((doc_id, text_hash, len(text), hashlib.sha256(text).hexdigest(), own[:, 0].tolist(), own[:, 1].tolist()))
+            if own_anchors:
+                fresh.append(np.unique(np.concatenate(own_anchors)))
             if sum(map(len, fresh)) > 1 << 20:
-                seen, fresh = np.unique(np.concatenate([seen, *fresh])), []
+                (seen, again), fresh = merge(), []
             n = len(rows)
             columns = [[None] * n, *zip(*rows), [None] * n, [None] * n]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
-        seen = np.unique(np.concatenate([seen, *fresh]))
+        seen, again = merge()
+        seen = np.sort(np.concatenate([seen, again]))
         cuts = np.searchsorted(seen, np.arange(1 << _PACKS, dtype=np.uint64) << np.uint64(64 - _PACKS))
         packs = [p for p in np.split(seen, cuts)]
         rows = [(k - 1, p.tobytes()) for k, p in enumerate(packs) if len(p)]
@@ -263,7 +273,7 @@ def search_shards(length: int, shard_bytes: int):
 
 
 def meeting_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the packed hashes of all parts, one pack after the other: those of each part that another part has too."""
+    """From the packed hashes of all parts, one pack after the other: those of each part that another shard has too, of any part."""
 
     def shared(pack: list[tuple[int, bytes]]) -> pa.RecordBatch:
         arrays = [np.frombuffer(b, np.uint64) for _, b in pack]
@@ -274,7 +284,7 @@ def meeting_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             at = np.minimum(np.searchsorted(values, a), max(0, len(values) - 1))
             hit = a[values[at] == a] if len(values) else a[:0]
             if len(hit):
-                rows.append((part, hit.tobytes()))
+                rows.append((part, np.unique(hit).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "hashes"])
 
     last, pack = None, []
@@ -295,7 +305,7 @@ _SEGMENT = pa.schema(
 
 
 def cut_segments(length: int):
-    """Over the rows of one part, hashes first: the runs of starts that repeat in the part, and the strings around anchors that other parts have."""
+    """Over the rows of one part, hashes first: the runs of starts that repeat in the part, and the strings around anchors that other shards have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[np.ndarray] = []

@@ -166,6 +166,29 @@ def test_suffix_dedup(spark, monkeypatch, hot):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(mask), sum(mask), spans, hashlib.sha256(left).hexdigest()), doc_id
 
 
+@pytest.mark.parametrize("parts", ["1", "2", "4"])
+def test_suffix_dedup_across_shards_of_a_part(spark, parts):
+    """Many small shards in each part: a passage of two documents is found wherever these are."""
+    data = []
+    for k in range(40):
+        passage = prose(900 + k // 2, 40)  # in two documents each
+        data.append((k, prose(2000 + k, 150) + " " + passage + " " + prose(3000 + k, 60)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        docs = frame(spark, data)
+        whole, changed = suffix_dedup.cleaned(docs, shard_bytes=3000)
+        got = {r["doc_id"]: (r["n_removed"], bytes(r["left"])) for r in changed.collect()}
+        assert whole.count() == len(data)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for (doc_id, text), mask in zip(data, removed_bytes([t.encode() for _, t in data])):
+        if any(mask):
+            want[doc_id] = (sum(mask), bytes(b for b, m in zip(text.encode(), mask) if not m))
+    assert len(want) == 20 and got == want
+
+
 def test_suffix_stage(spark):
     docs = frame(spark)
     left = suffix_dedup.drop_repeats(docs)
