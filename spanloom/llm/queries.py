@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import repaired_damage
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_edits
 from .language_model import language_scores
@@ -16,6 +18,7 @@ from .pieces import encoding_digests
 from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
 from .url_filters import url_verdicts
+from .whitening import whitened_components
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +99,36 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), able AS MATERIALIZED (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a
+), components AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN counts ON vec_id = a
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_damage(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -113,5 +146,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_pieces": op9_pieces,
     "op10_fingerprints": op10_fingerprints,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_whitening": op13_whitening,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_url_filters": OP5_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_url_filters": OP5_SQL, "op11_embedding_dedup": OP11_SQL}
