@@ -191,7 +191,9 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         mix = (x[:-3] * np.uint64(31337) + x[1:-2]) * np.uint64(7919) + x[2:-1]
         mix = (mix * np.uint64(104729) + x[3:]) * np.uint64(0x9E3779B97F4A7C15)
         place = np.arange(len(x), dtype=np.uint64) - np.repeat(starts, np.diff(np.append(starts, len(x)))).astype(np.uint64)
-        whole = np.add.reduceat((x * np.uint64(0xBF58476D1CE4E5B9)) ^ (place * np.uint64(0x94D049BB133111EB)) * (x + np.uint64(7)), starts[:-1])
+        mixed = (x * np.uint64(0xBF58476D1CE4E5B9)) ^ (place * np.uint64(0x94D049BB133111EB)) * (x + np.uint64(7))
+        # Without the space behind the last word, so that it counts like all others.
+        whole = np.add.reduceat(mixed[: starts[-1]], starts[:-1])
         whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     owner = np.repeat(np.arange(len(words)), np.diff(starts))
     owner = owner[: len(mix)]
