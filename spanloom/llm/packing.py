@@ -98,15 +98,15 @@ def encoder(path: str):
     Distinct words of a batch are encoded once: where every space stands
     between two other characters that are no white space, a space begins a new
     word for the tokenizer too.  These words are merged by the faster of two
-    libraries over the same vocabulary; texts with other white space, first
-    words and very long words by ``tokenizers``.
+    libraries over the same vocabulary; texts with other white space or with a
+    special token written out, first words and very long words by
+    ``tokenizers``, which gives a special token its own id.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     ranks = byte_ranks({t: i for t, i in tokenizer.get_vocab().items() if t not in special})
     merger = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -136,6 +136,8 @@ def encoder(path: str):
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for token in special:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         shown = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
         words = pc.split_pattern(shown, " ")
         starts = words.offsets.to_numpy().astype(np.int64)
