@@ -66,6 +66,32 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(spark.createDataFrame([], EMPTY), none).count() == 0
 
 
+def test_words_have_the_same_features_in_any_company():
+    """Alone, first, in the middle or last of a batch, in any order."""
+    words = ["idiot", "é", "worthless", "a", "😀x", "idiots", "", "zz zz"]
+
+    def features(batch):
+        owner, feature = toxicity.word_features(pa.array(batch, pa.large_string()))
+        return {w: sorted(feature[owner == k].tolist()) for k, w in enumerate(batch)}
+
+    want = {w: features([w])[w] for w in words}
+    rng = random.Random(1)
+    for _ in range(30):
+        batch = rng.sample(words, rng.randint(1, len(words)))
+        assert features(batch) == {w: want[w] for w in batch}
+
+
+def test_scores_do_not_depend_on_batches(spark, toxic_data):
+    data, labels = toxic_data
+    marks = spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(data + [(9000 + k, f"you {w}") for k, w in enumerate(["idiot", "1d10t", "scum", "plain"])], EMPTY)
+    scores = []
+    for parts, order in ((1, "doc_id"), (7, "doc_id"), (3, "text")):
+        scored = toxicity.toxicity(docs.repartition(parts).sortWithinPartitions(order), marks)
+        scores.append({r["doc_id"]: r["score"] for r in scored.collect()})
+    assert all(abs(a - scores[0][i]) < 1e-9 for other in scores[1:] for i, a in other.items())
+
+
 def test_decode_is_the_best_reading():
     """Viterbi against all readings of short lattices."""
     texts = pa.array(["idiot loser moron later dots salt stolen total"] * 3, pa.large_string())
@@ -217,8 +243,7 @@ def test_packing(spark):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    data = [*rows(), (60, "<|endoftext|> x"), (61, "tab\tand  two\n\n lines \n"), (62, "don't  stop\u00a0 now"), (63, "x" * 3000)]
+    data = [*rows(), (60, "<|endoftext|> x"), (64, "a <|endoftext|> b"), (65, "a<|endoftext|>b c <|endoftext|>"), (66, "<|endoftext"), (61, "tab\tand  two\n\n lines \n"), (62, "don't  stop\u00a0 now"), (63, "x" * 3000)]
     got = packing.pack(frame(spark, data), path, group_windows=4).collect()
     windows, by_doc = defaultdict(list), defaultdict(list)
     for r in got:
