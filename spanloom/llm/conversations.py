@@ -257,6 +257,7 @@ def plan_chunks(schema: pa.Schema):
     """States before and after each chunk; the last chunk of a conversation also bears its totals and closes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
         for _conv, chunks in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: (r["conv_id"],)):
             chunks = list(chunks)
             steps = [_chunk_step(c["costs"], c["ranks"]) for c in chunks]
@@ -274,7 +275,12 @@ def plan_chunks(schema: pa.Schema):
             totals = (gaps, *[sum(c[n] for c in chunks) for n in ("blank", "duplicate", "truncated")], illegal, cost)
             out = [(c["conv_id"], c["chunk"], p, q, False, *[None] * 6) for c, p, q in zip(chunks, states, states[1:])]
             out[-1] = (*out[-1][:4], True, *totals)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            done += out
+            if len(done) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
     return run
 
