@@ -32,13 +32,17 @@ _BLANKS = "".join(chr(c) for c in range(0x21))
 _BLANK = r"[\x00-\x20]"
 
 # Possessive loops: no backtracking and no recursion, however long the string.
-_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_WRITER_TOKEN = (
-    r'\{"type":' + _STRING + r',"fields":\[|\]\}|[\[\]]|' + _STRING + r"|null|[^,]"
-)
-_SORTED_TOKEN = (
-    r'\{"fields":\[|\],"type":' + _STRING + r"\}|[\[\]]|" + _STRING + r"|null|[^,]"
-)
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+# Tokens follow one another without a gap.  Where a value may begin is told by
+# the character before it: the end of another value and a comma, an opening
+# bracket, or nothing.  So commas are checked here, and brackets by the fold.
+_VALUE = r'\G(?:(?:(?<=[\]}"l]),|(?<=\[)|\A)(?:' + _STRING + r'|\{"type":' + _STRING + r',"fields":\[|null|\['
+_WRITER_TOKEN = _VALUE + r")|\]\}?+)"
+_ANY_TOKEN = _VALUE + r'|\{"fields":\[)|\],"type":' + _STRING + r"\}|\]\}?+)"
+# Blanks of JSON stand beside punctuation or at the ends.
+_SPACED = "(" + _STRING + r")|[ \t\r\n]*+([\[\]{},:])[ \t\r\n]*+"
+_ESCAPES = r"(?:\\u[0-9a-fA-F]{4})++|\\.|[^\\]++"
+_LONE = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 
 
 def _bound(function: Callable[..., Expr]) -> Callable[..., Expr]:
@@ -77,6 +81,25 @@ def _up(at: Expr, seen: Expr) -> Expr:
     return S.when(at["stem"] == "", outermost).otherwise(_standing(stem, index.try_cast("int"), seen))
 
 
+#: Steps whose addresses are put together before they join those seen so far.
+_BLOCK = 64
+
+
+def _folded(tokens: Expr, start: Expr, step: Callable[[Expr, Expr], Expr]) -> Expr:
+    """Fold all tokens but the first; the addresses seen, NULL when not all is closed in the end.
+
+    Every step copies the addresses it adds to.  Blocks keep what is copied
+    short, so that a line costs about the length of its addresses.
+    """
+
+    def block(at: Expr, number: Expr) -> Expr:
+        inner = S.aggregate(S.slice(tokens, number * _BLOCK + 2, S.lit(_BLOCK)), _standing(at["stem"], at["index"], ""), step)
+        return let(inner, lambda b: _standing(b["stem"], b["index"], S.concat(at["seen"], b["seen"])))
+
+    last = Expr(f"(greatest(size({tokens.text}) - 2, 0) DIV {_BLOCK})")
+    return S.aggregate(S.sequence(S.lit(0), last), start, block, lambda at: S.when(at["index"].is_null(), at["seen"]))
+
+
 def _next(at: Expr) -> Expr:
     return (at["index"] + 1).cast("string")
 
@@ -97,126 +120,161 @@ def _tree(paths: Expr, names: Expr) -> Expr:
 # JSON
 
 
-def _unescape_all(text: Expr, names: Expr) -> Expr:
-    def unescape(inner: Expr) -> Expr:
-        quoted = S.concat('"', inner, '"')
-        value = S.try_variant_get(S.try_parse_json(quoted), "$", "string")
-        return S.when(inner.contains("\\"), value).otherwise(inner)
+def _unescaped(inner: Expr) -> Expr:
+    """Text of a JSON string.  Surrogates without their other half become ``?``."""
 
+    def piece(p: Expr) -> Expr:
+        # A run of \uXXXX is UTF-16, so pairs of surrogates need no care.
+        units = S.replace(S.regexp_replace(p, _LONE, r"\\u003f"), "\\u", "")
+        return (
+            S.when(~p.startswith("\\"), p)
+            .when(p.startswith("\\u"), S.decode(S.unhex(units), "UTF-16BE"))
+            .otherwise(S.translate(S.right(p, S.lit(1)), "bfnrt", "\b\f\n\r\t"))
+        )
+
+    return S.array_join(S.transform(S.regexp_extract_all(inner, _ESCAPES, 0), piece), "")
+
+
+def _unescape_all(text: Expr, names: Expr) -> Expr:
+    unescape = lambda inner: S.when(inner.contains("\\"), _unescaped(inner)).otherwise(inner)
     return S.when(text.contains("\\"), S.transform(names, unescape)).otherwise(names)
 
 
-def _leaf(token: Expr) -> Expr:
-    return token.startswith('"') | (token == "null")
+#: What ends the stem while in an object, an array, or an object whose name comes last; its closing token has to agree.
+_OBJECT, _ARRAY, _LATE = ".", ";", ":"
+
 
+def _json_fold(tokens: Expr, late: bool) -> Expr:
+    """Addresses of all tokens that begin a node, NULL if brackets do not match.
 
-def _json_fold(tokens: Expr, opens: Callable, mark: str) -> Expr:
-    """Addresses of all tokens that begin a node; ``mark`` is noted on closing."""
+    With ``late``, objects may have their name behind their children; what
+    closes one is then noted as "!" and its stem.
+    """
+
+    def kind(token: Expr) -> Expr:
+        opened = S.when(token == "[", _ARRAY)
+        if late:
+            opened = opened.when(token == '{"fields":[', _LATE)
+        return opened.when(token.startswith('{"type":'), _OBJECT)
+
+    def closes(token: Expr) -> Expr:
+        closed = S.when(token == "]}", _OBJECT).when(token == "]", _ARRAY)
+        return closed.otherwise(_LATE) if late else closed
+
+    def up(at: Expr, token: Expr) -> Expr:
+        seen = S.concat(at["seen"], ",!", at["stem"]) if late else at["seen"]
+        matching = S.when(at["stem"].endswith(closes(token)), seen)
+        parent = S.left(at["stem"], S.length(at["stem"]) - 1)
+        index = S.substring_index(_one_mark(parent), ".", -1)
+        stem = S.left(parent, S.length(parent) - S.length(index))
+        return _standing(stem, index.try_cast("int"), matching)
 
     def step(at: Expr, token: Expr) -> Expr:
         leaf = _standing(at["stem"], at["index"] + 1, _noted(at, _next(at)))
-        down = _standing(S.concat(at["stem"], _next(at), "."), 0, _noted(at, _next(at)))
-        up = _up(at, S.concat(at["seen"], "," + mark, at["stem"]) if mark else at["seen"])
+        down = _standing(S.concat(at["stem"], _next(at), kind(token)), 0, _noted(at, _next(at)))
         # Most tokens are strings, so these are told apart first.
         return (
-            S.when(token.startswith('"'), leaf)
-            .when(token.startswith("]"), up)
-            .when(opens(token), down)
-            .when(token == "null", leaf)
-            .otherwise(_standing("", S.lit(None), S.lit(None)))
+            S.when(token.startswith('"') | (token == "null"), leaf)
+            .when(token.startswith("]"), up(at, token))
+            .otherwise(down)
         )
 
     first = S.get(tokens, 0)
-    # An opened root stands before its first child; a leaf root is already over.
+    # A leaf at the root is over at once; what closes nothing cannot come first.
     start = (
-        S.when(opens(first), _standing("", 0, ""))
-        .when(_leaf(first), _standing("", S.lit(None), ""))
-        .otherwise(_standing("", S.lit(None), S.lit(None)))
-    )
-    return S.aggregate(
-        _tail(tokens), start, step, lambda at: S.when(at["index"].is_null(), at["seen"])
+        S.when(first.startswith('"') | (first == "null"), _standing("", S.lit(None), ""))
+        .when(first.startswith("]"), _standing("", S.lit(None), S.lit(None)))
+        .otherwise(_standing(kind(first), 0, ""))
     )
+    return _folded(tokens, start, step)
 
 
-def _from_writer_order(text: Expr) -> Expr:
-    opens = lambda t: (t.startswith("{") & (S.length(t) > 1)) | (t == "[")
-    frame = len('{"type":"')
+def _one_mark(stem: Expr) -> Expr:
+    return S.replace(S.replace(stem, _ARRAY, _OBJECT), _LATE, _OBJECT)
+
+
+def _plain_addresses(seen: Expr) -> Expr:
+    """Addresses without the mark of the root and the kinds of brackets."""
+    return S.split(S.replace(_one_mark(seen), ",.", ","), ",", -1)
+
+
+def _tokens(text: Expr, pattern: str, body: Callable[[Expr], Expr]) -> Expr:
+    """``body`` of the tokens, without their commas, if they make up the whole text."""
+
+    def whole(found: Expr) -> Expr:
+        complete = S.octet_length(S.array_join(found, "")) == S.octet_length(text)
+        plain = S.transform(found, lambda t: Expr(f"trim(LEADING ',' FROM {t.text})"))
+        return S.when(complete, let(plain, body))
+
+    return let(S.regexp_extract_all(text, pattern, 0), whole)
+
+
+def _inner(token: Expr, frame: int = 2) -> Expr:
+    """What is within the quotes of a string token, or of one within a frame of so many characters."""
+    return S.substring(token, 2 if frame == 2 else len('{"type":"') + 1, S.length(token) - frame)
+
+
+_HEAD = len('{"type":"","fields":[')
 
+
+def _from_writer_order(text: Expr) -> Expr:
     def name(token: Expr) -> Expr:
-        size = S.length(token)
         return (
-            S.when(token.startswith('"'), S.substring(token, 2, size - 2))
+            S.when(token.startswith('"'), _inner(token))
             .when(token == "[", "")
             .when(token == "null", token)
-            .otherwise(S.substring(token, S.lit(frame + 1), size - frame - len('","fields":[')))
+            .otherwise(_inner(token, _HEAD))
         )
 
     def build(tokens: Expr) -> Expr:
         names = S.transform(S.filter(tokens, lambda t: ~t.startswith("]")), name)
         return let(
-            _json_fold(tokens, opens, mark=""),
-            lambda seen: S.when(
-                seen.is_not_null(), _tree(S.split(seen, ",", -1), _unescape_all(text, names))
-            ),
+            _json_fold(tokens, late=False),
+            lambda seen: S.when(seen.is_not_null(), _tree(_plain_addresses(seen), _unescape_all(text, names))),
         )
 
-    return let(S.regexp_extract_all(text, _WRITER_TOKEN, 0), build)
+    return _tokens(text, _WRITER_TOKEN, build)
 
 
-def _from_key_order(text: Expr) -> Expr:
-    """Decode ``{"fields":[…],"type":…}``, where an object's name follows its children."""
-    opens = lambda t: (t == '{"fields":[') | (t == "[")
+def _from_any_order(text: Expr) -> Expr:
+    """Decode JSON in which an object's name may follow its children: ``{"fields":[…],"type":…}``."""
 
     def build(tokens: Expr) -> Expr:
         def finish(seen: Expr) -> Expr:
             def name(address: Expr, token: Expr) -> Expr:
-                # A closing token was noted as "!" and the stem of the node it closes.
-                note = S.concat("!", S.when(address != "", S.concat(address, ".")).otherwise(""))
+                note = S.concat("!.", S.when(address != "", S.concat(address, ".")).otherwise(""))
                 close = S.get(tokens, S.array_position(seen, note).cast("int") - 1)
                 return (
                     S.when(token == "null", token)
-                    .when(token.startswith('"'), S.substring(token, 2, S.length(token) - 2))
+                    .when(token.startswith('"'), _inner(token))
                     .when(token == "[", "")
+                    .when(token.startswith('{"type":'), _inner(token, _HEAD))
                     .otherwise(S.regexp_extract(close, r'(?s)^\],"type":"(.*)"\}$', 1))
                 )
 
             nodes = S.filter(
-                S.zip_with(
-                    seen,
-                    tokens,
-                    lambda a, t: S.when(
-                        ~t.startswith("]"), S.struct(path=a, name=name(a, t))
-                    ),
-                ),
+                S.zip_with(seen, tokens, lambda a, t: S.when(~t.startswith("]"), S.struct(path=a, name=name(a, t)))),
                 lambda n: n.is_not_null(),
             )
-            whole = let(nodes, lambda n: _tree(n["path"], _unescape_all(text, n["name"])))
-            return S.when(seen.is_not_null(), whole)
+            return let(nodes, lambda n: _tree(n["path"], _unescape_all(text, n["name"])))
 
-        return let(S.split(_json_fold(tokens, opens, mark="!"), ",", -1), finish)
+        return let(_json_fold(tokens, late=True), lambda seen: S.when(seen.is_not_null(), let(_plain_addresses(seen), finish)))
 
-    return let(S.regexp_extract_all(text, _SORTED_TOKEN, 0), build)
+    return _tokens(text, _ANY_TOKEN, build)
 
 
 def tree_from_json(text: Expr | str) -> Expr:
     """Decode one JSON trace line; NULL when it is not a well-formed event.
 
     Strings, null, ``{"type", "fields"}`` objects and bare arrays are the only
-    accepted values.  Lines laid out as the tracer writes them decode directly;
-    any other spacing or key order is first normalised by the VARIANT parser.
+    accepted values; the two keys are written as they are, in either order.
+    Depth and length have no limit but that of a row.  Lines laid out as the
+    tracer writes them are read as they stand; those with other spacing or
+    order of keys are stripped of blanks first.
     """
-    text = expr(text)
-
-    def normalised(ordered: Expr) -> Expr:
-        # The VARIANT parser stops at the end of the first value; more text after it is an error.
-        bare = lambda s: S.regexp_replace(S.regexp_replace(s, _STRING, "s"), r"\s", "")
-        punctuation = lambda s: S.length(bare(s))
-        return S.when(punctuation(ordered) == punctuation(text), _from_key_order(ordered))
-
-    parsed = S.try_parse_json(text)
-    return S.when(
-        parsed.is_not_null(), S.coalesce(_from_writer_order(text), let(S.to_json(parsed), normalised))
-    )
+    stripped = lambda t: S.trim(S.regexp_replace(t, _SPACED, "$1$2"))
+    # Bound, because the optimizer would put what makes the text in each place that reads it.
+    return let(expr(text), lambda t: S.coalesce(_from_writer_order(t), let(stripped(t), _from_any_order)))
 
 
 # --------------------------------------------------------------------------
@@ -253,13 +311,7 @@ def tree_from_text(text: Expr | str) -> Expr:
             S.filter(ts, lambda t: ~t.startswith(")")),
             lambda t: _trim(S.substring(t, 2, S.length(t))),
         )
-        seen = S.aggregate(
-            _tail(ts),
-            _standing("", S.lit(None), ""),
-            step,
-            lambda at: S.when(at["index"].is_null(), at["seen"]),
-        )
-        return let(seen, lambda all_: S.when(all_.is_not_null(), _tree(S.split(all_, ",", -1), names)))
+        return let(_folded(ts, _standing("", S.lit(None), ""), step), lambda all_: S.when(all_.is_not_null(), _tree(S.split(all_, ",", -1), names)))
 
     # After a closing parenthesis only "," or ")" may follow.
     stray = text.rlike(r"\)" + _BLANK + r"*+[^\x00-\x20,)]")

@@ -131,5 +131,9 @@ def test_oracles(spark, name):
 
 
 def test_contract(spark):
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    from workload.oracles import ORACLES
+    from workload.queries import QUERIES
+
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["start", "end", "location", "content"]

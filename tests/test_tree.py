@@ -159,7 +159,39 @@ def test_json_key_order_and_spacing(spark):
         '{"type":"a","fields":["x" "y"]}',
         '{"type":"a","fields":["x",]}',
         '{"type":"a","fields":["x"]',
+        '{"type":"a","fields":["x"}',
+        '{"type":"a","fields":["x"}]',
+        '{"type":"a","fields":[["x"]}',
+        '{"type":"a","fields":[["x"]}]}',
+        '{"type":"a","fields":[["x"]}]]',
+        '{"fields":["x"],"type":"a"',
+        '{"fields":["x"]}',
+        '{"type":"a","fields":["x"],"type":"a"}',
+        '{"type":"a","fields":["x"],"more":[]}',
+        '{"fields":[["x"],"type":"a"]}',
+        '["x"]}',
+        '["x"',
+        '[,"x"]',
+        '["x",,"y"]',
+        '["x",]',
+        ',"x"',
+        '"x",',
+        '["x"],',
+        "[null null]",
+        "[nu ll]",
+        "[nullnull]",
+        '["x"null]',
+        '[["x"]["y"]]',
+        '{"type":"a" "fields":[]}',
+        '["tab\there"]',
+        '["\\x"]',
+        '["\\u12g4"]',
+        '["open]',
+        "]",
+        "]}",
+        "{}",
         "",
+        " ",
         "text",
     ],
 )
@@ -167,6 +199,83 @@ def test_json_rejects(spark, line):
     assert decode(spark, line) == [None]
 
 
+def accepted(text):
+    """The same decision and nodes with Python's own parser."""
+
+    def pairs(found):
+        if sorted(k for k, _ in found) != ["fields", "type"]:
+            raise ValueError
+        return ("object", dict(found))
+
+    def nodes(value, path):
+        at = ".".join(map(str, path))
+        if value is None or isinstance(value, str):
+            return [(at, "null" if value is None else value)]
+        name = ""
+        if isinstance(value, tuple):
+            name, value = value[1]["type"], value[1]["fields"]
+            if not isinstance(name, str):
+                raise ValueError
+        if not isinstance(value, list):
+            raise ValueError
+        return [(at, name)] + [n for i, v in enumerate(value) for n in nodes(v, (*path, i + 1))]
+
+    try:
+        found = nodes(json.loads(text, object_pairs_hook=pairs), ())
+        # Halves of surrogate pairs are no text.
+        return [(at, "".join("?" if "\ud800" <= c <= "\udfff" else c for c in name)) for at, name in found]
+    except ValueError:
+        return None
+
+
+def test_json_broken_at_random(spark):
+    """Well-formed lines with a few characters changed: the same ones are events, with the same nodes."""
+    rng = random.Random(12)
+
+    def value(depth=0):
+        pick = rng.random()
+        if depth > 3 or pick < 0.5:
+            return rng.choice([None, "a", "", "é\n", 'q"', "\\", "]},[", "null", "/", "\u0001x", "😀"])
+        fields = [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        if pick < 0.6:
+            return fields
+        both = [("type", rng.choice(["T", "", 'x"y'])), ("fields", fields)]
+        return dict(both if pick < 0.9 else both[::-1])
+
+    lines = []
+    for _ in range(1500):
+        separators = rng.choice([(",", ":"), (", ", ": "), (" ,\t", " :")])
+        line = json.dumps(value(), separators=separators, ensure_ascii=rng.random() < 0.5)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            at = rng.randrange(len(line) + 1)
+            cut = rng.choice([0, 1, 1, 2])
+            line = line[:at] + rng.choice(["", "", ",", "]", "}", "[", '"', " ", "{", "null", "x", "\\", ":"]) + line[at + cut :]
+        lines.append(line)
+    wanted = [accepted(line) for line in lines]
+    assert 300 < sum(w is None for w in wanted) < 1200
+    for line, got, want in zip(lines, decode(spark, *lines), wanted):
+        assert (got and list(zip(got.path, got.name))) == want, line
+
+
+def test_json_escapes(spark):
+    text = r'["\"\\\/\b\f\n\r\t", "\u0041\u00e9\u4e2d", "\ud83d\ude00!", "a\ud83d", "\ude00b", "\ud83d\ud83d\ude00\ude00", "\\u0041"]'
+    (tree,) = decode(spark, text)
+    assert tree.name[1:] == ['"\\/\b\f\n\r\t', "Aé中", "😀!", "a?", "?b", "?😀?", r"\u0041"]
+
+
+def test_json_without_limits(spark):
+    """Five thousand levels, and values longer than any parser's own limit."""
+    depth = 5000
+    nested = '{"type":"d","fields":["s",' * depth + '"bottom"' + "]}" * depth
+    other = "[" * depth + '{"fields":[],"type":"late"}' + "]" * depth
+    frame = spark.createDataFrame([(nested,), (other,), (nested[:-1],), (other[:-2] + "]}",)], "line string")
+    made = frame.select(tree_from_json("line").column.alias("t")).selectExpr("size(t.path) AS n", "t.name[size(t.name) - 1] AS last", "length(array_max(t.path)) AS deepest")
+    assert [tuple(r) for r in made.collect()] == [(2 * depth + 1, "bottom", 2 * depth - 1), (depth + 1, "late", 2 * depth - 1), (None, None, None), (None, None, None)]
+    long = spark.range(1).selectExpr("""concat('{"type":"T","fields":["', repeat('x', 25000000), '",["', repeat('y\\\\n', 6250000), '"]]}') AS line""")
+    made = long.select(tree_from_json("line").column.alias("t")).selectExpr("length(t.name[1])", "length(t.name[3])", "t.path[3]")
+    assert tuple(made.first()) == (25_000_000, 12_500_000, "2.1")
+
+
 def test_json_long_and_wide(spark):
     long = "x\\\"" * 200_000
     wide = ",".join(['"w"'] * 3000)

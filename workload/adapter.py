@@ -102,11 +102,21 @@ def json_sql(tree) -> str:
     return f"""'"' || {text} || '"'"""
 
 
+def dealt(frame: DataFrame) -> DataFrame:
+    """A table with at least as many splits as there are cores.
+
+    The work per row is more than its few bytes suggest, so a small table in
+    one file is dealt out, by a number that adaptive execution leaves alone.
+    One with splits enough is not shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the columns the templates use; ``ms`` reads ``ts`` as UTC."""
     wall = "from_utc_timestamp(cast(ts AS timestamp), current_timezone())"
-    # A row becomes a whole line: the work is in the lines, not in the columns read, so rows are dealt to all tasks.
-    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition("event_id").select(
+    return dealt(spark.read.parquet(f"{sf_dir}/events.parquet")).select(
         "event_id",
         "user_id",
         "event_type",

@@ -233,6 +233,7 @@ STAT_COUNT = STAT_COUNT.replace("SELECT trace, stat,", "SELECT trace, grid.stat
 ORACLES = {
     "trace_decode": f"""WITH {lines_cte()}, n AS (SELECT trace_id, uuid, t AS ts, unnest({DECODED}) AS n FROM r)
       SELECT trace_id, uuid, ts, n.path AS path, n.name AS name FROM n""",
+    "deep_decode": """SELECT s_suppkey, CAST(901 AS BIGINT) AS nodes, s_name AS name, rtrim(repeat('2.1.', 300), '.') AS path FROM supplier""",
     "trace_path_get": select(
         columns(
             f"{named()} AS kind",

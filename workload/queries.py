@@ -32,9 +32,12 @@ from spanloom.operators.services import main_services, resolve_services
 from spanloom.plans import TraceConfig, base_events, context, diagnostics, keep, prepare
 from spanloom.sources import decode_events, result_lines, trace_starts
 
-from .adapter import TRACES, event_rows, trace_lines
+from .adapter import TRACES, dealt, event_rows, trace_lines
 
 
+#: Levels of the lines of ``deep_decode``: objects, each around an array.
+DEEP = 300
+
 _KEPT: dict[tuple, DataFrame] = {}
 
 
@@ -76,6 +79,20 @@ def trace_decode(spark, sf_dir):
     return decoded.select("trace_id", "uuid", "ts", F.explode(nodes).alias("n")).select("trace_id", "uuid", "ts", "n.path", "n.name")
 
 
+def deep_decode(spark, sf_dir):
+    """Lines 600 levels deep: objects around arrays around the name of a supplier."""
+    suppliers = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    line = f"""concat(repeat('{{"type":"d","fields":["a",[', {DEEP}), '"', s_name, '"', repeat(']]}}', {DEEP}))"""
+    tree = tree_from_json(Expr(line))
+    made = suppliers.select("s_suppkey", F.explode(F.array(tree.column)).alias("t"))
+    return made.select(
+        "s_suppkey",
+        F.size("t.path").cast("bigint").alias("nodes"),
+        F.element_at("t.name", -1).alias("name"),
+        F.element_at("t.path", -1).alias("path"),
+    )
+
+
 def trace_path_get(spark, sf_dir):
     return columns(
         events(spark, sf_dir),
@@ -168,7 +185,7 @@ def paren_reject(spark, sf_dir):
 
 def document_lines(spark, sf_dir):
     """Whole documents as the value of a traced variable: quotes, line breaks and all scripts."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
+    documents = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     quoted = "substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)"
     line = f"""'{{"type":"Tuple3","fields":["d","' || doc_id || '",{{"type":"LocalVariable","fields":["f(x)","text",' || {quoted} || ']}}]}}'"""
     lines = documents.select(F.lit(0).alias("trace_id"), F.expr(line).alias("line"))
@@ -182,7 +199,7 @@ def document_lines(spark, sf_dir):
 def tokenize_documents(spark, sf_dir):
     pieces = tokenized("text", "[0-9]+").column
     return (
-        spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
+        dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
         .select("doc_id", pieces.alias("p"))
         .select(
             "doc_id",
@@ -390,6 +407,7 @@ def result_text(spark, sf_dir):
 
 QUERIES = {
     "trace_decode": trace_decode,
+    "deep_decode": deep_decode,
     "trace_path_get": trace_path_get,
     "trace_render": trace_render,
     "trace_subtree": trace_subtree,
