@@ -45,18 +45,29 @@ class Context:
 class Block:
     """A named table; column types are ``num``, ``time`` (milliseconds) or ``string``.
 
-    ``order`` lists the columns rows are presented by; an already ordered frame
-    needs none.
+    ``order`` lists the columns rows are presented by.  What ``make`` returns may
+    have numbers beside its declared columns for that (``trace``, ``position``).
     """
 
     name: str
     columns: Sequence[tuple[str, str]]
-    frame: Callable[[Context], DataFrame]
+    make: Callable[[Context], DataFrame]
     order: Sequence[str] = ()
 
+    def placed(self, ctx: Context) -> DataFrame:
+        """The table with all columns it is ordered by."""
+        return self.make(ctx)
+
+    def shown(self, placed: DataFrame) -> DataFrame:
+        return placed.select(*[f"`{name}`" for name, _type in self.columns])
+
+    def frame(self, ctx: Context) -> DataFrame:
+        """The table, its declared columns."""
+        return self.shown(self.make(ctx))
+
 
 def axes(ctx: Context) -> DataFrame:
-    return listed_services(ctx.services).select(F.col("service_id").alias("name"))
+    return listed_services(ctx.services).select(F.col("service_id").alias("name"), F.col("trace_id").alias("trace"), "position")
 
 
 def rpcs(ctx: Context) -> DataFrame:
@@ -108,11 +119,12 @@ def statistics_block(identifier: str, stats: Sequence, columns: Sequence) -> Blo
     return Block(
         f"stat:{identifier}",
         [("trace", "num"), ("stat", "string"), *[(c.name, c.type) for c in columns]],
-        lambda ctx: statistics_table(stats, columns, ctx.events, ctx.services),
+        lambda ctx: statistics_table(stats, columns, ctx.events, ctx.services, placed=True),
+        order=("trace", "position"),
     )
 
 
-AXES = Block("axes", [("name", "string")], axes)
+AXES = Block("axes", [("name", "string")], axes, order=("trace", "position"))
 RPCS = Block(
     "rpcs",
     [("time", "time"), ("origin", "string"), ("destination", "string"), ("content", "string")],

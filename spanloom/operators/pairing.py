@@ -7,11 +7,13 @@ key that holds a third of the rows costs one partial result per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import keep
+
 KEEP = ("last", "first", "all")
 
 
@@ -53,38 +55,26 @@ def time_delta(
     return pairs.withColumn("delta", F.col("end") - F.col("start"))
 
 
-def span_length(marks: DataFrame, span_name: str, part: str | None = None) -> DataFrame:
+def span_length(marks: DataFrame, span_name: str, part: str | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Lengths of the spans with a given name: ``(trace_id, key, start, end, delta)``.
 
     ``marks`` has ``(trace_id, span_id, span_name, opens, ts)`` for each start
     and end of a span.  Either mark may carry the name; both count once one
-    does.  The key is the span id, or the column ``part`` where that is not NULL.
+    does.  The key is the span id, or what ``part`` says: a column, or a
+    function that is given the marks of the named spans and adds a column
+    ``key``; marks without a key are left out.
+
+    The ids of the named spans come first.  They are kept, so Spark knows how
+    many they are: few are broadcast, and the marks of other spans go before
+    anything is shuffled or joined.
     """
-    keys = ["trace_id", "span_id"] + ([part] if part else [])
-    # An end without a name belongs to a span only through its id, so the id is
-    # brought down to one row (per part) before anything is matched.
-    spans = (
-        marks.filter(F.col("span_id").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("opens"), F.col("ts"))).alias("start"),
-            F.max(F.when(~F.col("opens"), F.col("ts"))).alias("end"),
-            F.coalesce(F.bool_or(F.col("span_name") == span_name), F.lit(False)).alias("named"),
-        )
-    )
-    if part is None:
-        lengths = spans.filter("named").withColumnRenamed("span_id", "key").drop("named")
-    else:
-        ids = spans.filter("named").select("trace_id", "span_id").distinct()
-        lengths = (
-            spans.filter(F.col(part).isNotNull())
-            .join(ids, ["trace_id", "span_id"], "left_semi")
-            .groupBy("trace_id", F.col(part).alias("key"))
-            .agg(F.max("start").alias("start"), F.max("end").alias("end"))
-        )
-    return lengths.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn(
-        "delta", F.col("end") - F.col("start")
+    named = keep(marks.filter((F.col("span_name") == span_name) & F.col("span_id").isNotNull()).select("trace_id", "span_id").distinct())
+    mine = marks.join(named, ["trace_id", "span_id"], "left_semi")
+    keyed = part(mine) if callable(part) else mine.withColumn("key", F.col(part or "span_id"))
+    lengths = keyed.filter(F.col("key").isNotNull()).groupBy("trace_id", "key").agg(
+        F.max(F.when(F.col("opens"), F.col("ts"))).alias("start"), F.max(F.when(~F.col("opens"), F.col("ts"))).alias("end")
     )
+    return lengths.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("delta", F.col("end") - F.col("start"))
 
 
 def span_pairs(starts: DataFrame, ends: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 _ADDRESS = r"^[^/]*/([^:/]*):(\d+)(?:[:/].*)?$"
 
 
@@ -65,13 +67,13 @@ def stand_ins(events: DataFrame, registered: DataFrame) -> DataFrame:
         .agg(F.min("ts").alias("start"))
         .join(known, "trace_id", "left_anti")
     )
-    # Numbers JVMs, of which a trace has one per input file.
-    order = Window.partitionBy("trace_id").orderBy("start", "uuid")
-    return jvms.select(
+    # JVMs are counted per second of their start, and put in order within one.
+    placed = numbered(jvms, ["trace_id"], F.floor(F.col("start") / 1000), ["start", "uuid"], "place")
+    return placed.select(
         "trace_id",
         "uuid",
         F.lit("").alias("host"),
-        (F.row_number().over(order) - 1).alias("port"),
+        F.col("place").cast("int").alias("port"),
         F.col("uuid").alias("name"),
         "start",
     )
@@ -120,14 +122,10 @@ def endpoints(services: DataFrame) -> DataFrame:
 
 
 def listed_services(services: DataFrame) -> DataFrame:
-    """The services to show, each once per trace, in order of appearance."""
-    return (
-        services.filter(~F.col("removed"))
-        .groupBy("trace_id", "service_id")
-        .agg(F.min("start").alias("start"))
-        .select("trace_id", "start", "service_id")
-        .orderBy("trace_id", "start", "service_id")
-    )
+    """The services to show, each once per trace; ``position`` counts them from 0 in order of appearance."""
+    shown = services.filter(~F.col("removed")).groupBy("trace_id", "service_id").agg(F.min("start").alias("start"))
+    placed = numbered(shown, ["trace_id"], F.floor(F.col("start") / 1000), ["start", "service_id"], "position")
+    return placed.select("trace_id", "start", "service_id", "position").orderBy("trace_id", "position")
 
 
 def with_main_service(events: DataFrame, mains: DataFrame) -> DataFrame:
@@ -135,24 +133,37 @@ def with_main_service(events: DataFrame, mains: DataFrame) -> DataFrame:
     return events.join(mains, ["trace_id", "uuid"], "inner")
 
 
+#: Before any time of a trace: the first registration of an address reaches back without end.
+_ALWAYS = -(1 << 63)
+
+
+def holders(ends: DataFrame) -> DataFrame:
+    """One row per address: who ``held`` it from when on, in order."""
+    since = F.coalesce("since", F.lit(_ALWAYS)).alias("since")
+    return ends.groupBy(
+        "trace_id", F.col("host").alias("_host"), F.col("port").alias("_port")
+    ).agg(F.sort_array(F.collect_list(F.struct(since, "uuid", "name", "service_id", "removed"))).alias("_held"))
+
+
+def resolve_endpoint(messages: DataFrame, ends: DataFrame, address: str, out: str) -> DataFrame:
+    """Find who holds an address at the time of the message: ``out`` is ``STRUCT<service_id, removed>``, NULL if nobody ever did.
+
+    An address meets the messages as one row, however often it was registered,
+    so the join yields as many rows as there are messages; the registration in
+    force is then looked up within that row.
+    """
+    located = messages.withColumn("_host", host_of(F.col(address))).withColumn("_port", port_of(F.col(address)))
+    found = located.join(holders(ends), ["trace_id", "_host", "_port"], "left")
+    latest = F.array_max(F.filter("_held", lambda h: h["since"] <= F.col("ts")))
+    named = F.struct(latest["service_id"].alias("service_id"), latest["removed"].alias("removed"))
+    return found.withColumn(out, F.when(F.col("_held").isNotNull(), named)).drop("_host", "_port", "_held")
+
+
 def with_endpoint(messages: DataFrame, ends: DataFrame, address: str, out: str) -> DataFrame:
     """Resolve an address column to the service that holds it at the time of the message.
 
     Messages to removed services and to addresses that nothing registered are
-    dropped; :func:`spanloom.plans.diagnostics` counts them.  The spans of one
-    address do not overlap, so a message meets one row at most.
+    dropped; :func:`spanloom.plans.diagnostics` counts them.
     """
-    named = ends.filter(~F.col("removed")).select(
-        "trace_id",
-        F.col("host").alias("_host"),
-        F.col("port").alias("_port"),
-        F.col("since").alias("_since"),
-        F.col("until").alias("_until"),
-        F.col("service_id").alias(out),
-    )
-    located = messages.withColumn("_host", host_of(F.col(address))).withColumn(
-        "_port", port_of(F.col(address))
-    )
-    found = located.join(named, ["trace_id", "_host", "_port"], "inner")
-    in_force = (F.col("_since").isNull() | (F.col("ts") >= F.col("_since"))) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
-    return found.filter(in_force).drop("_host", "_port", "_since", "_until")
+    found = resolve_endpoint(messages, ends, address, out)
+    return found.filter(F.col(f"{out}.removed") == F.lit(False)).withColumn(out, F.col(f"{out}.service_id"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import Expr, S, column, name_at, name_is
+from ..sources.store import keep
 from .pairing import span_length
 from .services import main_services, with_main_service
 
@@ -37,12 +38,14 @@ class Statistic:
 
 @dataclass(frozen=True)
 class PointStatistic:
-    """One pair per event that satisfies ``where``.  All of these share one scan."""
+    """One pair per event that satisfies ``where``.  All of these share one scan, of the kinds they name."""
 
     name: str
     where: Callable[[], Expr | Column]
     key: Callable[[], Expr | Column] = lambda: F.lit(NO_KEY)
     value: Callable[[], Expr | Column] = lambda: F.lit(0.0)
+    #: Kinds of events that ``where`` can hold for; empty if it may be any.
+    kinds: Sequence[str] = ()
 
     def extract(self, events: DataFrame, services: DataFrame) -> DataFrame:
         return _point_values([self], events).drop("stat")
@@ -50,7 +53,7 @@ class PointStatistic:
 
 @dataclass(frozen=True)
 class PairStatistic:
-    """Seconds between start and end events per key.  All of these share one scan.
+    """Seconds between start and end events per key.  All of these share one scan, of the kinds they name.
 
     With ``service`` the key must be a JVM id; the pair is then reported under
     the main service of the JVM, if ``service`` accepts its name.
@@ -61,6 +64,8 @@ class PairStatistic:
     end: Callable[[], Expr | Column]
     key: Callable[[], Expr | Column]
     service: Callable[[Column], Column] | None = None
+    #: Kinds of events that can be a start or an end; empty if any can.
+    kinds: Sequence[str] = ()
 
     def extract(self, events: DataFrame, services: DataFrame) -> DataFrame:
         return _pair_values([self], events, services).drop("stat")
@@ -105,10 +110,9 @@ def span_marks(events: DataFrame) -> DataFrame:
 
 
 def _jvm_start_time(events: DataFrame, services: DataFrame) -> DataFrame:
-    # The service is looked up per JVM after marks are reduced to one row per span and JVM.
-    mains = main_services(services).select("trace_id", "uuid", "service")
-    marks = span_marks(events).join(mains, ["trace_id", "uuid"], "left")
-    lengths = span_length(marks, "JVMStart", part="service")
+    # Only marks of the named spans, a start and an end per JVM, meet the services.
+    mains = main_services(services).select("trace_id", "uuid", F.col("service").alias("key"))
+    lengths = span_length(span_marks(events), "JVMStart", part=lambda mine: mine.join(mains, ["trace_id", "uuid"]))
     return lengths.select("trace_id", "key", (F.col("delta") / 1000.0).alias("value"))
 
 
@@ -142,6 +146,7 @@ def _tasks(name: str) -> PairStatistic:
         start=lambda: scheduler_event("BeginEvent"),
         end=lambda: scheduler_event("CompletionEvent"),
         key=_task_key,
+        kinds=("Fn",),
     )
 
 
@@ -152,17 +157,18 @@ EXECUTOR_LIFETIME = PairStatistic(
     end=lambda: of_kind("MainEnd"),
     key=lambda: F.col("uuid"),
     service=lambda name: name == EXECUTOR,
+    kinds=("SpanStart", "MainEnd"),
 )
 TASK_DURATION = _tasks("Task duration")
 # Events are logged by the receiving JVM, so this counts what each service received.
 MESSAGES_SENT = Statistic("RPCs sent", _messages_sent)
 OVERHEAD = Statistic("Instr Overhead", _overhead)
-JVMS = PointStatistic("JVMs", where=jvm_start)
-EXECUTORS = PointStatistic("Executors", where=lambda: scheduler_event("ExecutorAdded"))
-JOBS = PointStatistic("Jobs", where=lambda: scheduler_event("JobSubmitted"))
+JVMS = PointStatistic("JVMs", where=jvm_start, kinds=("SpanStart",))
+EXECUTORS = PointStatistic("Executors", where=lambda: scheduler_event("ExecutorAdded"), kinds=("Fn",))
+JOBS = PointStatistic("Jobs", where=lambda: scheduler_event("JobSubmitted"), kinds=("Fn",))
 TASKS = _tasks("Tasks")
 BLOCK_UPDATES = PointStatistic(
-    "Block updates", where=lambda: call_of(BLOCK_UPDATE), key=lambda: F.col("ts").cast("string")
+    "Block updates", where=lambda: call_of(BLOCK_UPDATE), key=lambda: F.col("ts").cast("string"), kinds=("Fn",)
 )
 
 COUNT_STATISTICS = (JVMS, EXECUTORS, JOBS, TASKS, BLOCK_UPDATES)
@@ -178,10 +184,17 @@ STATISTICS: dict[str, Statistic | PointStatistic | PairStatistic] = {
 # extraction
 
 
-def _fan_out(events: DataFrame, keep: Sequence[str], made: Sequence[Column]) -> DataFrame:
+def _of_kinds(stats: Sequence[PointStatistic | PairStatistic], events: DataFrame) -> DataFrame:
+    """Events that any of the statistics can use, as a plain filter that reaches the scan."""
+    if not all(s.kinds for s in stats):
+        return events
+    return events.filter(F.col("kind").isin(*sorted({k for s in stats for k in s.kinds})))
+
+
+def _fan_out(events: DataFrame, own: Sequence[str], made: Sequence[Column]) -> DataFrame:
     """One row per non-NULL struct of ``made``, from a single scan."""
     facts = F.filter(F.array(*made), lambda f: f.isNotNull())
-    return events.select(*keep, F.explode(facts).alias("f")).select(*keep, "f.*")
+    return events.select(*own, F.explode(facts).alias("f")).select(*own, "f.*")
 
 
 def _point_values(stats: Sequence[PointStatistic], events: DataFrame) -> DataFrame:
@@ -196,7 +209,7 @@ def _point_values(stats: Sequence[PointStatistic], events: DataFrame) -> DataFra
         )
         for s in stats
     ]
-    return _fan_out(events, ["trace_id"], made)
+    return _fan_out(_of_kinds(stats, events), ["trace_id"], made)
 
 
 def _pair_values(stats: Sequence[PairStatistic], events: DataFrame, services: DataFrame) -> DataFrame:
@@ -212,7 +225,7 @@ def _pair_values(stats: Sequence[PairStatistic], events: DataFrame, services: Da
         )
         made.append(F.when((start | end) & key.isNotNull(), mark))
     pairs = (
-        _fan_out(events, ["trace_id"], made)
+        _fan_out(_of_kinds(stats, events), ["trace_id"], made)
         .groupBy("trace_id", "stat", "key")
         .agg(F.max("start").alias("start"), F.max("end").alias("end"))
         .filter(F.col("start").isNotNull() & F.col("end").isNotNull())
@@ -358,19 +371,19 @@ def nearest_ranks(
 
 
 def statistics_table(
-    stats: Sequence, columns: Sequence[StatColumn | Percentile], events: DataFrame, services: DataFrame
+    stats: Sequence, columns: Sequence[StatColumn | Percentile], events: DataFrame, services: DataFrame, placed: bool = False
 ) -> DataFrame:
-    """``(trace, stat, <columns>)``, a row for every trace and statistic, in declared order."""
+    """``(trace, stat, <columns>)``, a row for every trace and statistic, in declared order; with its ``position`` if ``placed``."""
     values = statistic_values(stats, events, services)
-    return summarise(values, [s.name for s in stats], columns, services.select("trace_id"))
+    return summarise(values, [s.name for s in stats], columns, services.select("trace_id"), placed)
 
 
 def summarise(
-    values: DataFrame, names: Sequence[str], columns: Sequence[StatColumn | Percentile], traces: DataFrame
+    values: DataFrame, names: Sequence[str], columns: Sequence[StatColumn | Percentile], traces: DataFrame, placed: bool = False
 ) -> DataFrame:
     group = ["trace_id", "stat"]
     # Distinct values are combined before they are shuffled, however often they
-    # occur.  Cached, since both the totals and the ranks are made from them.
+    # occur.  Kept, since both the totals and the ranks are made from them.
     counted = values.groupBy(*group, "value").agg(
         F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key")
     )
@@ -378,7 +391,7 @@ def summarise(
     totals = [c for c in columns if isinstance(c, StatColumn) and c.distinct]
     custom = [c for c in columns if isinstance(c, StatColumn) and not c.distinct]
     if ranked and totals:
-        counted = counted.persist()
+        counted = keep(counted)
 
     labels = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("stat")) for i, n in enumerate(names)])
     table = traces.distinct().select("trace_id", F.explode(labels).alias("s")).select("trace_id", "s.*")
@@ -395,7 +408,8 @@ def summarise(
     for c in columns:
         column = F.col(f"`{c.name}`")
         shown.append((column if c.empty is None else F.coalesce(column, F.lit(c.empty))).alias(c.name))
-    return table.orderBy("trace_id", "ord").select(F.col("trace_id").alias("trace"), "stat", *shown)
+    place = [F.col("ord").alias("position")] if placed else []
+    return table.orderBy("trace_id", "ord").select(F.col("trace_id").alias("trace"), "stat", *shown, *place)
 
 
 def compare(table: DataFrame, column: str, traces: Sequence[int]) -> DataFrame:

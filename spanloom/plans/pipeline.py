@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import S, debug_text, name_at, name_is
 from ..operators.blocks import BLOCKS, Block, Context
 from ..operators.formats import Formatter
 from ..operators.rules import case_parse, keeps
-from ..operators.services import resolve_services
+from ..operators.services import endpoints, host_of, port_of, resolve_endpoint, resolve_services
 from ..sources.results import write_blocks, write_dump, write_result_text
+from ..sources.store import keep
 from ..sources.traces import decode_events, read_lines, relative_time, trace_starts
 from .config import TraceConfig
 
@@ -73,32 +73,6 @@ def kept_context(prepared: DataFrame, config: TraceConfig) -> Context:
     return Context(ready.events, keep(ready.services), ready.formatter)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, if the cluster names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
-def keep(frame: DataFrame, *order: str) -> DataFrame:
-    """Compute an intermediate table once, for all that is made from it.
-
-    It is written to the shared folder the cluster names in
-    ``spark.checkpoint.dir`` and read back: a lost executor then costs no
-    recomputation of what came before, and the planner knows the true size of
-    the table, so it broadcasts small ones by its own threshold and no others.
-    Without such a folder the table is cached, spilling to disk.  Rows are put
-    in ``order`` within each task, so statistics of row groups let a reader
-    skip what it does not want; data never decides on names or numbers of files.
-    """
-    spark = frame.sparkSession
-    folder = shared_folder(spark)
-    frame = frame.sortWithinPartitions(*order) if order else frame
-    if not folder:
-        return frame.persist(StorageLevel.MEMORY_AND_DISK)
-    target = f"{folder.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
-    frame.write.parquet(target)
-    return spark.read.schema(frame.schema).parquet(target)
-
-
 def open_traces(
     spark: SparkSession, directories: Sequence[str], config: TraceConfig, mode: str = "FAILFAST"
 ) -> Context:
@@ -122,11 +96,13 @@ def process_trace(
     """All result tables of one or more traces; written under ``result`` if given."""
     ctx = open_traces(spark, directories, config, mode)
     chosen = list(blocks if blocks is not None else BLOCKS.values())
-    frames = {block.name: block.frame(ctx) for block in chosen}
+    frames = {block.name: block.placed(ctx) for block in chosen}
     if result is not None:
+        # Computed once for both forms, and for whoever reads them next.
+        frames = {name: keep(frame) for name, frame in frames.items()}
         write_blocks(chosen, frames, result)
         write_result_text(chosen, frames, f"{result}/text")
-    return frames
+    return {block.name: block.shown(frames[block.name]) for block in chosen}
 
 
 def dump_trace(
@@ -151,18 +127,55 @@ def run(spark: SparkSession, config: TraceConfig, comparisons: Sequence[str] = (
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def diagnostics(prepared: DataFrame, services: DataFrame) -> DataFrame:
-    """Per trace, how many events refer to a JVM without any service, and how many have rule faults."""
+#: What diagnostics count, per trace.
+COUNTERS = ("events", "without_service", "with_rule_faults", "unknown_address", "removed_address", "bad_registration", "corrupt_lines")
+
+
+def diagnostics(prepared: DataFrame, services: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
+    """Per trace, what the result tables leave out and why.
+
+    ``events`` in all; ``without_service`` of a JVM that has none to show;
+    ``with_rule_faults``; messages that pass the filters but not to the table,
+    as an address is unknown (``unknown_address``) or belongs to a removed
+    service (``removed_address``, both addresses known); announcements of
+    services whose address cannot be read (``bad_registration``); and
+    ``corrupt_lines``, counted in ``decoded``, which is what
+    :func:`~spanloom.sources.decode_events` yields in PERMISSIVE mode.
+    ``services`` are those of :func:`~spanloom.operators.services.resolve_services`.
+    """
+
+    def counted(frame: DataFrame, **counts: Column) -> DataFrame:
+        made = [F.sum(counts.get(name, F.lit(0)).cast("bigint")).alias(name) for name in COUNTERS]
+        return frame.groupBy("trace_id").agg(*made)
+
+    # Reduced to one row per JVM before it meets the services.
+    announced = F.col("service_name").isNotNull() | F.col("service_address").isNotNull()
+    readable = F.col("service_name").isNotNull() & host_of(F.col("service_address")).isNotNull() & port_of(F.col("service_address")).isNotNull()
     per_jvm = prepared.groupBy("trace_id", "uuid").agg(
-        F.count("*").alias("events"), F.sum((F.size("faults") > 0).cast("bigint")).alias("faulty")
+        F.count("*").alias("n"),
+        F.sum((F.size("faults") > 0).cast("bigint")).alias("faulty"),
+        F.sum((announced & ~F.coalesce(readable, F.lit(False))).cast("bigint")).alias("bad"),
     )
-    known = services.select("trace_id", "uuid", F.lit(True).alias("known")).distinct()
-    return (
-        per_jvm.join(known, ["trace_id", "uuid"], "left")
-        .groupBy("trace_id")
-        .agg(
-            F.sum("events").alias("events"),
-            F.sum(F.when(F.col("known").isNull(), F.col("events")).otherwise(0)).alias("without_service"),
-            F.sum("faulty").alias("with_rule_faults"),
+    known = services.filter(~F.col("removed")).select("trace_id", "uuid", F.lit(True).alias("known")).distinct()
+    jvms = per_jvm.join(known, ["trace_id", "uuid"], "left")
+    parts = [
+        counted(
+            jvms,
+            events=F.col("n"),
+            without_service=F.when(F.col("known").isNull(), F.col("n")).otherwise(0),
+            with_rule_faults=F.col("faulty"),
+            bad_registration=F.col("bad"),
         )
+    ]
+    # The join of the message table, kept open on its other side.
+    messages = prepared.filter(F.col("kept") & (F.col("kind") == "RPC")).select(
+        "trace_id", "ts", name_at("tree", "3.1").column.alias("source"), name_at("tree", "3.2").column.alias("target")
     )
+    ends = endpoints(services)
+    both = resolve_endpoint(resolve_endpoint(messages, ends, "source", "source"), ends, "target", "target")
+    unknown = F.col("source").isNull() | F.col("target").isNull()
+    parts.append(counted(both, unknown_address=unknown, removed_address=~unknown & (F.col("source.removed") | F.col("target.removed"))))
+    if decoded is not None:
+        parts.append(counted(decoded, corrupt_lines=F.col("corrupt").isNotNull()))
+    together = reduce(DataFrame.unionByName, parts)
+    return together.groupBy("trace_id").agg(*[F.sum(name).alias(name) for name in COUNTERS])

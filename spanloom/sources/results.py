@@ -13,6 +13,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import delete, is_kept, keep, release
+
 if TYPE_CHECKING:
     from ..operators.blocks import Block
 
@@ -48,51 +50,58 @@ def _field(column: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def result_lines(blocks: Sequence[Block], frames: Mapping[str, DataFrame]) -> DataFrame:
-    """``(block_no, section, seq, line)`` of the text form: 0 heading, 1 rows, 2 end.
+_PLACE = "__place"
+
+
+def _placed(block: Block, frame: DataFrame) -> DataFrame:
+    """Rows of a table whose order is not stated, or not by columns it has, are numbered as they come."""
+    if _PLACE in frame.columns or (block.order and set(block.order) <= set(frame.columns)):
+        return frame
+    return frame.withColumn(_PLACE, F.monotonically_increasing_id())
+
+
+def block_lines(block: Block, frame: DataFrame) -> DataFrame:
+    """``(section, seq, tie, line)`` of the text form of one table: 0 heading, 1 rows, 2 end.
 
-    Sorting by the first three columns gives the text; rows of a table whose
-    order is not stated by the block keep the order of its frame.
+    Sorting by the first three columns gives the text.
     """
-    spark = next(iter(frames.values())).sparkSession
-    parts = []
-    for number, block in enumerate(blocks):
-        names, types = zip(*block.columns)
-        fixed = [
-            (number, 0, [0], block.name),
-            (number, 0, [1], "\t".join(names)),
-            (number, 0, [2], "\t".join(types)),
-            (number, 2, [0], END_OF_BLOCK),
-        ]
-        parts.append(
-            spark.createDataFrame(fixed, "block_no int, section int, seq array<bigint>, line string")
-            .withColumn("tie", F.lit(""))
-        )
-        line = F.concat_ws("\t", *[_field(F.col(f"`{name}`")) for name in names])
-        # A row that is just the end mark, or would read back as one or as blank, gets a backslash in front.
-        line = F.when(line.rlike(r"^\\*(%|\s*)$"), F.concat(F.lit("\\"), line)).otherwise(line)
-        kinds = dict(block.columns)
-        keys = [F.col(f"`{name}`") for name in block.order]
-        numeric = [key.cast("bigint") for key, name in zip(keys, block.order) if kinds[name] != "string"]
-        tie = F.concat_ws("\t", *[key for key, name in zip(keys, block.order) if kinds[name] == "string"], line)
-        if not keys:
-            numeric, tie = [F.monotonically_increasing_id()], F.lit("")
-        parts.append(
-            frames[block.name].select(
-                F.lit(number).alias("block_no"),
-                F.lit(1).alias("section"),
-                F.array(*numeric).cast("array<bigint>").alias("seq"),
-                line.alias("line"),
-                tie.alias("tie"),
-            )
-        )
+    frame = _placed(block, frame)
+    names, types = zip(*block.columns)
+    fixed = [(0, [0], block.name), (0, [1], "\t".join(names)), (0, [2], "\t".join(types)), (2, [0], END_OF_BLOCK)]
+    frame_of = frame.sparkSession.createDataFrame(fixed, "section int, seq array<bigint>, line string")
+    line = F.concat_ws("\t", *[_field(F.col(f"`{name}`")) for name in names])
+    # A row that is just the end mark, or would read back as one or as blank, gets a backslash in front.
+    line = F.when(line.rlike(r"^\\*(%|\s*)$"), F.concat(F.lit("\\"), line)).otherwise(line)
+    kinds = dict(block.columns)
+    order = [_PLACE] if _PLACE in frame.columns else block.order
+    keys = [(F.col(f"`{name}`"), kinds.get(name, "num")) for name in order]
+    numeric = [key.cast("bigint") for key, kind in keys if kind != "string"]
+    tie = F.concat_ws("\t", *[key for key, kind in keys if kind == "string"], line)
+    rows = frame.select(F.lit(1).alias("section"), F.array(*numeric).cast("array<bigint>").alias("seq"), tie.alias("tie"), line.alias("line"))
+    return frame_of.select("section", "seq", F.lit("").alias("tie"), "line").union(rows)
+
+
+def result_lines(blocks: Sequence[Block], frames: Mapping[str, DataFrame]) -> DataFrame:
+    """:func:`block_lines` of all tables, with ``block_no`` in front."""
+    parts = [block_lines(block, frames[block.name]).select(F.lit(number).alias("block_no"), "*") for number, block in enumerate(blocks)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def write_result_text(blocks: Sequence[Block], frames: Mapping[str, DataFrame], path: str) -> None:
-    """All tables as text, in part files that follow one another by name."""
-    lines = result_lines(blocks, frames)
-    lines.orderBy("block_no", "section", "seq", "tie").select("line").write.mode("overwrite").text(path)
+    """All tables as text: a numbered folder per table, in it numbered part files.
+
+    Files in order of their names, one after the other, are the text.  Every
+    table is put in order by itself, by ranges of its own rows, and computed
+    once: a range sort looks at its input twice, so that is a kept table.
+    """
+    delete(next(iter(frames.values())).sparkSession, path)
+    for number, block in enumerate(blocks):
+        frame = frames[block.name]
+        table = frame if is_kept(frame) else keep(_placed(block, frame))
+        ordered = block_lines(block, table).orderBy("section", "seq", "tie").select("line")
+        ordered.write.text(f"{path}/{number:05d}-{block.name.replace(':', '_')}")
+        if table is not frame:
+            release(table)
 
 
 def write_dump(text: DataFrame, path: str) -> None:
@@ -103,56 +112,59 @@ def write_dump(text: DataFrame, path: str) -> None:
 # reading back
 
 
+#: Names and types of what orders the splits of a text: its folder, its part number, its file, and where in the file.
+_SPLIT = (("folder", "part", "name", "start"), ("string", "bigint", "string", "bigint"))
+
+
 def result_records(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a result text with their place: ``(block_no, line_no, line)``.
+    """Rows of a result text with their place: ``(block_no, at, line)``, without end marks and blank lines.
 
-    ``line_no`` counts 1, 2, 3 for name, column names and types, and is NULL for rows.
+    ``at`` orders the lines of the text, whatever folders and parts it is in.
+    End marks are counted per split of a file; the counts of the splits before
+    one, added up, tell which table it begins in, and the few marks inside it
+    which table a line is in.
     """
-    where = F.struct(
-        F.col("_metadata.file_name").alias("file"),
+    name = F.col("_metadata.file_name")
+    file = F.struct(
+        F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/", 1).alias("folder"),
+        F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint").alias("part"),
+        name.alias("name"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("n"),
     )
-    lines = spark.read.text(path).select(where.alias("at"), F.col("value").alias("line"))
-    # One end marker per table, so this list is as short as the list of tables.
-    ends = (
-        lines.filter(F.col("line") == END_OF_BLOCK)
-        .agg(F.sort_array(F.collect_list("at")).alias("ends"))
-        .withColumn("one", F.lit(1))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        file.alias("split"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")
     )
-    placed = (
-        lines.filter((F.trim("line") != "") & (F.col("line") != END_OF_BLOCK))
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(ends), "one")
-        .select(
-            F.size(F.filter("ends", lambda e: e < F.col("at"))).alias("block_no"), "at", "line"
-        )
-    )
-    # Only the first three lines of each table are ranked.
-    first = Window.partitionBy("block_no").orderBy("at")
-    heads = (
-        placed.withColumn("line_no", F.row_number().over(first))
-        .filter("line_no <= 3")
-        .select("at", "line_no")
-    )
-    # Three rows per table.
-    return placed.join(F.broadcast(heads), "at", "left").select("block_no", "line_no", "line")
-
-
-def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a result text by name, typed: ``num`` double, ``time`` timestamp."""
+    is_end = F.col("line") == END_OF_BLOCK
+    splits = lines.groupBy("split").agg(F.sort_array(F.collect_list(F.when(is_end, F.col("n")))).alias("ends"))
+    # A row per split: kept, so that Spark knows how few they are when the lines meet them.
+    before = F.sum(F.size("ends")).over(Window.orderBy("split")) - F.size("ends")
+    splits = keep(splits.select("split", "ends", before.alias("before")))
+    rows = lines.filter((F.trim("line") != "") & ~is_end).join(splits, "split")
+    number = F.col("before") + F.size(F.filter("ends", lambda e: e < F.col("n")))
+    return rows.select(number.alias("block_no"), F.struct("split", "n").alias("at"), "line")
+
+
+def read_result(spark: SparkSession, path: str, ordered: bool = True) -> dict[str, DataFrame]:
+    """Tables of a result text by name, typed: ``num`` double, ``time`` timestamp; rows as in the text if ``ordered``."""
     records = result_records(spark, path)
-    # Three lines per table decide the schema of the tables.
-    heads = records.filter("line_no IS NOT NULL").orderBy("block_no", "line_no").collect()
+    # The first three lines of a table decide its schema.  Spark takes the first
+    # ones of each task before it brings any together.
+    place = F.row_number().over(Window.partitionBy("block_no").orderBy("at"))
+    heads = keep(records.withColumn("line_no", place).filter("line_no <= 3"))
     described: dict[int, list[str]] = {}
-    for row in heads:
+    last = {}
+    for row in heads.orderBy("block_no", "line_no").collect():
         described.setdefault(row.block_no, []).append(row.line)
+        last[row.block_no] = row.at
     tables = {}
     for number, (name, names, types) in described.items():
+        split = F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(*_SPLIT, last[number].split)])
+        heading = F.struct(split.alias("split"), F.lit(last[number].n).alias("n"))
         columns = list(zip(names.split("\t"), types.split("\t")))
         shown = F.when(F.col("line").rlike(r"^\\+(%|\s*)$"), F.expr("substring(line, 2)")).otherwise(F.col("line"))
         fields = F.split(shown, "\t", -1)
-        rows = records.filter((F.col("block_no") == number) & F.col("line_no").isNull()).select(
+        mine = records.filter((F.col("block_no") == number) & (F.col("at") > heading))
+        rows = (mine.orderBy("at") if ordered else mine).select(
             *[F.coalesce(F.get(fields, F.lit(i)), F.lit("")).alias(n) for i, (n, _t) in enumerate(columns)]
         )
         tables[name] = typed(rows, columns)

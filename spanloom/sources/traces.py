@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +16,32 @@ MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 def read_lines(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
     """``(trace_id, line)`` of newline-delimited traces; directories are numbered from 0.
 
-    Decoding costs more than reading: set ``spark.sql.files.maxPartitionBytes``
-    for splits as small as the cluster has cores for.
+    All of them are one scan; the folder of a line's file tells the number.  A
+    directory that is named twice is two traces, a path may be a single file
+    or a pattern.  Decoding costs more than reading: set
+    ``spark.sql.files.maxPartitionBytes`` for splits as small as the cluster
+    has cores for.
     """
     if not directories:
         raise ValueError("at least one trace directory is required")
-    parts = [
-        spark.read.text(directory).select(F.lit(i).alias("trace_id"), F.col("value").alias("line"))
-        for i, directory in enumerate(directories)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    numbers = [(path, i) for i, directory in enumerate(directories) for path in _found(spark, directory)]
+    # As many rows as directories were named.
+    named = spark.createDataFrame(numbers, "place string, trace_id int")
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    lines = spark.read.option("recursiveFileLookup", "true").text(list(dict.fromkeys(directories))).select(file.alias("file"), F.col("value").alias("line"))
+    # The folder as deep as a named place is, in most runs all of one depth.
+    depths = sorted({place.count("/") + 1 for place, _ in numbers})
+    placed = lines.withColumn("place", F.explode(F.array_distinct(F.array(*[F.substring_index("file", "/", d) for d in depths]))))
+    # Below a named directory lie its files and folders of partitions, no other directories.
+    own = F.expr("substring(file, length(place) + 1)").rlike(r"^((/[^/=]+=[^/]*)*/[^/]+)?$")
+    return placed.join(F.broadcast(named), "place").filter(own).select("trace_id", "line")
+
+
+def _found(spark: SparkSession, directory: str) -> list[str]:
+    """A path or pattern the way the scan shows it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [re.sub("^file:/+", "file:/", status.getPath().toUri().toString()) for status in system.globStatus(path) or []]
 
 
 def decode_events(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:

@@ -8,10 +8,11 @@ from spanloom.operators.blocks import AXES, EVENTS, RPCS, SPANS, STAT_COUNT, STA
 from spanloom.operators.formats import FormatSpec, Formatter, FunctionTarget, VariableTarget, target_of
 from spanloom.operators.pairing import span_length, time_delta
 from spanloom.operators.rules import Condition, Rule, cascade, case_parse, filter_rules, keeps
-from spanloom.operators.services import endpoints, host_of, listed_services, main_services, port_of, resolve_services, with_endpoint
+from spanloom.operators.services import endpoints, host_of, listed_services, main_services, port_of, resolve_endpoint, resolve_services, with_endpoint
 from spanloom.operators.stats import (
     BLOCK_UPDATES,
     COUNT,
+    COUNT_STATISTICS,
     EXECUTOR_LIFETIME,
     EXECUTORS,
     JOBS,
@@ -401,7 +402,7 @@ def test_result_text_round_trip(spark, ctx, tmp_path):
     frames = {b.name: b.frame(ctx) for b in blocks}
     path = str(tmp_path / "text")
     write_result_text(blocks, frames, path)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "text").glob("part-*")))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "text").rglob("part-*")))
     assert text.startswith("timerange\ntime\ntime\n1\n50\n%\naxes\nname\nstring\n1 1 sparkDriver\n2 1 sparkExecutor\n%\nrpcs\n")
     assert "0\tTask duration\t0.006\t0.006\t0.006\t0.01\t0.01\t(1,2)\t(1,1)\n" in text
     assert text.endswith("%\n")
@@ -412,3 +413,126 @@ def test_result_text_round_trip(spark, ctx, tmp_path):
     assert rows(tables["stat:count"])[0] == (0.0, "JVMs", 3.0)
     assert tables["rpcs"].dtypes[0] == ("time", "timestamp")
     assert sorted(r.content for r in tables["rpcs"].collect()) == ["Request", "Response"]
+
+
+def test_result_text_in_splits(spark, ctx, tmp_path):
+    """Files cut into many splits, tables longer than a split, parts beyond five digits, rows that look like marks."""
+    from spanloom.operators.blocks import Block
+    from spanloom.sources.results import result_records
+
+    long = Block("long", [("time", "num"), ("text", "string")], None, order=("time",))
+    odd = Block("odd", [("text", "string")], None)
+    empty = Block("empty", [("text", "string")], None)
+    data = [(k, f"row {k} " + "x" * (k % 50)) for k in range(3000)]
+    marks = ["%", "", "\\%", "  ", "a\tb", "%%", "\\\\"]
+    frames = {
+        "long": spark.createDataFrame(data[::-1], "time bigint, text string").repartition(5),
+        "odd": spark.createDataFrame([(m,) for m in marks], "text string").coalesce(1),
+        "empty": spark.createDataFrame([], "text string"),
+    }
+    folder = tmp_path / "text"
+    write_result_text([long, odd, empty], frames, str(folder))
+    text = "".join(p.read_text() for p in sorted(folder.rglob("part-*")))
+    lines = [r.line for r in result_lines([long, odd, empty], frames).orderBy("block_no", "section", "seq", "tie").collect()]
+    assert text == "".join(line + "\n" for line in lines)
+    single = tmp_path / "single"
+    single.mkdir()
+    # The same text in parts whose numbers no longer sort as text.
+    for k, start in enumerate(range(0, len(lines), 200)):
+        (single / f"part-{99_997 + k}-x.txt").write_text("".join(line + "\n" for line in lines[start : start + 200]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        for place in (str(folder), str(single)):
+            tables = read_result(spark, place)
+            assert list(tables) == ["long", "odd", "empty"]
+            assert sorted(rows(tables["long"])) == [(float(k), t) for k, t in data]
+            assert sorted(r.text for r in tables["odd"].collect()) == sorted(m.replace("\t", "\\t") for m in marks)
+            assert tables["empty"].count() == 0
+        plan = result_records(spark, str(single))._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert spark.read.text(str(single)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+# ---------------------------------------------------------------- plans
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_in_two_phases(spark):
+    """Every row numbered once, and no window over a whole group."""
+    from spanloom.operators.ranks import numbered
+
+    data = [(g, t, i) for g in (1, 2, None) for i, t in enumerate([None, 5, 5, 999, 1000, 1001, 70_000, 5, -3])]
+    frame = spark.createDataFrame(data, "g int, t bigint, i int")
+    got = numbered(frame, ["g"], F.floor(F.col("t") / 1000), ["t", "i"], "number")
+    want = {}
+    for g in (1, 2, None):
+        mine = sorted(((t is not None, t or 0, i) for h, t, i in data if h == g))
+        want.update({(g, i): k for k, (_, _, i) in enumerate(mine)})
+    assert {(r.g, r.i): r.number for r in got.collect()} == want
+    assert got.columns == ["g", "t", "i", "number"]
+
+
+def test_an_address_registered_a_thousand_times(spark):
+    """Each message meets one row, and finds the registration in force at its time."""
+    rows_ = [(0, f"u{k}", "1.1.1.1", 80, f"s{k}", 10 * k, f"id{k}", k % 7 == 0) for k in range(1000)]
+    services = spark.createDataFrame(rows_, "trace_id int, uuid string, host string, port int, name string, start bigint, service_id string, removed boolean")
+    messages = spark.range(-5, 10_005, 3).select(F.lit(0).alias("trace_id"), F.col("id").alias("ts"), F.lit("/1.1.1.1:80").alias("a"))
+    joined = resolve_endpoint(messages, endpoints(services), "a", "x")
+    found = {r.ts: r.x for r in joined.collect()}
+    assert len(found) == messages.count() == joined.count()
+    for ts, x in found.items():
+        k = min(max(ts // 10, 0), 999)
+        assert (x.service_id, x.removed) == (f"id{k}", k % 7 == 0)
+    kept = with_endpoint(messages, endpoints(services), "a", "x")
+    assert kept.count() == sum(not x.removed for x in found.values())
+
+
+def test_statistics_read_their_kinds_only(spark, ctx):
+    """The kinds that statistics name reach the scan of the events."""
+    from spanloom.sources import keep
+
+    events = keep(ctx.events, "kind")
+    plan = plan_of(JOBS.extract(events, ctx.services))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "kind" in pushed and "Fn" in pushed and "SpanStart" not in pushed
+    both = plan_of(statistic_values(COUNT_STATISTICS, events, ctx.services))
+    assert all("kind" in line.split("PushedFilters")[1] for line in both.splitlines() if "PushedFilters" in line)
+
+
+def test_span_ids_come_first(spark):
+    """Marks of other spans are gone before anything is shuffled: two scans, and the marks are joined where they are read."""
+    from spanloom.sources import keep
+
+    marks = spark.range(5000).selectExpr("0 AS trace_id", "id AS ts", "concat('s', id div 2) AS span_id", "if(id < 10, 'get', 'put') AS span_name", "id % 2 = 0 AS opens")
+    lengths = span_length(keep(marks), "get")
+    plan = plan_of(lengths)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("FileScan") == 2
+    assert {r.key: r.delta for r in lengths.collect()} == {f"s{k}": 1 for k in range(5)}
+
+
+def test_diagnostics_count_what_is_left_out(spark):
+    from spanloom.plans import diagnostics
+
+    lines = [
+        "(a,1,Service(sparkDriver,/1:1))",
+        "(b,2,Service(filterMe,/2:2))",
+        "(c,3,Service(broken,nowhere))",
+        "(d,3,Service(noAddress))",
+        "(a,5,RPC(/1:1,/1:1,Fine))",
+        "(a,6,RPC(/1:1,/2:2,ToRemoved))",
+        "(a,7,RPC(/9:9,/2:2,FromUnknown))",
+        "(a,8,RPC(,/1:1,NoAddress))",
+        "(e,9,MainEnd)",
+    ]
+    ready = prepared(spark, lines, ["(z,1,MainEnd)"])
+    decoded = spark.createDataFrame([(0, None), (0, "x"), (0, "y"), (2, "z")], "trace_id int, corrupt string")
+    found = {r.trace_id: r.asDict() for r in diagnostics(ready, resolve_services(ready, ["2 2 filterMe"]), decoded).collect()}
+    assert found[0] == {"trace_id": 0, "events": 9, "without_service": 4, "with_rule_faults": 0, "unknown_address": 2, "removed_address": 1, "bad_registration": 2, "corrupt_lines": 2}
+    assert found[1]["events"] == 1 and found[1]["without_service"] == 0
+    assert found[2] == {"trace_id": 2, "events": 0, "without_service": 0, "with_rule_faults": 0, "unknown_address": 0, "removed_address": 0, "bad_registration": 0, "corrupt_lines": 1}

@@ -1,15 +1,16 @@
 """Whole runs over trace directories, and the queries against their oracles."""
 
 import json
+import os
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spanloom.plans import pipeline
 from spanloom.plans import TraceConfig, dump_trace, open_traces, process_trace, run
-from spanloom.sources import decode_events, read_lines, read_result
+from spanloom.sources import decode_events, read_lines, read_result, store
 
 from samples import rows
 
@@ -55,11 +56,11 @@ def directories(tmp_path_factory):
     return [str(one), str(two), str(empty)]
 
 
-@pytest.mark.parametrize("folder", [True, False], ids=["written", "cached"])
+@pytest.mark.parametrize("folder", [True, False], ids=["named", "own"])
 def test_process(spark, directories, tmp_path, monkeypatch, folder):
     out = str(tmp_path / "out")
     if not folder:
-        monkeypatch.setattr(pipeline, "shared_folder", lambda spark: None)
+        monkeypatch.setattr(store, "FOLDER", "spark.checkpoint.none")
     tables = process_trace(spark, directories, TraceConfig(), out)
     assert set(tables) == {"timerange", "axes", "rpcs", "events", "spans", "stat:count", "stat:dist"}
     driver, executor = "1.1.1.1 10 sparkDriver", "2.2.2.2 20 sparkExecutor"
@@ -83,6 +84,57 @@ def test_process(spark, directories, tmp_path, monkeypatch, folder):
     assert back["stat:dist"].count() == 10
 
 
+def test_folder_of_a_cluster(spark, monkeypatch):
+    """On a cluster no folder of the driver's machine stands in for the shared one."""
+    monkeypatch.setattr(store, "FOLDER", "spark.checkpoint.none")
+    assert spark.conf.get("spark.checkpoint.none", None) is None
+    own = store.shared_folder(spark)
+    assert own == store.shared_folder(spark) and spark.conf.get("spark.checkpoint.none", None) is None
+    context = type("Context", (), {"master": "yarn", "applicationId": "x"})()
+    session = type("Session", (), {"conf": spark.conf, "sparkContext": context})()
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_folder(session)
+
+
+def test_kept_tables_are_released(spark):
+    kept = store.keep(spark.range(5))
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert store.is_kept(kept) and kept.count() == 5 and os.path.isdir(folder)
+    store.release(kept, spark.range(1))
+    assert not store.is_kept(kept) and not os.path.exists(folder)
+
+
+def scans(frame, kind="FileScan"):
+    return frame._jdf.queryExecution().executedPlan().toString().count(kind)
+
+
+def test_a_thousand_directories_are_one_scan(spark, tmp_path):
+    paths = []
+    for k in range(1000):
+        folder = tmp_path / f"run {k:04d}"
+        folder.mkdir()
+        (folder / "a.trace").write_text(f"line {k}\nagain {k}\n")
+        paths.append(str(folder))
+    lines = read_lines(spark, paths)
+    assert scans(lines) == 1
+    assert Counter(map(tuple, lines.collect())) == Counter((k, f"{word} {k}") for k in range(1000) for word in ("line", "again"))
+
+
+def test_directories_files_and_patterns(spark, tmp_path):
+    for name, text in (("a/x.trace", "ax"), ("a/y.trace", "ay"), ("a/day=1/z.trace", "az"), ("b/x.trace", "bx"), ("é è/x.trace", "ex"), ("a2/x.trace", "a2x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text + "\n")
+    root = str(tmp_path)
+    found = lambda *paths: sorted(map(tuple, read_lines(spark, [f"{root}/{p}" for p in paths]).collect()))
+    assert found("a", "b") == [(0, "ax"), (0, "ay"), (0, "az"), (1, "bx")]
+    assert found("b", "b") == [(0, "bx"), (1, "bx")]
+    assert found("b/", "é è") == [(0, "bx"), (1, "ex")]
+    assert found("b/x.trace", "b") == [(0, "bx"), (1, "bx")]
+    assert found("a2", "[be]*") == [(0, "a2x"), (1, "bx")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        found("none")
+
+
 def test_dump_and_modes(spark, directories, tmp_path):
     out = tmp_path / "dump"
     config = TraceConfig(props={"traceout": directories[1], "result": str(out), "mode": "dump"})

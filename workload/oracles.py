@@ -286,8 +286,17 @@ ORACLES = {
     "relative_time": select("trace_id, uuid, ts"),
     "trace_start": f"WITH {lines_cte()} SELECT trace_id, t0 AS trace_start FROM t0",
     "diagnose": with_services(
-        """ SELECT r.trace_id, count(*) AS events, CAST(sum(CASE WHEN service IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_service,
-      CAST(0 AS BIGINT) AS with_rule_faults FROM r LEFT JOIN mains USING (trace_id, uuid) GROUP BY r.trace_id"""
+        f""", msgs AS (
+      SELECT r.trace_id, a.service_id IS NULL OR b.service_id IS NULL AS unknown, coalesce(a.removed, false) OR coalesce(b.removed, false) AS gone
+      FROM r LEFT JOIN ends a ON a.trace_id = r.trace_id AND a.host = '10.0.0.' || ((user_id * 7 + event_id) % 150) AND a.port = 40000 + event_id % 2 AND {in_force("a")}
+      LEFT JOIN ends b ON b.trace_id = r.trace_id AND b.host = '10.0.0.' || user_id AND b.port = 40000 + event_id % 2 AND {in_force("b")}
+      WHERE {MESSAGES}),
+    lost AS (SELECT trace_id, sum(CASE WHEN unknown THEN 1 ELSE 0 END) AS unknown_address, sum(CASE WHEN NOT unknown AND gone THEN 1 ELSE 0 END) AS removed_address FROM msgs GROUP BY trace_id),
+    cut AS (SELECT trace_id, count({JSON}) AS corrupt_lines FROM r GROUP BY trace_id)
+    SELECT r.trace_id, count(*) AS events, CAST(sum(CASE WHEN service IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_service,
+      CAST(0 AS BIGINT) AS with_rule_faults, CAST(any_value(unknown_address) AS BIGINT) AS unknown_address, CAST(any_value(removed_address) AS BIGINT) AS removed_address,
+      CAST(0 AS BIGINT) AS bad_registration, any_value(corrupt_lines) AS corrupt_lines
+    FROM r LEFT JOIN mains USING (trace_id, uuid) JOIN lost ON lost.trace_id = r.trace_id JOIN cut ON cut.trace_id = r.trace_id GROUP BY r.trace_id"""
     ),
     "filter_default": kept(HEARTBEAT),
     "filter_cascade": kept("NOT (tag IN ('heartbeat', 'rpc_block', 'rpc_update') OR (tag = 'rpc' AND k % 2 = 1))"),
@@ -325,6 +334,10 @@ ORACLES = {
       max(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS "end" FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)
       SELECT *, "end" - start AS delta FROM d""",
     "axes": with_services(" SELECT service_id AS name FROM (SELECT DISTINCT trace_id, service_id FROM svc WHERE NOT removed)"),
+    "axes_ordered": with_services(
+        """ SELECT trace_id AS trace, row_number() OVER (PARTITION BY trace_id ORDER BY min(start), service_id) - 1 AS place, service_id AS name
+      FROM svc WHERE NOT removed GROUP BY trace_id, service_id"""
+    ),
     "rpcs": with_services(
         f""" SELECT r.ts AS time, a.service_id AS origin, b.service_id AS destination, {rendered(3, trees=PARSED)} AS content
       FROM r JOIN ends a ON a.trace_id = r.trace_id AND a.host = '10.0.0.' || ((user_id * 7 + event_id) % 150) AND a.port = 40000 + event_id % 2 AND {in_force("a")}
@@ -362,6 +375,12 @@ ORACLES = {
       coalesce(arg_min(key, (value, key)), '') AS min_at, coalesce(arg_max(key, (value, key)), '') AS max_at
       FROM grid LEFT JOIN vals ON trace = trace_id AND grid.stat = vals.stat GROUP BY trace, grid.stat"""
     ),
+    "stat_dist_ordered": with_services(
+        TASKS
+        + values(DISTRIBUTIONS)
+        + f""" SELECT trace, CAST(list_position([{", ".join(f"'{n}'" for n in DISTRIBUTIONS)}], grid.stat) - 1 AS INTEGER) AS place, grid.stat AS stat, coalesce(max(value), 0e0) AS largest
+      FROM grid LEFT JOIN vals ON trace = trace_id AND grid.stat = vals.stat GROUP BY trace, grid.stat"""
+    ),
     "stat_compare": with_services(
         TASKS
         + values(COUNTS)
@@ -384,3 +403,17 @@ ORACLES = {
       UNION ALL SELECT 2, 1, trace || chr(9) || stat || chr(9) || n FROM ({STAT_COUNT})"""
     ),
 }
+
+ORACLES["result_read_back"] = with_services(
+    TASKS
+    + values(COUNTS)
+    + f""", known AS (SELECT ts FROM r JOIN mains USING (trace_id, uuid) WHERE {HEARTBEAT})
+      SELECT 'timerange' AS block, min(ts) AS n, CAST(NULL AS VARCHAR) AS c0, CAST(NULL AS VARCHAR) AS c1, CAST(NULL AS VARCHAR) AS c2 FROM known
+      UNION ALL SELECT 'timerange', max(ts), NULL, NULL, NULL FROM known
+      UNION ALL SELECT 'axes', NULL, service_id, NULL, NULL FROM (SELECT DISTINCT trace_id, service_id FROM svc WHERE NOT removed)
+      UNION ALL SELECT 'rpcs', r.ts, a.service_id, b.service_id, {rendered(3, trees=PARSED)}
+      FROM r JOIN ends a ON a.trace_id = r.trace_id AND a.host = '10.0.0.' || ((user_id * 7 + event_id) % 150) AND a.port = 40000 + event_id % 2 AND {in_force("a")}
+      JOIN ends b ON b.trace_id = r.trace_id AND b.host = '10.0.0.' || user_id AND b.port = 40000 + event_id % 2 AND {in_force("b")}
+      WHERE {MESSAGES} AND NOT a.removed AND NOT b.removed
+      UNION ALL SELECT 'stat:count', n, CAST(trace AS VARCHAR), stat, NULL FROM ({STAT_COUNT})"""
+)

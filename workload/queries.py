@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ from spanloom.operators.pairing import span_length, span_pairs, time_delta
 from spanloom.operators.rules import condition, keeps
 from spanloom.operators.services import main_services, resolve_services
 from spanloom.plans import TraceConfig, base_events, context, diagnostics, keep, prepare
-from spanloom.sources import decode_events, result_lines, trace_starts
+from spanloom.sources import decode_events, read_result, result_lines, shared_folder, trace_starts, write_result_text
 
 from .adapter import TRACES, dealt, event_rows, trace_lines
 
@@ -214,10 +215,8 @@ def tokenize_documents(spark, sf_dir):
 
 def quarantine(spark, sf_dir):
     """Lines cut short are kept apart and do not disturb the others."""
-    lines = trace_lines(spark, sf_dir)
-    cut = F.when(F.col("line").contains('"RPC"'), F.expr("left(line, length(line) - 2)")).otherwise(F.col("line"))
     return (
-        decode_events(lines.withColumn("line", cut), "PERMISSIVE")
+        decode_events(cut_lines(spark, sf_dir), "PERMISSIVE")
         .groupBy("trace_id")
         .agg(F.count("uuid").alias("events"), F.count("corrupt").alias("corrupt"), F.sum(F.length("corrupt")).alias("chars"))
     )
@@ -231,10 +230,17 @@ def trace_start(spark, sf_dir):
     return trace_starts(decode_events(trace_lines(spark, sf_dir), "DROPMALFORMED"))
 
 
+def cut_lines(spark, sf_dir):
+    """Trace lines, those of messages cut short."""
+    lines = trace_lines(spark, sf_dir)
+    return lines.withColumn("line", F.when(F.col("line").contains('"RPC"'), F.expr("left(line, length(line) - 2)")).otherwise(F.col("line")))
+
+
 def diagnose(spark, sf_dir):
+    """What is left out of the tables; corrupt lines are those of the same trace with its messages cut short."""
     ready = prepared(spark, sf_dir)
-    services = resolve_services(ready, TraceConfig().remove_services).filter("NOT removed")
-    return diagnostics(ready, services)
+    services = resolve_services(ready, TraceConfig().remove_services)
+    return diagnostics(ready, services, decode_events(cut_lines(spark, sf_dir), "PERMISSIVE"))
 
 
 # ---------------------------------------------------------------- rules
@@ -356,6 +362,11 @@ def block(which):
     return lambda spark, sf_dir: which.frame(default_context(spark, sf_dir))
 
 
+def axes_ordered(spark, sf_dir):
+    """Services of each trace, numbered in order of appearance."""
+    return AXES.placed(default_context(spark, sf_dir)).select("trace", F.col("position").alias("place"), "name")
+
+
 def statistic(which):
     def query(spark, sf_dir):
         ctx = default_context(spark, sf_dir)
@@ -395,6 +406,11 @@ def stat_dist(spark, sf_dir):
     return table.toDF("trace", "stat", "p0", "p25", "p50", "p75", "p100", "min_at", "max_at")
 
 
+def stat_dist_ordered(spark, sf_dir):
+    """Where each statistic stands in the table: by trace, then as declared."""
+    return STAT_DIST.placed(default_context(spark, sf_dir)).select("trace", F.col("position").alias("place"), "stat", F.col("100%").alias("largest"))
+
+
 def stat_count(spark, sf_dir):
     return STAT_COUNT.frame(default_context(spark, sf_dir)).toDF("trace", "stat", "n")
 
@@ -405,6 +421,26 @@ def result_text(spark, sf_dir):
     return result_lines(blocks, {b.name: b.frame(ctx) for b in blocks}).select("block_no", "section", "line")
 
 
+def result_read_back(spark, sf_dir):
+    """Tables written as text and read again."""
+    ctx = default_context(spark, sf_dir)
+    blocks = [TIME_RANGE, AXES, RPCS, STAT_COUNT]
+    target = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    write_result_text(blocks, {b.name: b.placed(ctx) for b in blocks}, target)
+    tables = read_result(spark, target, ordered=False)
+    none = F.lit(None).cast("string")
+    shown = lambda name, number, *texts: tables[name].select(
+        F.lit(name).alias("block"), number.cast("bigint").alias("n"), *[t.alias(f"c{i}") for i, t in enumerate([*texts, none, none, none][:3])]
+    )
+    time = F.unix_millis(F.col("time"))
+    return (
+        shown("timerange", time)
+        .union(shown("axes", F.lit(None), F.col("name")))
+        .union(shown("rpcs", time, F.col("origin"), F.col("destination"), F.col("content")))
+        .union(shown("stat:count", F.col("Count"), F.col("trace").cast("int").cast("string"), F.col("stat")))
+    )
+
+
 QUERIES = {
     "trace_decode": trace_decode,
     "deep_decode": deep_decode,
@@ -442,6 +478,7 @@ QUERIES = {
     "span_pair": span_pair,
     "order_ship_delta": order_ship_delta,
     "axes": block(AXES),
+    "axes_ordered": axes_ordered,
     "rpcs": block(RPCS),
     "events_block": block(EVENTS),
     "spans": block(SPANS),
@@ -458,7 +495,9 @@ QUERIES = {
     "stat_block_updates": statistic(stats.BLOCK_UPDATES),
     "stat_count": stat_count,
     "stat_dist": stat_dist,
+    "stat_dist_ordered": stat_dist_ordered,
     "stat_compare": stat_compare,
     "registry_custom_stat": registry_custom_stat,
     "result_text": result_text,
+    "result_read_back": result_read_back,
 }
