@@ -124,6 +124,7 @@ def statistics_block(identifier: str, stats: Sequence, columns: Sequence) -> Blo
     )
 
 
+# Names and columns of the result tables, which readers of results go by.
 AXES = Block("axes", [("name", "string")], axes, order=("trace", "position"))
 RPCS = Block(
     "rpcs",

@@ -5,49 +5,50 @@ from __future__ import annotations
 # Which functions are traced, how their events are labelled, which
 # events and services are left out and which strings are parsed further.  They
 # have to agree with what the tracer writes.
-EVENT_FORMATS = """
-scheduler.DAGSchedulerEventProcessLoop      doOnReceive           DAGSchedulerEvent($1.0($1.1))
-scheduler.TaskSchedulerImpl                 submitTasks           SubmitTasks($1)
-scheduler.TaskSchedulerImpl                 taskSetFinished       TaskSetFinished
-storage.BlockManager                        getBlockData          GetBlockData($1)
-storage.BlockManager                        get                   BlockManagerGet($1)
-storage.BlockManager                        doPut                 PutBlock($1, $2)
-storage.BlockManager                        dropFromMemory        DropFromMemory($1)
-storage.BlockManager                        removeBlock           ManagerRemoveBlock($1)
-storage.BlockManagerMaster                  registerBlockManager  RegisterBlockManager($1)
-storage.BlockManagerMaster                  updateBlockInfo       UpdateBlockInfo($1, $2, $3)
-storage.BlockManagerMaster                  removeBlock           MasterRemoveBlock($1)
-storage.BlockManagerMaster                  removeRdd             RemoveRdd($1)
-storage.BlockManagerMaster                  removeShuffle         RemoveShuffle($1)
-storage.BlockManagerMaster                  removeBroadcast       RemoveBroadcast($1)
-network.netty.NettyBlockTransferService     fetchBlocks           FetchBlocks($1:$2 $3, $4)
-network.netty.NettyBlockTransferService     uploadBlock           UploadBlock($1:$2 $3, $4)
-shuffle.sort.SortShuffleManager             registerShuffle       SortShuffleManager.RegisterShuffle($1, $2)
-shuffle.sort.SortShuffleManager             unregisterShuffle     SortShuffleManager.UnregisterShuffle($1)
-MapOutputTrackerMaster                      registerShuffle       MapOutputTrackerMaster.RegisterShuffle($1, $2)
-MapOutputTrackerMaster                      unregisterShuffle     MapOutputTrackerMaster.UnregisterShuffle($1)
-"""
-SPAN_FORMATS = """
-rpc.RpcEnv$                                 create                CreateRpcEnv($1)
-scheduler.cluster.YarnClientSchedulerBackend  waitForApplication  WaitOnBackend
-SparkContext                                createSparkEnv        CreateSparkEnv
-SparkContext                                SparkContext          CreateSparkContext
-metrics.MetricsSystem                       start                 StartMetricsSystem
-scheduler.TaskSchedulerImpl                 waitBackendReady      TaskSchedulerWaitBackend
-deploy.yarn.ExecutorRunnable                startContainer        StartContainer
-deploy.yarn.ApplicationMaster               org$apache$spark$deploy$yarn$ApplicationMaster$$waitForSparkDriver
-deploy.yarn.ApplicationMaster               org$apache$spark$deploy$yarn$ApplicationMaster$$registerAM
-deploy.yarn.Client                          org$apache$spark$deploy$yarn$Client$$distribute$1
-deploy.yarn.Client                          prepareLocalResources  PrepareLocalResources($1)
-deploy.yarn.Client                          submitApplication      SubmitApplication($r)
-"""
-NOTEBOOK_SPAN_FORMATS = """
-boot.KernelBootstrap                                     initialize            KernelBootstrapInitialize
-boot.layer.StandardComponentInitialization$class         initializeComponents  InitializeComponents
-plugins.PluginManager                                    initialize            InitializePlugins
-kernel.interpreter.scala.ScalaInterpreterSpecific$class  start                 StartScalaInterpreter
-kernel.interpreter.scala.ScalaInterpreter                bindVariables         BindInterpreterVariables
-"""
+# A row is a class, a method and a label (none: the event is shown as it is).
+EVENT_FORMATS = [
+    ("scheduler.DAGSchedulerEventProcessLoop", "doOnReceive", "DAGSchedulerEvent($1.0($1.1))"),
+    ("scheduler.TaskSchedulerImpl", "submitTasks", "SubmitTasks($1)"),
+    ("scheduler.TaskSchedulerImpl", "taskSetFinished", "TaskSetFinished"),
+    ("storage.BlockManager", "getBlockData", "GetBlockData($1)"),
+    ("storage.BlockManager", "get", "BlockManagerGet($1)"),
+    ("storage.BlockManager", "doPut", "PutBlock($1, $2)"),
+    ("storage.BlockManager", "dropFromMemory", "DropFromMemory($1)"),
+    ("storage.BlockManager", "removeBlock", "ManagerRemoveBlock($1)"),
+    ("storage.BlockManagerMaster", "registerBlockManager", "RegisterBlockManager($1)"),
+    ("storage.BlockManagerMaster", "updateBlockInfo", "UpdateBlockInfo($1, $2, $3)"),
+    ("storage.BlockManagerMaster", "removeBlock", "MasterRemoveBlock($1)"),
+    ("storage.BlockManagerMaster", "removeRdd", "RemoveRdd($1)"),
+    ("storage.BlockManagerMaster", "removeShuffle", "RemoveShuffle($1)"),
+    ("storage.BlockManagerMaster", "removeBroadcast", "RemoveBroadcast($1)"),
+    ("network.netty.NettyBlockTransferService", "fetchBlocks", "FetchBlocks($1:$2 $3, $4)"),
+    ("network.netty.NettyBlockTransferService", "uploadBlock", "UploadBlock($1:$2 $3, $4)"),
+    ("shuffle.sort.SortShuffleManager", "registerShuffle", "SortShuffleManager.RegisterShuffle($1, $2)"),
+    ("shuffle.sort.SortShuffleManager", "unregisterShuffle", "SortShuffleManager.UnregisterShuffle($1)"),
+    ("MapOutputTrackerMaster", "registerShuffle", "MapOutputTrackerMaster.RegisterShuffle($1, $2)"),
+    ("MapOutputTrackerMaster", "unregisterShuffle", "MapOutputTrackerMaster.UnregisterShuffle($1)"),
+]
+SPAN_FORMATS = [
+    ("rpc.RpcEnv$", "create", "CreateRpcEnv($1)"),
+    ("scheduler.cluster.YarnClientSchedulerBackend", "waitForApplication", "WaitOnBackend"),
+    ("SparkContext", "createSparkEnv", "CreateSparkEnv"),
+    ("SparkContext", "SparkContext", "CreateSparkContext"),
+    ("metrics.MetricsSystem", "start", "StartMetricsSystem"),
+    ("scheduler.TaskSchedulerImpl", "waitBackendReady", "TaskSchedulerWaitBackend"),
+    ("deploy.yarn.ExecutorRunnable", "startContainer", "StartContainer"),
+    ("deploy.yarn.ApplicationMaster", "org$apache$spark$deploy$yarn$ApplicationMaster$$waitForSparkDriver", ""),
+    ("deploy.yarn.ApplicationMaster", "org$apache$spark$deploy$yarn$ApplicationMaster$$registerAM", ""),
+    ("deploy.yarn.Client", "org$apache$spark$deploy$yarn$Client$$distribute$1", ""),
+    ("deploy.yarn.Client", "prepareLocalResources", "PrepareLocalResources($1)"),
+    ("deploy.yarn.Client", "submitApplication", "SubmitApplication($r)"),
+]
+NOTEBOOK_SPAN_FORMATS = [
+    ("boot.KernelBootstrap", "initialize", "KernelBootstrapInitialize"),
+    ("boot.layer.StandardComponentInitialization$class", "initializeComponents", "InitializeComponents"),
+    ("plugins.PluginManager", "initialize", "InitializePlugins"),
+    ("kernel.interpreter.scala.ScalaInterpreterSpecific$class", "start", "StartScalaInterpreter"),
+    ("kernel.interpreter.scala.ScalaInterpreter", "bindVariables", "BindInterpreterVariables"),
+]
 FILTERS = {
     "3.0 = RPC": {
         "3.3.0 = Heartbeat": False,
@@ -76,12 +77,8 @@ CASE_PARSE = {
 }
 
 
-def _tracers(kind: str, table: str) -> list[dict[str, str]]:
-    rows = (line.split(None, 2) for line in table.strip().splitlines())
-    return [
-        {"type": kind, "class": owner, "method": method, "format": label[0] if label else ""}
-        for owner, method, *label in rows
-    ]
+def _tracers(kind: str, formats: list[tuple[str, str, str]]) -> list[dict[str, str]]:
+    return [{"type": kind, "class": owner, "method": method, "format": label} for owner, method, label in formats]
 
 
 TARGETS = {

@@ -33,9 +33,10 @@ from spanloom.operators.stats import (
 from spanloom.plans import TraceConfig, context, defaults
 from spanloom.sources import read_result, result_lines, write_result_text
 
-from samples import RUN, SERVICES, evaluate, prepared, rows, run_context, trees
+import math
 
-DRIVER, EXEC = "1 1 sparkDriver", "2 1 sparkExecutor"
+from samples import BLOCKS_SET, CALLS, MESSAGES, REMOVED, RUN, SCHEDULER, SERVICES, SHOWN, TASKS_RUN, evaluate, prepared, rows, run_context, service_of, trees
+from samples import JVMS as PROCESSES
 
 
 @pytest.fixture(scope="module")
@@ -48,81 +49,78 @@ def ctx(spark):
 
 
 def test_axes(ctx):
-    assert rows(AXES.frame(ctx)) == [(DRIVER,), (EXEC,)]
+    assert rows(AXES.frame(ctx)) == [(service_of(u),) for u in sorted(SHOWN, key=lambda u: PROCESSES[u]["registered"])]
 
 
 def test_rpcs(ctx):
-    assert sorted(rows(RPCS.frame(ctx))) == [(14, DRIVER, EXEC, "Request"), (15, EXEC, DRIVER, "Response")]
+    shown = [(ts, service_of(a), service_of(b), text) for ts, a, b, text in MESSAGES if a in SHOWN and b in SHOWN]
+    assert sorted(rows(RPCS.frame(ctx))) == shown and len(shown) == 5
 
 
 def test_events(ctx):
-    assert sorted(rows(EVENTS.frame(ctx))) == [
-        (16, DRIVER, "sched(ExecutorAdded(Exec 1))"),
-        (20, DRIVER, "sched(JobSubmitted(Job 1))"),
-        (22, DRIVER, "sched(BeginEvent(Task(1, 1)))"),
-        (24, EXEC, "block(Y)"),
-        (28, EXEC, "block(Z)"),
-        (32, DRIVER, "sched(CompletionEvent(Task(1, 1)))"),
-        (34, DRIVER, "sched(BeginEvent(Task(1, 2)))"),
-        (40, DRIVER, "sched(CompletionEvent(Task(1, 2)))"),
-        (42, EXEC, "MainEnd"),
-        (43, EXEC, "InstrumentOverhead(4)"),
-        (48, DRIVER, "MainEnd"),
-        (50, DRIVER, "InstrumentOverhead(2)"),
-    ]
+    want = [(ts, service_of("coord"), f"loop: {what} of {argument}") for ts, what, argument in SCHEDULER]
+    for (stage, part), (begin, end) in TASKS_RUN.items():
+        want.append((begin, service_of("coord"), f"loop: BeginEvent of Task({stage}, {part})"))
+        want += [(end, service_of("coord"), f"loop: CompletionEvent of Task({stage}, {part})")] if end else []
+    want += [(ts, service_of(u), f"{block} now {level}") for ts, u, block, level in BLOCKS_SET]
+    for u in SHOWN:
+        want += [(PROCESSES[u]["end"], service_of(u), "MainEnd"), (PROCESSES[u]["end"] + 4, service_of(u), f"InstrumentOverhead({PROCESSES[u]['overhead']})")]
+    assert sorted(rows(EVENTS.frame(ctx))) == sorted(want)
 
 
 def test_spans(ctx):
-    assert sorted(rows(SPANS.frame(ctx))) == [(1, 4, DRIVER, "JVMStart"), (2, 4, EXEC, "JVMStart"), (30, 31, EXEC, "1 + 2 = 3")]
+    want = [(PROCESSES[u]["up"], PROCESSES[u]["ready"], service_of(u), "JVMStart") for u in SHOWN]
+    want += [(start, end, service_of(u), f"{amount} x {item} = {price}") for _, u, start, end, item, amount, price in CALLS if end]
+    assert sorted(rows(SPANS.frame(ctx))) == sorted(want)
 
 
 def test_time_range(ctx, spark):
-    assert rows(TIME_RANGE.frame(ctx)) == [(1,), (50,)]
+    assert rows(TIME_RANGE.frame(ctx)) == [(min(PROCESSES[u]["up"] for u in SHOWN),), (max(PROCESSES[u]["end"] for u in SHOWN) + 4,)]
     nothing = Context(ctx.events.limit(0), ctx.services.limit(0))
     assert rows(TIME_RANGE.frame(nothing)) == [(0,), (0,)]
 
 
 # ---------------------------------------------------------------- statistics
 
-
-@pytest.mark.parametrize(
-    "stat, expected",
-    [
-        (JVM_START_TIME, {DRIVER: 0.003, EXEC: 0.002}),
-        (OVERHEAD, {DRIVER: 0.002, EXEC: 0.004}),
-        (MESSAGES_SENT, {DRIVER: 1.0, EXEC: 1.0}),
-        (EXECUTOR_LIFETIME, {EXEC: 0.04}),
-        (TASK_DURATION, {"(1,1)": 0.01, "(1,2)": 0.006}),
-    ],
-    ids=lambda x: getattr(x, "name", None),
-)
-def test_distributions(ctx, stat, expected):
+VALUES = {
+    "JVM start time": {service_of(u): (PROCESSES[u]["ready"] - PROCESSES[u]["up"]) / 1000 for u in SHOWN},
+    "Executor lifetime": {service_of(u): (PROCESSES[u]["end"] - PROCESSES[u]["up"]) / 1000 for u in SHOWN if PROCESSES[u]["service"] == "sparkExecutor"},
+    "Task duration": {f"({stage},{part})": (end - begin) / 1000 for (stage, part), (begin, end) in TASKS_RUN.items() if end},
+    "RPCs sent": {service_of(u): float(sum(to == u for _, _, to, _ in MESSAGES)) for u in SHOWN},
+    "Instr Overhead": {service_of(u): PROCESSES[u]["overhead"] / 1000 for u in SHOWN},
+}
+COUNTED = {
+    "JVMs": len(PROCESSES),
+    "Executors": sum(what == "ExecutorAdded" for _, what, _ in SCHEDULER),
+    "Jobs": sum(what == "JobSubmitted" for _, what, _ in SCHEDULER),
+    "Tasks": len(VALUES["Task duration"]),
+    "Block updates": len(BLOCKS_SET),
+}
+
+
+@pytest.mark.parametrize("stat", [JVM_START_TIME, OVERHEAD, MESSAGES_SENT, EXECUTOR_LIFETIME, TASK_DURATION], ids=lambda s: s.name)
+def test_distributions(ctx, stat):
     found = stat.extract(ctx.events, ctx.services)
-    assert {(r.trace_id, r.key): r.value for r in found.collect()} == {(0, k): v for k, v in expected.items()}
+    assert {(r.trace_id, r.key): r.value for r in found.collect()} == {(0, k): v for k, v in VALUES[stat.name].items()}
 
 
 def test_counts(ctx):
     n = {s.name: s.extract(ctx.events, ctx.services).count() for s in (JVMS, EXECUTORS, JOBS, TASKS, BLOCK_UPDATES)}
-    assert n == {"JVMs": 3, "Executors": 1, "Jobs": 1, "Tasks": 2, "Block updates": 2}
-    assert rows(STAT_COUNT.frame(ctx)) == [
-        (0, "JVMs", 3),
-        (0, "Executors", 1),
-        (0, "Jobs", 1),
-        (0, "Tasks", 2),
-        (0, "Block updates", 2),
-    ]
+    assert n == COUNTED
+    assert rows(STAT_COUNT.frame(ctx)) == [(0, name, n) for name, n in COUNTED.items()]
+
+
+def summary(values):
+    """Quartiles by nearest rank, and the first and last key with the smallest and the largest value."""
+    ordered = sorted(values.values())
+    quartiles = [ordered[max(math.ceil(p / 100 * len(ordered)) - 1, 0)] for p in (0, 25, 50, 75, 100)]
+    return (*quartiles, min(k for k, v in values.items() if v == ordered[0]), max(k for k, v in values.items() if v == ordered[-1]))
 
 
 def test_dist_table(ctx):
     table = STAT_DIST.frame(ctx)
     assert table.columns == ["trace", "stat", "0%", "25%", "50%", "75%", "100%", "Min at", "Max at"]
-    assert rows(table) == [
-        (0, "JVM start time", 0.002, 0.002, 0.002, 0.003, 0.003, EXEC, DRIVER),
-        (0, "Executor lifetime", 0.04, 0.04, 0.04, 0.04, 0.04, EXEC, EXEC),
-        (0, "Task duration", 0.006, 0.006, 0.006, 0.01, 0.01, "(1,2)", "(1,1)"),
-        (0, "RPCs sent", 1.0, 1.0, 1.0, 1.0, 1.0, DRIVER, EXEC),
-        (0, "Instr Overhead", 0.002, 0.002, 0.002, 0.004, 0.004, DRIVER, EXEC),
-    ]
+    assert rows(table) == [(0, name, *summary(values)) for name, values in VALUES.items()]
 
 
 def test_empty_statistics_keep_their_rows(ctx):
@@ -132,7 +130,6 @@ def test_empty_statistics_keep_their_rows(ctx):
 
 
 def test_nearest_ranks_against_sorting(spark):
-    import math
     import random
 
     rng = random.Random(3)
@@ -150,7 +147,8 @@ def test_own_statistic_and_column(ctx):
     lengths = Statistic("Content size", lambda events, services: events.select("trace_id", F.col("kind").alias("key"), F.length("kind").alias("value")))
     spread = StatColumn("Spread", "num", lambda: F.max("value") - F.min("value"), 0.0)
     table = statistics_block("own", [lengths, JVMS], [COUNT, spread, Percentile(50)]).frame(ctx)
-    assert rows(table) == [(0, "Content size", 27, 16.0, 7.0), (0, "JVMs", 3, 0.0, 0.0)]
+    sizes = sorted(len(line.split(",", 2)[2].split("(")[0].rstrip(")")) for line in RUN)
+    assert rows(table) == [(0, "Content size", len(RUN), float(sizes[-1] - sizes[0]), float(sizes[math.ceil(len(sizes) / 2) - 1])), (0, "JVMs", 4, 0.0, 0.0)]
 
 
 def test_ties(spark):
@@ -230,43 +228,62 @@ def test_addresses(spark):
 
 
 def test_time_delta(spark):
-    data = [(1, "a", "start"), (10, "a", "end"), (8, "b", "end"), (3, "b", "start"), (6, "c", "start"), (4, "c", "end"), (2, "d", "start"), (2, None, "end")]
+    """Keys with a start and an end, in any order of rows; against all pairs of them."""
+    data = [(31, "tea", "start"), (77, "tea", "end"), (5, "rye", "end"), (4, "rye", "start"), (90, "oat", "start"), (60, "oat", "end"), (8, "bun", "start"), (9, "jam", "end"), (1, None, "start"), (2, None, "end")]
     frame = spark.createDataFrame(data, "ts int, key string, phase string")
     start, end = F.col("phase") == "start", F.col("phase") == "end"
+
+    def deltas(data, keep):
+        found = time_delta(spark.createDataFrame(data, frame.schema), start, end, [F.col("key")], keep=keep)
+        return sorted((r.key, r.delta) for r in found.collect())
+
+    def wanted(data, keep):
+        times = lambda key, phase: [t for t, k, p in data if k == key and p == phase]
+        keys = {k for _, k, _ in data if k is not None}
+        pairs = {k: (times(k, "start"), times(k, "end")) for k in keys if times(k, "start") and times(k, "end")}
+        if keep == "all":
+            return sorted((k, e - s) for k, (ss, es) in pairs.items() for s in ss for e in es)
+        pick = max if keep == "last" else min
+        return sorted((k, pick(es) - pick(ss)) for k, (ss, es) in pairs.items())
+
+    more = data + [(40, "tea", "start"), (99, "tea", "end"), (99, "tea", "end")]
     for keep in ("last", "first", "all"):
-        got = time_delta(frame, start, end, [F.col("key")], keep=keep)
-        assert {r.key: r.delta for r in got.collect()} == {"a": 9, "b": 5, "c": -2}
-    twice = frame.union(spark.createDataFrame([(2, "a", "start"), (20, "a", "end")], frame.schema))
-    deltas = lambda keep: sorted(r.delta for r in time_delta(twice, start, end, [F.col("key")], keep=keep).collect() if r.key == "a")
-    assert deltas("last") == [18] and deltas("first") == [9] and deltas("all") == [8, 9, 18, 19]
+        assert deltas(data, keep) == wanted(data, keep) == [("oat", -30), ("rye", 1), ("tea", 46)]
+        assert deltas(more, keep) == wanted(more, keep)
 
 
 def test_span_length(spark):
-    data = [(2, "a", "get", True), (4, "a", "get", False), (9, "b", "get", False), (6, "b", "get", True), (10, "c", "get", True), (9, "c", None, False), (4, "d", "ignore", True), (12, "d", "ignore", False)]
-    marks = spark.createDataFrame([(0, *d) for d in data], "trace_id int, ts int, span_id string, span_name string, opens boolean")
-    assert {r.key: r.delta for r in span_length(marks, "get").collect()} == {"a": 2, "b": 3, "c": -1}
-    parts = marks.withColumn("part", F.when(F.col("span_id") == "b", F.lit("q")).when(F.col("span_id") != "c", F.lit("p")))
-    assert {r.key: r.delta for r in span_length(parts, "get", "part").collect()} == {"p": 2, "q": 3}
+    """Spans by name, whichever mark bears it; left open, backwards, and several spans of one part."""
+    data = [
+        (100, "n1", "load", True, "x"), (130, "n1", None, False, "x"),
+        (105, "n2", None, True, "x"), (190, "n2", "load", False, "x"),
+        (300, "n3", "load", True, "y"), (280, "n3", "load", False, "y"),
+        (400, "n4", "load", True, "y"),
+        (500, "n5", "save", True, "y"), (501, "n5", "save", False, "y"),
+        (600, "n6", "load", True, None), (666, "n6", None, False, None),
+        (700, None, "load", True, "x"),
+    ]
+    marks = spark.createDataFrame([(0, *d) for d in data], "trace_id int, ts int, span_id string, span_name string, opens boolean, part string")
+    assert {r.key: r.delta for r in span_length(marks, "load").collect()} == {"n1": 30, "n2": 85, "n3": -20, "n6": 66}
+    parts = {r.key: (r.start, r.end) for r in span_length(marks, "load", "part").collect()}
+    assert parts == {"x": (105, 190), "y": (400, 280)}
 
 
 # ---------------------------------------------------------------- rules
 
 
 CONDITIONS = [
-    (["1 = a"], {"(a)": 1, "(a,b)": 1, "(a())": 1, "()": 0, "(b,a)": 0, "((a))": 0, "": 0}),
-    (["1 in a,b"], {"(a)": 1, "(a,a)": 1, "(b,x(bb))": 1, "(x)": 0, "(b(a))": 0}),
-    (["1 in a,b", "2 != y"], {"(a,a,a)": 1, "(b,a)": 1, "(b,y(x))": 1, "(a,y)": 0, "(x,y(x))": 0}),
-    (["2.1 exists"], {"(a,b(c))": 1, "(a,(b),a)": 1, "(a(b),c(d,e),f)": 1, "(a)": 0, "(a,b,c(d))": 0, "(a,b(),c)": 0, "()": 0}),
-    (
-        ["3.1 exists", "3.1 != x", "2 = a"],
-        {"(a,a,a(a))": 1, "(b(c),a,(y))": 1, "(a,a,a(a()))": 1, "(a,a,a(a(a)))": 1, "(a,a,a)": 0, "(a,a,a())": 0, "(a,a,a(x))": 0, "(a,b,a(a))": 0, "(a,a(a),a(a))": 0, "(a,a(a),a)": 0, "(a,,b(c))": 0},
-    ),
-    (["3 = a(b, c)"], {"(d,e,a(b,c),d)": 1, "(x,x,a(b(),c),x(x))": 1, "(a(b,c))": 0, "(a,a,a(b))": 0, "(a,a,a(b,c(d)),e)": 0}),
-    (["1 ~ ^b+$"], {"(bb)": 1, "(abb)": 0}),
-    (["1 matches b+"], {"(abb)": 1, "(a)": 0}),
-    (["5 ="], {"(a)": 1, "(a,,,,b)": 0}),
-    (["default"], {"(a)": 1}),
-    (["1 == a'b\\c"], {"(a'b\\c)": 1, "(ab)": 0}),
+    (["2 = pear"], {"f(x,pear)": 1, "f(x,pear,y)": 1, "f(x,pear())": 1, "f(pear,x)": 0, "f(x,(pear))": 0, "f(x,pear(y))": 0, "f": 0, "": 0}),
+    (["0 in fig, plum,pear"], {"fig(a)": 1, "plum": 1, "pear(fig)": 1, "apple(fig)": 0, "(fig)": 0}),
+    (["0 in fig,plum", "1 != ripe"], {"fig(raw)": 1, "plum(ripe(not))": 1, "fig": 1, "fig(ripe)": 0, "pear(raw)": 0}),
+    (["1.2 exists"], {"f(g(a,b))": 1, "f(g(a,(c)))": 1, "f(g(a))": 0, "f(g(a,))": 0, "f(a,g(a,b))": 0, "": 0}),
+    (["1.2 exists", "1.2 != b", "2 = z"], {"f(g(a,c),z)": 1, "f(g(a,b(d)),z)": 1, "f(g(a,b),z)": 0, "f(g(a,c),y)": 0, "f(g(a),z)": 0}),
+    (["1 = g(a, b)"], {"f(g(a,b))": 1, "f(g( a , b() ),x)": 1, "g(a,b)": 0, "f(g(a))": 0, "f(g(a,b,c))": 0, "f(g(a,b(c)))": 0}),
+    (["1 ~ ^p.+r$"], {"f(pear)": 1, "f(spear)": 0, "f(pears)": 0}),
+    (["1 matches ea"], {"f(pear)": 1, "f(fig)": 0}),
+    (["4 ="], {"f(a)": 1, "f(a,b,c,d)": 0, "f(a,b,c,)": 1}),
+    (["default"], {"f": 1}),
+    (["1 == it's\\so"], {"f(it's\\so)": 1, "f(its)": 0}),
 ]
 
 
@@ -315,40 +332,45 @@ def test_filters(spark):
 
 
 def test_case_parse(spark):
-    event = "Tuple3(test,X,Test(x,Y,y))"
-    frame = trees(spark, event)
-    raw = frame.withColumn("tree", S.struct(path=S.col("tree")["path"], name=S.transform(S.col("tree")["name"], lambda n: S.when(n == "X", "name(arg1,arg2(arg2.1))").when(n == "Y", "arg3(arg3.1,arg3.2)").otherwise(n))).column)
+    """Leaves that are text of calls become trees, where a rule says so."""
+    frame = trees(spark, "Order(web,FIRST,Line(7,SECOND,tail))")
+    put = {"FIRST": "book(title,price(12, EUR))", "SECOND": "ship(to(north),fast)"}
+    named = lambda n: S.when(n == "FIRST", put["FIRST"]).when(n == "SECOND", put["SECOND"]).otherwise(n)
+    raw = frame.withColumn("tree", S.struct(path=S.col("tree")["path"], name=S.transform(S.col("tree")["name"], named)).column)
 
     def parse(rules, *paths, **kw):
         done = case_parse(raw, rules, **kw)
         return list(done.select(*[name_at("tree", p).column.alias(f"c{i}") for i, p in enumerate(paths)], "faults").first())
 
-    both = {"1 = test": {"3.0 = Test": ["2", "3.2"]}}
-    assert parse(both, "2", "2.1", "2.2", "2.2.1", "3.2.2", "3.2.3", "3.3") == ["name", "arg1", "arg2(arg2.1)", None, "arg3.2", None, "y", []]
-    assert parse({"1 = test": {"3.0 = Test": ["3.2"]}}, "2", "2.1", "3.2.0") == ["name(arg1,arg2(arg2.1))", None, "arg3", []]
-    assert parse({"1 = wrong": ["2"], "5 = no": ["2"]}, "2.0", "2.1") == ["name(arg1,arg2(arg2.1))", None, []]
+    both = {"1 = web": {"3.0 = Line": ["2", "3.2"]}}
+    assert parse(both, "2", "2.1", "2.2", "2.2.1", "3.2", "3.2.1", "3.2.2", "3.3") == ["book", "title", "price(12, EUR)", None, "ship", "to(north)", "fast", "tail", []]
+    assert parse({"1 = web": {"3.0 = Line": ["3.2"]}}, "2", "2.1", "3.2.0") == [put["FIRST"], None, "ship", []]
+    assert parse({"1 = shop": ["2"], "6 = no": ["2"]}, "2.0", "2.1") == [put["FIRST"], None, []]
     # A later rule sees what an earlier one made, and may parse inside it.
-    assert parse({"1 = test": {"default": ["2"], "2.0 = name": ["2.2"]}}, "2.2", "2.2.1") == ["arg2", "arg2.1", []]
-    assert parse({"1 = test": ["9"]}, "2") == ["name(arg1,arg2(arg2.1))", ["9"]]
+    assert parse({"1 = web": {"default": ["2"], "2.0 = book": ["2.2"]}}, "2.2", "2.2.2") == ["price", "EUR", []]
+    assert parse({"1 = web": ["9"]}, "2") == [put["FIRST"], ["9"]]
     with pytest.raises(Exception, match="cannot parse node"):
-        parse({"1 = test": ["9"]}, "2", strict=True)
+        parse({"1 = web": ["9"]}, "2", strict=True)
 
 
 # ---------------------------------------------------------------- formats
 
 
+CALL = "(price,till(box(pear,3),card),total(12,EUR))"
+
+
 @pytest.mark.parametrize(
     "target, text, body, expected",
     [
-        (FunctionTarget(""), "asd", "(x,a(b),c)", "asd"),
-        (FunctionTarget(""), "x$1x$1.0x", "(x,x(a(b,c)),d)", "xa(b, c)xax"),
-        (FunctionTarget(""), "$1.1$1.1$1.2$0", "(x,y(a(b,c)),d)", "bbcy"),
-        (FunctionTarget(""), "$r.3", "(x,a,b(c,d,e(f)))", "e(f)"),
-        (FunctionTarget(""), "$1", "(a,b,c)", ""),
-        (FunctionTarget(""), "$1.1", "(a,b(x,y),c)", ""),
-        (FunctionTarget(""), "$r", "(a,b)", ""),
-        (FunctionTarget(""), "$$ $", "(a,b)", "$$ $"),
-        (VariableTarget("", ""), "$1.2x", "(a(b,c),d(e,f))", "cx"),
+        (FunctionTarget(""), "no holes", CALL, "no holes"),
+        (FunctionTarget(""), "<$1|$1.0>", CALL, "<box(pear, 3)|box>"),
+        (FunctionTarget(""), "$1.1, $1.2, $2 at $0", CALL, "pear, 3, card at till"),
+        (FunctionTarget(""), "$r or $r.2", CALL, "total(12, EUR) or EUR"),
+        (FunctionTarget(""), "[$7]", CALL, "[]"),
+        (FunctionTarget(""), "[$2.1]", CALL, "[]"),
+        (FunctionTarget(""), "[$r]", "(price,till(x))", "[]"),
+        (FunctionTarget(""), "$$ $ 5$", CALL, "$$ $ 5$"),
+        (VariableTarget("", ""), "$1.2 of $2", "(a(b,c),d(e,f))", "c of d(e, f)"),
     ],
 )
 def test_formats(spark, target, text, body, expected):
@@ -403,16 +425,17 @@ def test_result_text_round_trip(spark, ctx, tmp_path):
     path = str(tmp_path / "text")
     write_result_text(blocks, frames, path)
     text = "".join(p.read_text() for p in sorted((tmp_path / "text").rglob("part-*")))
-    assert text.startswith("timerange\ntime\ntime\n1\n50\n%\naxes\nname\nstring\n1 1 sparkDriver\n2 1 sparkExecutor\n%\nrpcs\n")
-    assert "0\tTask duration\t0.006\t0.006\t0.006\t0.01\t0.01\t(1,2)\t(1,1)\n" in text
+    names = "\n".join(service_of(u) for u in ("coord", "wk1", "wk2"))
+    assert text.startswith(f"timerange\ntime\ntime\n12\n934\n%\naxes\nname\nstring\n{names}\n%\nrpcs\n")
+    assert "0\tTask duration\t" + "\t".join(map(str, summary(VALUES["Task duration"]))) + "\n" in text
     assert text.endswith("%\n")
     single = tmp_path / "one.txt"
     single.write_text(text)
     tables = read_result(spark, str(single))
     assert list(tables) == [b.name for b in blocks]
-    assert rows(tables["stat:count"])[0] == (0.0, "JVMs", 3.0)
+    assert rows(tables["stat:count"]) == [(0.0, name, float(n)) for name, n in COUNTED.items()]
     assert tables["rpcs"].dtypes[0] == ("time", "timestamp")
-    assert sorted(r.content for r in tables["rpcs"].collect()) == ["Request", "Response"]
+    assert [r.content for r in tables["rpcs"].collect()] == [text for _, a, b, text in MESSAGES if REMOVED not in (PROCESSES[a]["service"], PROCESSES[b]["service"])]
 
 
 def test_result_text_in_splits(spark, ctx, tmp_path):

@@ -318,7 +318,7 @@ def test_strict_name(spark):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("name(arg1,arg2(arg2.1))", ["name", "arg1", "arg2(arg2.1)"]),
+        ("mix(rye,bake(oven(hot)))", ["mix", "rye", "bake(oven(hot))"]),
         (" f( a , b(c,(d)) ,) ", ["f", "a", "b(c,(d))", ""]),
         ("plain", ["plain"]),
         ("f()", ["f", ""]),
@@ -340,8 +340,11 @@ def test_shallow_text(spark, text, expected):
 
 
 def test_update(spark):
-    assert evaluate(spark, "a(b,c(d,e),f)", lambda t: render(update(t, 2, subtree(update(t, "", _leaf("g")), ""))))[0] == "a(b, g, f)"
-    assert evaluate(spark, "a(b(c(d(e, f))))", lambda t: render(update(t, 1, subtree(t, "1.1.1")))) == ["a(d(e, f))"]
+    soup = "soup(salt,stock(water,bone(marrow, joint)),leek)"
+    assert evaluate(spark, soup, lambda t: render(update(t, 2, _leaf("tofu"))), lambda t: render(update(t, 3, subtree(t, "2.2")))) == [
+        "soup(salt, tofu, leek)",
+        "soup(salt, stock(water, bone(marrow, joint)), bone(marrow, joint))",
+    ]
     assert evaluate(spark, "a", lambda t: render(update(t, "", _leaf("b")))) == ["b"]
     assert evaluate(spark, "a(b)", lambda t: render(update(t, 2, _leaf("c"))), lambda t: render(update(t, "1.1", _leaf("c")))) == [
         "a(b)",
