@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,18 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import release, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+__all__ = ["batches_of", "components", "documents", "joined", "kept", "own_column", "release", "same", "shared_folder", "table", "wrapped"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 #: Lets Spark delete the shuffle files of a query when it ends.
@@ -31,7 +25,8 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def kept(frame: DataFrame) -> DataFrame:
     """Compute a table once: written to the shared folder and read back, which also cuts its lineage.
 
-    What was shuffled to make it is deleted once it is written.
+    What was shuffled to make it is deleted once it is written; ``release``
+    deletes the table itself when nothing reads it any more.
     """
     spark = frame.sparkSession
     target = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
@@ -41,7 +36,9 @@ def kept(frame: DataFrame) -> DataFrame:
         frame.write.option("compression", "zstd").parquet(target)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(frame.schema).parquet(target)
+    made = spark.read.schema(frame.schema).parquet(target)
+    made._kept_at = target
+    return made
 
 
 def own_column(frame: DataFrame, name: str, kind: str) -> Column:
@@ -104,8 +101,8 @@ def components(links: DataFrame) -> DataFrame:
     component is ever gathered in one task.  Only the count of changed links
     reaches the driver.
     """
-    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    table = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges, before = table, None
     while True:
         # Large star: each larger neighbour of a node is linked to the smallest neighbour (or the node itself).
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -115,7 +112,9 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: each smaller neighbour of a node, and the node, is linked to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(least, large["u"] == least["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = kept(small.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
+        last, table = table, kept(small.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))))
+        edges = table.distinct()
+        release(last, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
         if state == before:
             break

@@ -4,16 +4,26 @@ A text is the sequence of its five-word shingles; the i-th occurrence of a
 shingle is labelled i, so all labelled shingles of a text differ.  Each sketch
 takes the few labelled shingles of smallest hash and keeps the order in which
 they stand in the text, so texts that hold the same shingles in another order
-do not collide.  Texts that share a sketch are candidates.  A candidate pair is
-linked if the longest common subsequence of their shingles, found by aligning
-them within the band that the threshold leaves, makes up ``threshold`` of all
-shingles of both.
+do not collide.  Texts that share a sketch are in one pool, and so are texts
+that a chain of such texts connects.
+
+Within a pool every pair is looked at, but in the cheapest way first: one bit
+each of 512 minima tells about how alike two texts are, and pairs that are
+clearly below the threshold go.  The others are taken most alike first, and a
+pair whose texts are already in one class is left alone.  A pair is linked if
+the longest common subsequence of its shingles, found by aligning them within
+the band that the threshold leaves, makes up ``threshold`` of all shingles of
+both.  Pairs never become rows: a task compares a block of a pool with itself
+or another, and what leaves it are the links that joined classes, fewer than
+it has texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -22,13 +32,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, documents, joined, kept, wrapped
+from .common import batches_of, components, documents, joined, kept, release, wrapped
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Sketches of a text, labelled shingles in each, and how many sketches candidates share.  At a similarity of 0.8 a
-#: pair shares a sketch with probability 0.8 ** 3, so it shares fewer than five of 32 five times in a million.
-SKETCHES, TAKEN, SHARED = 32, 3, 5
+#: Sketches of a text, and how many labelled shingles each takes for texts of so many shingles and more.  Two texts of
+#: similarity s share a sketch with probability s ** taken: at 0.8 and eight taken, a pair shares none of 24 in 1.2 % of
+#: cases, at five 0.01 %; at 0.4 it shares one in 1.6 %.
+SKETCHES = 24
+TAKEN = ((1, 3), (20, 5), (64, 8))
+#: Bits of the estimate, and how many standard errors below the threshold a pair may seem to be.
+BITS, ERRORS = 512, 4.0
+#: A block of a pool has about so many texts, and so many shingles, at most.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4096, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,12 +104,31 @@ def sketches(codes: np.ndarray, salts: np.ndarray, taken: int) -> np.ndarray:
         return (out ^ salts) * _MIX
 
 
+def estimate_bits(codes: np.ndarray) -> np.ndarray:
+    """``BITS`` bits: one of the smallest hash in each of so many bins; an empty bin takes after the next one that is not."""
+    with np.errstate(over="ignore"):
+        h = labelled(codes) * np.uint64(0xD1342543DE82EF95)
+        h ^= h >> np.uint64(31)
+        h = np.sort(h * _MIX)
+        shift = np.uint64(64 - (BITS.bit_length() - 1))
+        at = np.searchsorted(h >> shift, np.arange(BITS + 1, dtype=np.uint64))
+        there = np.flatnonzero(at[1:] > at[:-1])
+        follows = np.searchsorted(there, np.arange(BITS))
+        source = there[follows % len(there)]
+        away = (source - np.arange(BITS)) % BITS
+        least = (h[at[source]] + away.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+        return np.packbits(((least >> np.uint64(47)) & np.uint64(1)).astype(bool))
+
+
 def common_subsequence(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Length of the longest common subsequence, or -1 if more than ``most`` elements would be left out of both together.
 
-    Banded alignment: the furthest points on each diagonal after so many
-    elements were left out; only diagonals within that many of the main one
-    are ever looked at.
+    Banded alignment: an element can only be aligned with one whose place
+    differs by no more than what may be left out.  Matches within that band,
+    in order of the one text, have to rise in the other: the longest rising
+    chain is found with one binary search per match.  Texts that repeat the
+    same few elements have too many matches for that; for them the columns of
+    the alignment are advanced as the bits of one long number.
     """
     n, m = len(a), len(b)
     equal = np.flatnonzero(a[: min(n, m)] != b[: min(n, m)])
@@ -104,40 +139,55 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, most: int) -> int:
     tail = int(equal[0]) if len(equal) else k
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     n, m = len(a), len(b)
-    if n == 0 or m == 0:
-        return head + tail if n + m <= most else -1
-    # Beyond their ends the texts differ from everything, so a slide stops there.
-    a, b = a.tolist() + [None], b.tolist() + [0.5]
-    far = {1: 0}
-    for left_out in range(most + 1):
-        for d in range(-left_out, left_out + 1, 2):
-            if d < -m or d > n:
-                continue
-            if d == -left_out or (d != left_out and far.get(d - 1, -1) < far.get(d + 1, -1)):
-                x = far.get(d + 1, 0)
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
+    count = high - low
+    total = int(count.sum())
+    if total > 32 * (n + m):
+        inside = _long_number(a.tolist(), b.tolist())
+    else:
+        i = np.repeat(np.arange(n), count)
+        ends = np.cumsum(count)
+        j = order[np.arange(total) - np.repeat(ends - count, count) + np.repeat(low, count)]
+        near = np.abs(i - j) <= most
+        i, j = i[near], j[near]
+        # Of the matches of one element the later ones first, so that a chain takes one of them at most.
+        chain: list[int] = []
+        for y in j[np.lexsort((-j, i))].tolist():
+            at = bisect_left(chain, y)
+            if at == len(chain):
+                chain.append(y)
             else:
-                x = far.get(d - 1, -1) + 1
-            y = x - d
-            if x > n or y > m or y < 0:
-                far[d] = min(x, n)
-                continue
-            while a[x] == b[y]:
-                x, y = x + 1, y + 1
-            far[d] = x
-            if x >= n and y >= m:
-                return head + tail + (n + m - left_out) // 2
-    return -1
-
-
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Common subsequence over all shingles of both, or 0 where it cannot reach the threshold."""
+                chain[at] = y
+        inside = len(chain)
+    return head + tail + inside if n + m - 2 * inside <= most else -1
+
+
+def _long_number(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence; bit i of a number stands for element i of ``a``."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for y in b:
+        hit = free & places.get(y, 0)
+        free = ((free + hit) | (free - hit)) & full
+    return len(a) - free.bit_count()
+
+
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float, own_a: np.ndarray | None = None, own_b: np.ndarray | None = None) -> float:
+    """Common subsequence over all shingles of both, or 0 where it cannot reach the threshold; ``own_a`` and ``own_b`` are their sorted labelled shingles, if at hand."""
     n, m = len(a), len(b)
     # With c common ones, c / (n + m - c) >= threshold bounds what is left out.
     least = int(np.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
     if min(n, m) < least:
         return 0.0
     # The common multiset is no smaller than the common subsequence.
-    if len(np.intersect1d(labelled(a), labelled(b))) < least:
+    own_a = np.sort(labelled(a)) if own_a is None else own_a
+    own_b = np.sort(labelled(b)) if own_b is None else own_b
+    at = np.searchsorted(own_b, own_a)
+    if np.count_nonzero(own_b[np.minimum(at, m - 1)] == own_a) < least:
         return 0.0
     found = common_subsequence(a, b, n + m - 2 * least)
     return found / (n + m - found) if found >= least else 0.0
@@ -148,23 +198,35 @@ def _text_key(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
-def sketch_rows(docs: DataFrame, n_sketches: int, taken: int) -> DataFrame:
-    """``(doc_id, text_hash, text_key, n, bands)`` per row of ``docs``; ``doc_id`` and ``text_hash`` tell rows apart, ``n`` counts shingles."""
+def band_keys(codes: np.ndarray, salts: np.ndarray, threshold: float, taken: tuple[tuple[int, int], ...] = TAKEN) -> np.ndarray:
+    """Sketches of a text, of as many shingles as texts of its length take; where the numbers change, texts that can still be alike have both kinds."""
+    found = []
+    for k, (least, take) in enumerate(taken):
+        below = taken[k + 1][0] / threshold if k + 1 < len(taken) else np.inf
+        if least <= len(codes) < below:
+            found.append(sketches(codes, salts + np.uint64(2 * k), take))
+    return np.concatenate(found)
+
+
+def sketch_rows(docs: DataFrame, n_sketches: int, threshold: float) -> DataFrame:
+    """``(doc_id, text_hash, text_key, n, bits, bands)`` per row of ``docs``; ``doc_id`` and ``text_hash`` tell rows apart, ``n`` counts shingles."""
     salts = np.random.default_rng(2).integers(1, 2**62, n_sketches, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches_of(batches, "text", 8 << 20):
             words, starts = word_codes(part["text"].combine_chunks())
-            keys, found = [], []
+            keys, bits, found = [], [], []
             for i, j in zip(starts, starts[1:]):
+                codes = shingles(words[i:j])
                 keys.append(_text_key(words[i:j]))
-                found.append(sketches(shingles(words[i:j]), salts, taken).view(np.int64))
+                bits.append(estimate_bits(codes).tobytes())
+                found.append(band_keys(codes, salts, threshold).view(np.int64))
             n = np.maximum(np.diff(starts) - SHINGLE + 1, 1).astype(np.int64)
-            columns = [part["doc_id"].combine_chunks(), part["text_hash"].combine_chunks(), pa.array(keys, pa.binary()), pa.array(n), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "text_key", "n", "bands"])
+            columns = [part["doc_id"].combine_chunks(), part["text_hash"].combine_chunks(), pa.array(keys, pa.binary()), pa.array(n), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "text_key", "n", "bits", "bands"])
 
     rows = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, text_key binary, n bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, text_key binary, n bigint, bits binary, bands array<bigint>")
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -180,97 +242,148 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined(rows, wanted, ["doc_id", "text_hash"]).select("text_no", "text").dropDuplicates(["text_no"]).mapInArrow(run, "text_no bigint, codes binary")
 
 
-def verified(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs of text numbers that reach the threshold."""
+def likely_pairs(bits: np.ndarray, n: np.ndarray, first: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may reach the threshold, most alike first: of texts before and from ``first`` on, or of all texts where ``first`` is 0.
+
+    A pair goes if its lengths forbid the similarity, or if it seems so many
+    standard errors less alike (one pair in thirty thousand seems that far off).
+    """
+    many = len(n)
+    # Half of the bits agree by chance.  A short text has fewer minima than bins.
+    error = 2 * np.sqrt((1 + threshold) / 2 * (1 - threshold) / 2)
+    found = []
+    for i in range(first or many - 1):
+        start = first or i + 1
+        apart = np.bitwise_count(bits[start:] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        alike = 1 - 2 * apart / BITS
+        least, most = np.minimum(n[start:], n[i]), np.maximum(n[start:], n[i])
+        j = np.flatnonzero((alike >= threshold - ERRORS * error / np.sqrt(np.minimum(least, BITS))) & (least >= threshold * most - 1e-9))
+        if len(j):
+            found.append((np.full(len(j), i), j + start, alike[j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j, alike = map(np.concatenate, zip(*found))
+    order = np.argsort(-alike, kind="stable")
+    return i[order], j[order]
+
+
+def cell_links(texts: list[tuple], first: int, threshold: float) -> list[tuple[int, int]]:
+    """Links that join classes among ``(text_no, n, bits, codes, class)``, between those before and from ``first`` on if it is not 0."""
+    number = {}
+    root = np.array([number.setdefault(t[4], k) for k, t in enumerate(texts)])
+    bits = np.frombuffer(b"".join(t[2] for t in texts), np.uint64).reshape(len(texts), -1)
+    left, right = likely_pairs(bits, np.array([t[1] for t in texts]), first, threshold)
+    codes = [np.frombuffer(t[3], np.uint64) for t in texts]
+    sorted_ = [None] * len(texts)
+
+    def own(k: int) -> np.ndarray:
+        if sorted_[k] is None:
+            sorted_[k] = np.sort(labelled(codes[k]))
+        return sorted_[k]
+
+    links = []
+    for start in range(0, len(left), 4096):
+        i, j = left[start : start + 4096], right[start : start + 4096]
+        open_ = root[i] != root[j]
+        for x, y in zip(i[open_].tolist(), j[open_].tolist()):
+            if root[x] != root[y] and similarity(codes[x], codes[y], threshold, own(x), own(y)) >= threshold:
+                links.append((texts[x][0], texts[y][0]))
+                root[root == root[y]] = root[x]
+    return links
+
+
+def compare_cells(threshold: float):
+    """Links of each cell of a sorted partition; a cell is held whole, and is of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, s = [], [], []
-            for x, y, p, q in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y")):
-                left, right = (np.frombuffer(v.as_py(), np.uint64) for v in (p, q))
-                found = similarity(left, right, threshold)
-                if found >= threshold:
-                    a.append(x), b.append(y), s.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+        names = ("pool", "low", "high", "side", "text_no", "n", "bits", "codes", "class")
+        rows = (r for b in batches for r in zip(*[b.column(n).to_pylist() for n in names]))
+        out: list[tuple[int, int]] = []
+        for (_pool, low, high), cell in groupby(rows, key=lambda r: r[:3]):
+            cell = list(cell)
+            first = sum(r[3] == 0 for r in cell) if low != high else 0
+            if low != high and first in (0, len(cell)):
+                continue
+            out += cell_links([r[4:] for r in cell], first, threshold)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return run
+
 
-    left = pairs.join(codes.select(F.col("text_no").alias("a"), F.col("codes").alias("x")), "a")
-    both = left.join(codes.select(F.col("text_no").alias("b"), F.col("codes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
+def pools(texts: DataFrame) -> DataFrame:
+    """``(text_no, pool)`` of the texts that share a sketch with any other; what a chain of shared sketches connects is one pool."""
+    # Salts go into the keys, so a key belongs to one sketch only.
+    bands = texts.select("text_no", F.explode("bands").alias("key"))
+    # A text is tied to the first one of each of its buckets: a row per text and bucket, never a pair.
+    buckets = kept(bands.groupBy("key").agg(F.min("text_no").alias("lead"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+    ties = bands.join(buckets, "key").select(F.col("text_no").alias("a"), F.col("lead").alias("b")).filter("a <> b").distinct()
+    found = components(ties)
+    tied = found.select(F.col("node").alias("text_no"), F.col("root").alias("pool"))
+    made = kept(tied.union(found.select(F.col("root").alias("text_no"), F.col("root").alias("pool"))).distinct())
+    release(buckets)
+    return made
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int = SKETCHES, taken: int = TAKEN, shared: int = SHARED) -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, text_hash, class_id, class_size, n_links, kept)``.
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int = SKETCHES, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """One row per row of ``docs``: ``(doc_id, text_hash, class_id, class_size, kept)``.
 
     Classes are the connected components of linked texts; ``class_id`` is the
     smallest ``doc_id`` of the class (null last), whose row is the one
-    ``kept``; ``n_links`` counts the verified links found for a text's class.
-    Copies (equal sequences of lower-case words) are handled as one text.  A
-    null or empty text is a text of no words; all of these are copies.
-
-    Candidates share a sketch, and ``shared`` of them in all, and their numbers
-    of shingles allow the similarity.  Within a bucket of equal sketches no
-    all-pairs product is made.  Each text
-    meets one leader first, the text that shares most with all others; once classes are known, only
-    buckets that still hold several of them go on, with four times as many
-    leaders each time, until every bucket is one class or every pair across
-    its classes was compared.  So no link between candidates of different
-    classes is lost, and a hot bucket of near copies costs a few comparisons
-    per text.
+    ``kept``.  Copies (equal sequences of lower-case words) are handled as one
+    text.  A null or empty text is a text of no words; all of these are
+    copies.  Rows may repeat, texts may be as long as a row can be, other
+    columns play no part; an empty table gives an empty one.
+
+    A large pool is cut into blocks.  Blocks are compared with themselves
+    first; then pairs of blocks, of pools that are not one class yet, between
+    texts whose classes still differ.
     """
-    rows = kept(sketch_rows(docs, n_sketches, taken))
+    rows = kept(sketch_rows(docs, n_sketches, threshold))
     origin = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("origin")
-    texts = rows.groupBy("text_key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), origin)
+    texts = rows.groupBy("text_key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), origin)
     texts = kept(texts.withColumn("text_no", F.monotonically_increasing_id()))
-    # A byte of each sketch goes along, to count how many two texts share.
-    sig = F.transform("bands", lambda b: (F.pmod(b, F.lit(251)) - 125).cast("tinyint"))
-    bands = texts.select("text_no", "n", sig.alias("sig"), F.posexplode("bands").alias("band", "key"))
-    alike = f"least(n, n_x) >= {threshold} * greatest(n, n_x) AND size(filter(zip_with(sig, sig_x, (p, q) -> p = q), e -> e)) >= {shared}"
-    sizes = kept(bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = kept(bands.join(sizes, ["band", "key"]))
-    # A text that many others were made from shares more sketches with them than they do with one another.
-    degree = members.groupBy("text_no").agg(F.sum("size").alias("degree"))
-    hub = F.max(F.struct("degree", (-F.col("text_no")).alias("first"), "n", "sig")).alias("hub")
-    hubs = kept(members.join(degree, "text_no").groupBy("band", "key").agg(hub))
-    hubs = hubs.select("band", "key", (-F.col("hub.first")).alias("x"), F.col("hub.n").alias("n_x"), F.col("hub.sig").alias("sig_x"))
-    wanted = members.select("text_no").distinct().join(texts.select("text_no", "origin.doc_id", "origin.text_hash"), "text_no")
-    codes = kept(shingle_rows(docs, wanted))
-
-    def between(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-
-    tested = kept(between(members.join(hubs, ["band", "key"]).filter(alike).select("x", F.col("text_no").alias("y"))))
-    links = kept(verified(tested, codes, threshold))
+    pooled = pools(texts)
+    wanted = pooled.join(texts.select("text_no", "n", "bits", "origin.doc_id", "origin.text_hash"), "text_no")
+    sizes = wanted.groupBy("pool").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_texts), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    dealt = wanted.join(sizes, "pool").withColumn("block", F.pmod(F.xxhash64("text_no"), F.col("blocks")).cast("int"))
+    dealt = kept(dealt)
+    codes = kept(shingle_rows(docs, dealt.select("text_no", "doc_id", "text_hash")))
+    members = dealt.select("pool", "blocks", "block", "text_no", "n", "bits").join(codes, "text_no")
+
+    def compared(cells: DataFrame) -> DataFrame:
+        key = ["pool", "low", "high"]
+        in_order = cells.repartition(*key).sortWithinPartitions(*key, "side", "text_no")
+        return kept(in_order.mapInArrow(compare_cells(threshold), "a bigint, b bigint"))
+
+    alone = members.select("pool", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("side"), "text_no", "n", "bits", "codes", F.col("text_no").alias("class"))
+    links = compared(alone)
     classes = components(links)
-    leaders = 4
-    while True:
-        named = members.join(classes.withColumnRenamed("node", "text_no"), "text_no", "left").withColumn("class", F.coalesce("root", "text_no"))
-        open_ = named.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("band", "key")
-        named = kept(named.join(kept(open_), ["band", "key"], "left_semi").select("band", "key", "size", "text_no", "n", "sig", "class").filter(F.col("size") > leaders // 4))
-        if not named.head(1):
-            break
-        # About so many leaders of each bucket; all of its members where it has no more.  A text leads in all its
-        # buckets alike, so that the buckets of one group propose the same pairs.
-        chosen = named.filter((F.pmod(F.xxhash64("text_no"), F.lit(1 << 20)) / (1 << 20)) * F.col("size") < leaders)
-        chosen = chosen.select("band", "key", F.col("text_no").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x"), F.col("class").alias("class_x"))
-        new = named.join(chosen, ["band", "key"]).filter("class <> class_x").filter(alike).select("x", F.col("text_no").alias("y"))
-        new = kept(between(new).join(tested, ["a", "b"], "left_anti"))
-        if new.head(1):
-            tested = tested.union(new)
-            links = links.union(kept(verified(new, codes, threshold)))
-            classes = components(links)
-        leaders *= 4
+    named = members.filter("blocks > 1").join(classes.withColumnRenamed("node", "text_no"), "text_no", "left").withColumn("class", F.coalesce("root", "text_no"))
+    several = named.groupBy("pool").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("pool")
+    several = kept(several)
+    if several.head(1):
+        others = named.join(several, "pool", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("other <> block")
+        pairs = others.select(
+            "pool", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "text_no", "n", "bits", "codes", "class"
+        )
+        links = links.union(compared(pairs))
+        classes = components(links)
+    release(dealt, codes)
     own = texts.select("text_key", "text_no").join(classes.withColumnRenamed("node", "text_no"), "text_no", "left")
     own = own.select("text_key", F.coalesce("root", "text_no").alias("class"))
-    per_class = links.join(classes.withColumnRenamed("node", "a"), "a").groupBy(F.col("root").alias("class")).agg(F.count("*").alias("n_links"))
     placed = kept(rows.select("doc_id", "text_hash", "text_key").join(own, "text_key").drop("text_key"))
-    first = kept(placed.groupBy("class").agg(origin, F.count("*").alias("class_size")).join(per_class, "class", "left"))
+    release(rows, texts)
+    first = kept(placed.groupBy("class").agg(origin, F.count("*").alias("class_size")))
     out = placed.join(first, "class")
     return out.select(
         "doc_id",
         "text_hash",
         F.col("origin.doc_id").alias("class_id"),
         "class_size",
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) & (F.col("text_hash") == F.col("origin.text_hash"))).alias("kept"),
     )
 

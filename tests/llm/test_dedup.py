@@ -90,6 +90,86 @@ def test_near_classes(spark):
     assert len({(r["doc_id"], r["text_hash"]) for r in found.values() if r["kept"]}) == len(set(want))
 
 
+@pytest.mark.parametrize("block_texts", [3, 11])
+def test_near_classes_in_blocks(spark, block_texts):
+    """A large pool is cut into blocks, whose texts still find each other."""
+    words = prose(77, 150).split(" ")
+    data = [(k, " ".join(w if (j * 7 + k) % 41 else f"x{k}" for j, w in enumerate(words))) for k in range(25)]
+    data += [(100 + k, " ".join(words[: 150 - 12 * k] + prose(200 + k, 12 * k).split(" "))) for k in range(8)]
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(frame(spark, data), block_texts=block_texts).collect()}
+    assert same_partition([got[i] for i, _ in data], classes(data))
+
+
+def test_recall_of_near_classes(spark):
+    """Against all pairs of a thousand documents: links found, as texts in one class, and no class without links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = [(r["doc_id"], near_dedup.shingles(near_dedup.word_codes(near_dedup.pa.array([r["text"] or ""], near_dedup.pa.large_string()))[0])) for r in docs.collect()]
+    sets = {i: (c, set(near_dedup.labelled(c).tolist())) for i, c in data}
+    holders = defaultdict(list)
+    for i, (_, s) in sets.items():
+        for x in s:
+            holders[x].append(i)
+    common = Counter((a, b) for held in holders.values() if len(held) < 200 for k, a in enumerate(held) for b in held[k + 1 :])
+    links = []
+    for (a, b), n in common.items():
+        (ca, sa), (cb, sb) = sets[a], sets[b]
+        if n / (len(sa) + len(sb) - n) >= 0.75 and near_dedup.similarity(ca, cb, 0.8) >= 0.8:
+            links.append((a, b))
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 100 and found >= 0.99 * len(links)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    # No class goes beyond what links connect.
+    assert all(find(i) == find(c) for i, c in got.items())
+
+
+def test_long_near_copies_align_quickly():
+    """Twenty thousand words with changes all over, and texts of few different words."""
+    import time
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 60, 20_000).astype(np.uint64)
+    b = a.copy()
+    b[rng.integers(0, len(b), 900)] = rng.integers(0, 1 << 60, 900).astype(np.uint64)
+    start = time.perf_counter()
+    assert near_dedup.similarity(a, b, 0.8) == pytest.approx((a == b).sum() / (40_000 - (a == b).sum()))
+    few, more = rng.integers(0, 3, 5000).astype(np.uint64), rng.integers(0, 3, 5000).astype(np.uint64)
+    assert near_dedup.common_subsequence(few, more, 10_000) > 3000
+    assert time.perf_counter() - start < 2
+
+
+def test_estimate_is_about_right():
+    rng = np.random.default_rng(6)
+    for n, alike in ((40, 0.8), (400, 0.8), (5000, 0.8), (2000, 0.3)):
+        seen = []
+        for _ in range(60):
+            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            shared = round(2 * n * alike / (1 + alike))
+            b = np.concatenate([a[:shared], rng.integers(0, 1 << 62, n - shared).astype(np.uint64)])
+            bits = [near_dedup.estimate_bits(x).view(np.uint64) for x in (a, b)]
+            seen.append(1 - 2 * int(np.bitwise_count(bits[0] ^ bits[1]).sum()) / near_dedup.BITS)
+        assert abs(np.mean(seen) - alike) < 0.04
+        assert np.std(seen) < 1.5 * np.sqrt((1 - alike) * (1 + alike)) / np.sqrt(min(n, near_dedup.BITS))
+
+
+def test_texts_of_every_length_have_sketches_in_common():
+    """Where the number of shingles a sketch takes changes, similar texts still have sketches of one kind."""
+    salts = np.arange(1, 9, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    kinds = lambda n: {k for k, (least, _) in enumerate(near_dedup.TAKEN) if least <= n and (k + 1 == len(near_dedup.TAKEN) or n < near_dedup.TAKEN[k + 1][0] / 0.8)}
+    for n in range(1, 400):
+        assert len(near_dedup.band_keys(np.arange(n, dtype=np.uint64), salts, 0.8)) == 4 * len(kinds(n))
+        for m in range(int(np.ceil(0.8 * n)), n):
+            assert kinds(n) & kinds(m)
+
+
 def test_near_dedup_leaves_one_of_each_class(spark):
     docs = frame(spark)
     left = near_dedup.drop_near_copies(docs)
