@@ -239,7 +239,8 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part["text_no"].combine_chunks(), pa.array(codes, pa.binary())], ["text_no", "codes"])
 
     rows = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    return joined(rows, wanted, ["doc_id", "text_hash"]).select("text_no", "text").dropDuplicates(["text_no"]).mapInArrow(run, "text_no bigint, codes binary")
+    # Merged at every size: what is wanted grows with the documents, so it is never sent to all tasks.
+    return joined(rows, wanted, ["doc_id", "text_hash"], hint="merge").select("text_no", "text").dropDuplicates(["text_no"]).mapInArrow(run, "text_no bigint, codes binary")
 
 
 def likely_pairs(bits: np.ndarray, n: np.ndarray, first: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
