@@ -1,18 +1,24 @@
 """Scoring texts with a gated recurrent language model.
 
 Tokens are words and one end per text.  Words are counted over all training
-documents; the most frequent are the model's vocabulary, every other word is
-one symbol, whose probability is shared out by the counts.  The model is a
-gated recurrent unit with an output softmax factored into classes of words,
-trained in numpy by backpropagation through windows of a few tokens, the state
-carried from one to the next.  Each task trains on the training documents it
-reads, from one common start; the mean of all tasks is the model.
+documents; the most frequent are the model's vocabulary, which grows with the
+square root of the number of distinct words, every other word is one symbol,
+whose probability is shared out by the counts.  The model is a gated recurrent
+unit with an output softmax factored into classes of words, trained in numpy by
+backpropagation through windows of a few tokens, the state carried from one to
+the next.
+
+Training goes in rounds.  The training documents are dealt by hash, so that a
+part has about the same number of tokens in every round however many files they
+come from; the number of parts grows with the tokens.  A round starts all parts
+from one model, and the mean of what they make of it starts the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -22,19 +28,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, kept
+from .common import batches_of, documents, kept, release
 
-#: Classes, and words in a class: the vocabulary has their product, with the end and the symbol for other words.
-CLASSES = WIDTH = 64
 HIDDEN = 16
 WINDOW = 32
 LANES = 256
+#: Rounds of training, and about how many tokens a part learns from in each.
+ROUNDS, PIECE = 4, 1 << 20
+#: Numbers of a model that are added up together.
+_SLICE = 1 << 15
 #: The hash that stands for the end of a text.
 END = np.uint64(1)
 #: Hashes are packed by this many of their leading bits.
 _PACKS = 10
 
 
+def side_of(words: int) -> int:
+    """Classes of the vocabulary, and words in each, for so many distinct words: a token costs about as much as both."""
+    return max(8, ceil(2.6 * words**0.25))
+
+
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the tokens of all texts, each closed by ``END``, and where each text begins.  A-Z are lower-cased."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -70,15 +83,19 @@ def count_words(chunk: int):
     return run
 
 
-def sum_counts(top: int):
-    """Over the packs of all parts in order: the sums over all parts, sent back to each part that asked; and per pack its size, sum and most frequent words (part -1)."""
+def sum_counts():
+    """Over the packs of all parts in order: the sums over all parts, sent back to each part that asked; and per pack its size, sum and most frequent words (part -1).
+
+    A pack has about its share of all distinct words; it sends as many words as
+    the vocabulary of twice that many would have.
+    """
 
     def summed(number: int, rows: list[tuple]) -> pa.RecordBatch:
         words = [np.frombuffer(w, np.uint64) for _, w, _ in rows]
         all_, inverse = np.unique(np.concatenate(words), return_inverse=True)
         total = np.zeros(len(all_), np.int64)
         np.add.at(total, inverse, np.concatenate([np.frombuffer(c, np.int64) for _, _, c in rows]))
-        best = np.lexsort((all_, -total))[:top]
+        best = np.lexsort((all_, -total))[: side_of((2 * len(all_) + 8) << _PACKS) ** 2]
         out = [(-1, int((total > 0).sum()), int(total.sum()), all_[best].tobytes(), total[best].tobytes())]
         for (part, _, _), w in zip(rows, words):
             c = total[np.searchsorted(all_, w)]
@@ -109,6 +126,7 @@ class Vocabulary:
     counts: np.ndarray
     train_tokens: int
     train_words: int
+    side: int = 64
 
     def __post_init__(self) -> None:
         self.order = np.argsort(self.hashes)
@@ -129,34 +147,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Recurrent:
     """The parameters, as one flat vector of 32-bit numbers, and what is computed with them."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        self.views(flat, self)
-
-    @staticmethod
-    def shapes() -> dict[str, tuple[int, ...]]:
-        v, h = CLASSES * WIDTH, HIDDEN
-        return {"embed": (v, h), "w": (h, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, h, WIDTH), "bw": (CLASSES, WIDTH)}
-
-    @classmethod
-    def views(cls, flat: np.ndarray, target) -> None:
+    def __init__(self, flat: np.ndarray, side: int = 64):
+        self.flat, self.side = flat, side
         at = 0
-        for name, shape in cls.shapes().items():
+        for name, shape in self.shapes(side).items():
             n = int(np.prod(shape))
-            setattr(target, name, flat[at : at + n].reshape(shape))
+            setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
 
+    @staticmethod
+    def shapes(side: int) -> dict[str, tuple[int, ...]]:
+        v, h = side * side, HIDDEN
+        return {"embed": (v, h), "w": (h, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h, side), "bc": (side,), "ww": (side, h, side), "bw": (side, side)}
+
     @classmethod
     def start(cls, vocabulary: Vocabulary) -> "Recurrent":
         """Small weights from a fixed seed; the output starts at the frequencies of classes and words."""
         rng = np.random.default_rng(7)
-        size = sum(int(np.prod(s)) for s in cls.shapes().values())
-        model = cls((rng.standard_normal(size) * 0.1).astype(np.float32))
+        side = vocabulary.side
+        size = sum(int(np.prod(s)) for s in cls.shapes(side).values())
+        model = cls((rng.standard_normal(size) * 0.1).astype(np.float32), side)
         model.b[:] = 0
-        counts = np.full(CLASSES * WIDTH, -1.0)
+        counts = np.full(side * side, -1.0)
         counts[0] = max(vocabulary.other_tokens, 1)
         counts[1 : 1 + len(vocabulary.counts)] = np.maximum(vocabulary.counts, 0.5)
-        counts = counts.reshape(CLASSES, WIDTH)
+        counts = counts.reshape(side, side)
         held = np.where(counts > 0, counts, 0)
         with np.errstate(divide="ignore"):
             model.bw[:] = np.where(counts > 0, np.log(np.maximum(held, 1e-9)) - np.log(np.maximum(held.sum(1, keepdims=True), 1e-9)), -1e9)
@@ -185,7 +200,7 @@ class Recurrent:
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: "Recurrent | None" = None):
         """Natural log probabilities of the targets after each state; with ``grads``, also the gradient of their sum over the states."""
-        c, k = targets // WIDTH, targets % WIDTH
+        c, k = targets // self.side, targets % self.side
         logits = states @ self.wc + self.bc
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
@@ -200,8 +215,8 @@ class Recurrent:
             grads.bc += p.sum(axis=0)
             back = p @ self.wc.T
         order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for j in range(CLASSES):
+        ends = np.searchsorted(c[order], np.arange(self.side + 1))
+        for j in range(self.side):
             own = order[ends[j] : ends[j + 1]]
             if not len(own):
                 continue
@@ -288,14 +303,21 @@ class _Adam:
         flat += scale * self.first / (np.sqrt(self.second / np.float32(1 - 0.999**self.step)) + np.float32(1e-6))
 
 
-def train_part(vocabulary: Vocabulary, chunk: int, rate: float):
-    """Train on the training documents of one task, all tokens once, from the common start; the parameters weighted by the tokens seen."""
+def lanes_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where lanes of consecutive tokens begin and how long they are: all tokens, in lanes that differ by one at most."""
+    lanes = min(LANES, max(1, n // 512))
+    cuts = np.arange(lanes + 1) * n // lanes
+    return cuts[:-1], np.diff(cuts)
+
+
+def train_part(vocabulary: Vocabulary, start: np.ndarray, chunk: int, rate: float):
+    """Train on the documents of one task, all tokens once, from a common start; slices of the parameters, weighted by the tokens seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Recurrent.start(vocabulary)
+        model = Recurrent(start.copy(), vocabulary.side)
         adam = _Adam(len(model.flat), rate)
         grad = np.zeros_like(model.flat)
-        grads = Recurrent(grad)
+        grads = Recurrent(grad, vocabulary.side)
         seen = 0
         for part in batches_of(batches, "text", chunk):
             hashes, starts = token_hashes(part["text"].combine_chunks())
@@ -308,51 +330,73 @@ def train_part(vocabulary: Vocabulary, chunk: int, rate: float):
             fresh = np.zeros(n, bool)
             fresh[starts[:-1]] = True
             inputs[fresh] = vocabulary.end
-            # The texts one after the other, dealt into lanes of equal length; the last, shorter steps have fewer lanes.
-            lanes = min(LANES, max(1, n // 512))
-            length = -(-n // lanes)
-            state = np.zeros((lanes, HIDDEN), np.float32)
-            first = np.arange(lanes) * length
-            for at in range(0, length, WINDOW):
-                steps = min(WINDOW, length - at)
-                while (first[-1] + at + steps > n) if len(first) else False:
-                    first, state = first[:-1], state[:-1]
-                if not len(first):
-                    break
+            # The texts one after the other, dealt into lanes; the longer ones have one step more.
+            first, length = lanes_of(n)
+            state = np.zeros((len(first), HIDDEN), np.float32)
+            at = 0
+            while at < int(length.max()):
+                live = length > at
+                first, length, state = first[live], length[live], state[live]
+                steps = min(WINDOW, int(length.min()) - at)
                 place = first[None, :] + at + np.arange(steps)[:, None]
                 grad[:] = 0
                 state = model.learn(inputs[place], tokens[place], fresh[place], state, grads)
                 grad /= place.size
                 adam.ascend(model.flat, grad)
+                at += steps
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([float(seen)]), pa.array([(model.flat.astype(np.float64) * seen).tobytes()], pa.binary())], ["part", "seen", "flat"])
+            weighted = model.flat.astype(np.float64) * seen
+            cuts = range(0, len(weighted), _SLICE)
+            slices = [weighted[k : k + _SLICE].tobytes() for k in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array([float(seen)] * len(slices)), pa.array(slices, pa.binary())], ["slice", "seen", "flat"])
 
     return run
 
 
-def sum_models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up weighted parameters, one model at a time."""
-    total, seen, last = None, 0.0, 0
+def sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the rows of each slice, one at a time, in a sorted partition."""
+    number, seen, total = None, 0.0, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([seen]), pa.array([total.tobytes()], pa.binary())], ["slice", "seen", "flat"])
+
     for batch in batches:
-        for part, n, flat in zip(batch.column("part").to_pylist(), batch.column("seen").to_pylist(), batch.column("flat").to_pylist()):
+        for k, n, flat in zip(batch.column("slice").to_pylist(), batch.column("seen").to_pylist(), batch.column("flat").to_pylist()):
+            if k != number and total is not None:
+                yield row()
+                total = None
             one = np.frombuffer(flat, np.float64)
-            total, seen, last = one.copy() if total is None else total + one, seen + n, part
+            number, seen, total = (k, n, one.copy()) if total is None else (k, seen + n, total + one)
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([seen]), pa.array([total.tobytes()], pa.binary())], ["part", "seen", "flat"])
+        yield row()
+
 
+_MODEL = "slice int, seen double, flat binary"
 
-_MODEL = "part bigint, seen double, flat binary"
 
+def train(rows: DataFrame, vocabulary: Vocabulary, rate: float = 0.02, chunk: int = 8 << 20, rounds: int = ROUNDS, piece: int = PIECE) -> Recurrent:
+    """Mean models of ``rounds`` rounds; one model, added up slice by slice, reaches the driver in each.
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rate: float = 0.004, chunk: int = 8 << 20) -> Recurrent:
-    """The mean of the models of all tasks; 64 tasks add them up, each holding one at a time, and their sums reach the driver."""
-    trained = kept(rows.filter(~F.col("held_out")).select("text").mapInArrow(train_part(vocabulary, chunk, rate), _MODEL))
-    added = trained.repartition(64, F.col("part")).sortWithinPartitions("part").mapInArrow(sum_models, _MODEL)
-    sums = sorted((r["part"], r["seen"], r["flat"]) for r in added.collect())  # 64 models of one fixed size at most
-    if not sums:
-        return Recurrent.start(vocabulary)
-    total = sum(np.frombuffer(f, np.float64) for _, _, f in sums) / sum(s for _, s, _ in sums)
-    return Recurrent(total.astype(np.float32))
+    Each document is learnt from in one round.  Which one, with which others
+    and in which order follows from its id and text alone.
+    """
+    model = Recurrent.start(vocabulary)
+    if not rounds:
+        return model
+    parts = max(1, round(vocabulary.train_tokens / (rounds * piece)))
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(rounds * parts)).cast("int")
+    learnt = rows.filter(~F.col("held_out")).withColumn("slot", slot)
+    for number in range(rounds):
+        mine = learnt.filter(F.col("slot") % rounds == number)
+        dealt = mine.repartitionById(parts, F.floor(F.col("slot") / rounds).cast("int")).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id")
+        made = dealt.select("text").mapInArrow(train_part(vocabulary, model.flat, chunk, rate), _MODEL)
+        sums = kept(made.repartition("slice").sortWithinPartitions("slice", "seen").mapInArrow(sum_slices, _MODEL))
+        added = sorted((r["slice"], r["seen"], r["flat"]) for r in sums.collect())
+        release(sums)
+        if added:
+            flat = np.concatenate([np.frombuffer(f, np.float64) / n for _, n, f in added])
+            model = Recurrent(flat.astype(np.float32), vocabulary.side)
+    return model
 
 
 def held_out() -> Column:
@@ -367,7 +411,7 @@ def score_part(vocabulary: Vocabulary, flat: np.ndarray, chunk: int):
     """Over the rows of one part, the counts of its words first: the scores of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Recurrent(flat)
+        model = Recurrent(flat, vocabulary.side)
         packs: list[tuple[np.ndarray, np.ndarray]] = []
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -410,7 +454,7 @@ def score_part(vocabulary: Vocabulary, flat: np.ndarray, chunk: int):
     return run
 
 
-def language_scores(docs: DataFrame, rate: float = 0.004, chunk: int = 8 << 20) -> DataFrame:
+def language_scores(docs: DataFrame, rate: float = 0.02, chunk: int = 8 << 20, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
     """One row per row of ``docs``: ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
     Words are told apart by 64-bit hashes.  Documents are dealt into parts by
@@ -423,17 +467,18 @@ def language_scores(docs: DataFrame, rate: float = 0.004, chunk: int = 8 << 20)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents(docs).withColumn("held_out", held_out())
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    top = CLASSES * WIDTH - 2
     asked = rows.repartitionById(n, F.col("part")).select("text", "held_out").mapInArrow(count_words(chunk), "part int, pack int, words binary, counts binary")
-    sums = kept(asked.repartition("pack").sortWithinPartitions("pack", "part").mapInArrow(sum_counts(top), "part int, distinct bigint, total bigint, words binary, counts binary"))
+    sums = kept(asked.repartition("pack").sortWithinPartitions("pack", "part").mapInArrow(sum_counts(), "part int, distinct bigint, total bigint, words binary, counts binary"))
     totals = sums.filter("part = -1").agg(F.sum("distinct"), F.sum("total")).first()
+    side = side_of(int(totals[0] or 0))
+    top = side * side - 2
     # The most frequent words: packs hold distinct words, so the top of all is among the tops of each; only that many reach the driver.
     each = sums.filter("part = -1").select("words", "counts").mapInArrow(_unpacked, "word bigint, n bigint")
     head = each.filter(f"n > 0 and word <> {int(END)}").orderBy(F.desc("n"), "word").limit(top).collect()
     end = each.filter(f"word = {int(END)}").agg(F.sum("n")).first()[0] if totals[0] else 0
     hashes = np.array([END, *(np.uint64(r["word"] % 2**64) for r in head)], np.uint64)
-    vocabulary = Vocabulary(hashes, np.array([end or 0, *(r["n"] for r in head)], np.int64), int(totals[1] or 0), int(totals[0] or 0))
-    model = train(rows, vocabulary, rate, chunk)
+    vocabulary = Vocabulary(hashes, np.array([end or 0, *(r["n"] for r in head)], np.int64), int(totals[1] or 0), int(totals[0] or 0), side)
+    model = train(rows, vocabulary, rate, chunk, rounds, piece)
     answers = sums.filter("part >= 0").select("part", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"), "words", "counts")
     none = F.lit(None).cast("binary")
     all_ = answers.union(rows.select("part", "doc_id", "held_out", "text", none, none))
