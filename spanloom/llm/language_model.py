@@ -141,7 +141,33 @@ class Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _weights(logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of a softmax, in place, their sums, and the log probability of a picked column of each row.
+
+    Weights are taken as they are where they are in the range of 32-bit
+    numbers, as nearly always; else relative to the largest of each row.
+    """
+    rows, ones = np.arange(len(logits)), np.ones(logits.shape[1], np.float32)
+    if len(logits) and logits.max() < 60:
+        chosen = logits[rows, picked]
+        kept_ = logits.copy() if chosen.min() < -60 else None
+        np.exp(logits, out=logits)
+        total = logits @ ones
+        if total.min() > 1e-25:
+            return logits, total, chosen - np.log(total)
+        logits = kept_ if kept_ is not None else np.log(np.maximum(logits, 1e-37))
+    logits -= logits.max(axis=1, keepdims=True)
+    chosen = logits[rows, picked]
+    np.exp(logits, out=logits)
+    total = logits @ ones
+    return logits, total, chosen - np.log(total)
 
 
 class Recurrent:
@@ -180,20 +206,27 @@ class Recurrent:
         model.wc[:] *= 0.1
         return model
 
-    def window(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray):
-        """States of one window; ``inputs`` and ``fresh`` (start of a text) are (steps, lanes)."""
-        table = self.embed @ self.w + self.b
-        x = table[inputs]
+    def table(self) -> np.ndarray:
+        """What each word brings into a step."""
+        return self.embed @ self.w + self.b
+
+    def window(self, inputs: np.ndarray, fresh: np.ndarray | None, state: np.ndarray, table: np.ndarray | None = None):
+        """States of one window; ``inputs`` and ``fresh`` (start of a text, None if nowhere) are (steps, lanes)."""
+        x = (self.table() if table is None else table)[inputs]
         h, n = HIDDEN, len(inputs)
         states = np.empty((n, state.shape[0], h), np.float32)
         cache = []
         for t in range(n):
-            before = state * ~fresh[t][:, None] if fresh[t].any() else state
+            before = state * ~fresh[t][:, None] if fresh is not None and fresh[t].any() else state
             g = before @ self.u
             zr = _sigmoid(x[t, :, : 2 * h] + g[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(x[t, :, 2 * h :] + r * g[:, 2 * h :])
-            state = new + z * (before - new)
+            new = r * g[:, 2 * h :]
+            new += x[t, :, 2 * h :]
+            np.tanh(new, out=new)
+            state = before - new
+            state *= z
+            state += new
             states[t] = state
             cache.append((before, g[:, 2 * h :], z, r, new))
         return states, cache, state
@@ -201,12 +234,10 @@ class Recurrent:
     def output(self, states: np.ndarray, targets: np.ndarray, grads: "Recurrent | None" = None):
         """Natural log probabilities of the targets after each state; with ``grads``, also the gradient of their sum over the states."""
         c, k = targets // self.side, targets % self.side
-        logits = states @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
+        logits = states @ self.wc
+        logits += self.bc
+        p, total, logp = _weights(logits, c)
         rows = np.arange(len(targets))
-        logp = logits[rows, c] - np.log(total)
         back = None
         if grads is not None:
             p /= -total[:, None]
@@ -220,15 +251,14 @@ class Recurrent:
             own = order[ends[j] : ends[j + 1]]
             if not len(own):
                 continue
-            s, at = states[own], np.arange(len(own))
-            logits = s @ self.ww[j] + self.bw[j]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1)
-            logp[own] += logits[at, k[own]] - np.log(total)
+            s, picked = states[own], k[own]
+            logits = s @ self.ww[j]
+            logits += self.bw[j]
+            p, total, found = _weights(logits, picked)
+            logp[own] += found
             if grads is not None:
                 p /= -total[:, None]
-                p[at, k[own]] += 1
+                p[np.arange(len(own)), picked] += 1
                 grads.ww[j] += s.T @ p
                 grads.bw[j] += p.sum(axis=0)
                 back[own] += p @ self.ww[j].T
@@ -273,6 +303,7 @@ class Recurrent:
         inputs = np.concatenate([[end], tokens[:-1]])
         inputs[starts[:-1]] = end
         logp = np.zeros(len(tokens))
+        table = self.table()
         for first in range(0, n, lanes):
             docs = by_size[first : first + lanes]
             state = np.zeros((len(docs), HIDDEN), np.float32)
@@ -283,7 +314,7 @@ class Recurrent:
                 place = starts[docs][None, :] + at + np.arange(steps)[:, None]
                 inside = at + np.arange(steps)[:, None] < sizes[docs][None, :]
                 place = np.where(inside, place, 0)
-                states, _, state = self.window(inputs[place], np.zeros(place.shape, bool), state)
+                states, _, state = self.window(inputs[place], None, state, table)
                 flat = inside.reshape(-1)
                 found, _ = self.output(states.reshape(-1, HIDDEN)[flat], tokens[place].reshape(-1)[flat])
                 logp[place[inside]] = found
