@@ -268,8 +268,12 @@ def likely_pairs(bits: np.ndarray, n: np.ndarray, first: int, threshold: float)
     return i[order], j[order]
 
 
-def cell_links(texts: list[tuple], first: int, threshold: float) -> list[tuple[int, int]]:
-    """Links that join classes among ``(text_no, n, bits, codes, class)``, between those before and from ``first`` on if it is not 0."""
+def cell_classes(texts: list[tuple], first: int, threshold: float) -> list[tuple[int, int]]:
+    """Classes among ``(text_no, n, bits, codes, class)``, by links between those before and from ``first`` on if it is not 0.
+
+    A class that links have joined is told by its smallest ``class`` so far:
+    ``(class, smallest)`` for each of its other ones.
+    """
     number = {}
     root = np.array([number.setdefault(t[4], k) for k, t in enumerate(texts)])
     bits = np.frombuffer(b"".join(t[2] for t in texts), np.uint64).reshape(len(texts), -1)
@@ -282,19 +286,20 @@ def cell_links(texts: list[tuple], first: int, threshold: float) -> list[tuple[i
             sorted_[k] = np.sort(labelled(codes[k]))
         return sorted_[k]
 
-    links = []
     for start in range(0, len(left), 4096):
         i, j = left[start : start + 4096], right[start : start + 4096]
         open_ = root[i] != root[j]
         for x, y in zip(i[open_].tolist(), j[open_].tolist()):
             if root[x] != root[y] and similarity(codes[x], codes[y], threshold, own(x), own(y)) >= threshold:
-                links.append((texts[x][0], texts[y][0]))
                 root[root == root[y]] = root[x]
-    return links
+    names = np.array([t[4] for t in texts])
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, names)
+    return sorted({(a, b) for a, b in zip(names.tolist(), least[root].tolist()) if a != b})
 
 
 def compare_cells(threshold: float):
-    """Links of each cell of a sorted partition; a cell is held whole, and is of bounded size."""
+    """:func:`cell_classes` of each cell of a sorted partition; a cell is held whole, and is of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("pool", "low", "high", "side", "text_no", "n", "bits", "codes", "class")
@@ -305,12 +310,12 @@ def compare_cells(threshold: float):
             first = sum(r[3] == 0 for r in cell) if low != high else 0
             if low != high and first in (0, len(cell)):
                 continue
-            out += cell_links([r[4:] for r in cell], first, threshold)
+            out += [(*found, low) for found in cell_classes([r[4:] for r in cell], first, threshold)]
             if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "block"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "block"])
 
     return run
 
@@ -339,9 +344,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
     copies.  Rows may repeat, texts may be as long as a row can be, other
     columns play no part; an empty table gives an empty one.
 
-    A large pool is cut into blocks.  Blocks are compared with themselves
-    first; then pairs of blocks, of pools that are not one class yet, between
-    texts whose classes still differ.
+    A pool of one block has its classes when that is compared.  Of a larger one,
+    blocks are compared with themselves first; if that leaves it in several
+    classes, pairs of its blocks follow, between texts whose classes differ.
     """
     rows = kept(sketch_rows(docs, n_sketches, threshold))
     origin = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("origin")
@@ -358,21 +363,31 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n_sketches: int
     def compared(cells: DataFrame) -> DataFrame:
         key = ["pool", "low", "high"]
         in_order = cells.repartition(*key).sortWithinPartitions(*key, "side", "text_no")
-        return kept(in_order.mapInArrow(compare_cells(threshold), "a bigint, b bigint"))
-
-    alone = members.select("pool", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("side"), "text_no", "n", "bits", "codes", F.col("text_no").alias("class"))
-    links = compared(alone)
-    classes = components(links)
-    named = members.filter("blocks > 1").join(classes.withColumnRenamed("node", "text_no"), "text_no", "left").withColumn("class", F.coalesce("root", "text_no"))
-    several = named.groupBy("pool").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("pool")
-    several = kept(several)
-    if several.head(1):
+        return kept(in_order.mapInArrow(compare_cells(threshold), "a bigint, b bigint, block bigint"))
+
+    # Blocks of a pool are numbered below zero if they are all there is of it.
+    own_block = F.when(F.col("blocks") > 1, F.col("block")).otherwise(-1).cast("bigint")
+    alone = members.select("pool", own_block.alias("low"), own_block.alias("high"), F.lit(0).alias("side"), "text_no", "n", "bits", "codes", F.col("text_no").alias("class"))
+    joined_ = compared(alone)
+    classes = joined_.filter("block < 0").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if dealt.filter("blocks > 1").head(1):
+        found = joined_.filter("block >= 0").select(F.col("a").alias("text_no"), F.col("b").alias("class"))
+        named = members.filter("blocks > 1").join(found, "text_no", "left").withColumn("class", F.coalesce("class", "text_no"))
+        several = kept(named.groupBy("pool").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("pool"))
         others = named.join(several, "pool", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("other <> block")
         pairs = others.select(
-            "pool", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "text_no", "n", "bits", "codes", "class"
+            "pool",
+            F.least("block", "other").cast("bigint").alias("low"),
+            F.greatest("block", "other").cast("bigint").alias("high"),
+            (F.col("block") > F.col("other")).cast("int").alias("side"),
+            "text_no",
+            "n",
+            "bits",
+            "codes",
+            "class",
         )
-        links = links.union(compared(pairs))
-        classes = components(links)
+        links = joined_.filter("block >= 0").union(compared(pairs)).select("a", "b")
+        classes = classes.union(components(links).select("node", "root"))
     release(dealt, codes)
     own = texts.select("text_key", "text_no").join(classes.withColumnRenamed("node", "text_no"), "text_no", "left")
     own = own.select("text_key", F.coalesce("root", "text_no").alias("class"))
