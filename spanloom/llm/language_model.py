@@ -2,7 +2,7 @@
 
 Tokens are words and one end per text.  Words are counted over all training
 documents; the most frequent are the model's vocabulary, which grows with the
-square root of the number of distinct words, every other word is one symbol,
+number of distinct words to the power of 0.4, every other word is one symbol,
 whose probability is shared out by the counts.  The model is a gated recurrent
 unit with an output softmax factored into classes of words, trained in numpy by
 backpropagation through windows of a few tokens, the state carried from one to
@@ -32,9 +32,9 @@ from .common import batches_of, documents, kept, release
 
 HIDDEN = 16
 WINDOW = 32
-LANES = 256
+LANES = 1024
 #: Rounds of training, and about how many tokens a part learns from in each.
-ROUNDS, PIECE = 4, 1 << 20
+ROUNDS, PIECE = 4, 1 << 21
 #: Numbers of a model that are added up together.
 _SLICE = 1 << 15
 #: The hash that stands for the end of a text.
@@ -45,7 +45,7 @@ _PACKS = 10
 
 def side_of(words: int) -> int:
     """Classes of the vocabulary, and words in each, for so many distinct words: a token costs about as much as both."""
-    return max(8, ceil(2.6 * words**0.25))
+    return max(8, ceil(5 * words**0.2))
 
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -405,7 +405,7 @@ def sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MODEL = "slice int, seen double, flat binary"
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rate: float = 0.02, chunk: int = 8 << 20, rounds: int = ROUNDS, piece: int = PIECE) -> Recurrent:
+def train(rows: DataFrame, vocabulary: Vocabulary, rate: float = 0.03, chunk: int = 8 << 20, rounds: int = ROUNDS, piece: int = PIECE) -> Recurrent:
     """Mean models of ``rounds`` rounds; one model, added up slice by slice, reaches the driver in each.
 
     Each document is learnt from in one round.  Which one, with which others
@@ -485,7 +485,7 @@ def score_part(vocabulary: Vocabulary, flat: np.ndarray, chunk: int):
     return run
 
 
-def language_scores(docs: DataFrame, rate: float = 0.02, chunk: int = 8 << 20, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
+def language_scores(docs: DataFrame, rate: float = 0.03, chunk: int = 8 << 20, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
     """One row per row of ``docs``: ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
     Words are told apart by 64-bit hashes.  Documents are dealt into parts by
