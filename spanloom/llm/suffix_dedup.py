@@ -33,43 +33,72 @@ _PACKS = 12
 HOT = 20_000
 
 
+def symbols_of(text: np.ndarray, depth: int) -> tuple[np.ndarray, int, int]:
+    """The bytes of a text as numbers from 0 without gaps, the bits of one, and how many, less than ``depth``, fit in a word beside a place in the text."""
+    present = np.bincount(text, minlength=256) > 0
+    bits = max(1, int(present.sum() - 1).bit_length())
+    return (np.cumsum(present) - 1).clip(0).astype(np.uint8)[text], bits, max(1, min((64 - len(text).bit_length()) // bits, depth - 1))
+
+
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and for each the group of those that share its first bytes: the most bytes sorted at once below ``depth``.
 
-    Larsson-Sadakane: suffixes are sorted by eight bytes; from then on only
-    groups of several suffixes are sorted again, by the groups of the suffixes
-    that start where the sorted bytes end.
+    Larsson-Sadakane: suffixes are sorted by as many bytes as fit in a word;
+    from then on only groups of several suffixes are sorted again, by the
+    groups of the suffixes that start where the sorted bytes end.  What is
+    sorted are words that hold key and place, so no second array is moved.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    order = np.argsort(key)
-    ordered = key[order]
-    start = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.zeros(0, bool)
-    group_of_place = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[order] = group_of_place
+    symbols, bits, sorted_bytes = symbols_of(text, depth)
+    place_bits = n.bit_length()
+    key = np.zeros(n, np.uint64)
+    for k in range(sorted_bytes):
+        key <<= np.uint64(bits)
+        key[: max(0, n - k)] |= symbols[k:]
+    key <<= np.uint64(place_bits)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    small = np.int32 if n < 1 << 30 else np.int64
+    order = (key & np.uint64((1 << place_bits) - 1)).astype(small)
+    key >>= np.uint64(place_bits)
+    start = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=start[1:])
+    heads = np.flatnonzero(start)
+    rank = np.empty(n + 1, small)
+    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
     rank[n] = -1
-    sorted_bytes, before = 8, None
+    before = None
     while True:
         # Places in groups of several suffixes.
-        alone = start & np.concatenate([start[1:], [True]]) if n else start
+        alone = start.copy()
+        alone[:-1] &= start[1:]
         open_ = np.flatnonzero(~alone)
         if sorted_bytes < depth <= sorted_bytes * 2:
             before = rank[:n].copy()
         if not len(open_):
             break
         suffixes = order[open_]
-        own = rank[suffixes]
+        group = np.cumsum(start[open_]) - 1
         # Of suffixes that end before, the shorter comes first.
-        after = suffixes + sorted_bytes
-        pair = (own << 32) + np.where(after < n, rank[np.minimum(after, n)], n - after - 1) + (1 << 30)
-        again = np.argsort(pair)
-        suffixes, pair = suffixes[again], pair[again]
+        after = suffixes + small(sorted_bytes)
+        behind = np.where(after < n, rank[np.minimum(after, n)], n - after - 1).astype(np.int64) + sorted_bytes
+        own_bits, behind_bits = len(open_).bit_length(), (n + sorted_bytes).bit_length()
+        pair = (group << behind_bits) + behind
+        if int(group[-1]).bit_length() + behind_bits + own_bits <= 63:
+            pair = (pair << own_bits) + np.arange(len(open_))
+            pair.sort()
+            again = pair & ((1 << own_bits) - 1)
+            pair >>= own_bits
+        else:
+            again = np.argsort(pair)
+            pair = pair[again]
+        suffixes = suffixes[again]
         order[open_] = suffixes
-        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        new = np.ones(len(open_), bool)
+        np.not_equal(pair[1:], pair[:-1], out=new[1:])
         start[open_] = new
-        rank[suffixes] = open_[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        heads = np.flatnonzero(new)
+        rank[suffixes] = np.repeat(open_[heads], np.diff(np.append(heads, len(new))))
         sorted_bytes *= 2
     return order, rank[:n] if before is None else before
 
@@ -119,21 +148,27 @@ def repeated_starts(text: np.ndarray, valid: np.ndarray, length: int = LENGTH) -
     if not valid.any():
         return np.zeros(len(text), bool)
     order, group = suffix_array(text, length)
-    known = 8
+    known = symbols_of(text, length)[2]
     while known * 2 < length:
         known *= 2
     lcp = common_prefixes(text, order, group, known, length)
-    run = np.cumsum(lcp < length) - 1
-    first = np.full(run[-1] + 1, len(text), np.int64)
-    ok = valid[order]
-    np.minimum.at(first, run[ok], order[ok])
+    # Runs of suffixes that share their first bytes: only those of several can hold a repeat.
+    heads = np.flatnonzero(lcp < length)
+    sizes = np.diff(np.append(heads, len(order)))
+    inside = np.flatnonzero(np.repeat(sizes > 1, sizes))
     out = np.zeros(len(text), bool)
-    out[order[ok]] = order[ok] > first[run[ok]]
+    if len(inside):
+        places, sizes = order[inside], sizes[sizes > 1]
+        ok = valid[places]
+        first = np.minimum.reduceat(np.where(ok, places, len(text)), np.cumsum(sizes) - sizes)
+        out[places] = ok & (places > np.repeat(first, sizes))
     return out
 
 
-def anchors(text: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of ``length`` bytes: the place of its anchor; and the hash of the ``anchor`` bytes at each place."""
+def anchors(text: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
+    """For each start of ``length`` bytes the hash of its anchor, the smallest of the hashes of the ``anchor`` bytes at each place in it."""
+    if len(text) < length:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         # Hashes of 8 bytes, then of 16, then of 32.
         h = np.ndarray((len(text) - 7,), "<u8", text.tobytes(), strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
@@ -145,32 +180,23 @@ def anchors(text: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tup
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    w = length - anchor + 1
-    count = len(text) - length + 1
-    # Smallest hash of each window, the first of equals: hash and place in one number would not fit, so places are found by comparison.
+    w, count = length - anchor + 1, len(text) - length + 1
     least, span = h, 1
     while span * 2 <= w:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    least = np.minimum(least[:count], least[w - span : w - span + count])
-    place = np.full(count, -1, np.int64)
-    # Candidates: places that are smallest in one of the windows they are in.
-    low, span = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), 1
-    while span * 2 <= w:
-        low = np.maximum(low[:-span], low[span:])
-        span *= 2
-    holder = np.maximum(low[: len(h)], low[w - span : w - span + len(h)])
-    chosen = np.flatnonzero(holder == h)
-    # The first chosen place at or after a start whose hash is the smallest there; later ones only if that one is larger.
-    k = np.searchsorted(chosen, np.arange(count))
-    todo = np.arange(count)
-    while len(todo):
-        p = chosen[k[todo]]
-        hit = h[p] == least[todo]
-        place[todo[hit]] = p[hit]
-        todo = todo[~hit]
-        k[todo] += 1
-    return place, h
+    return np.minimum(least[:count], least[w - span : w - span + count])
+
+
+def anchor_runs(value: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``[start, end)`` of the runs of wanted starts with one anchor."""
+    at = np.flatnonzero(wanted[: len(value)])
+    if not len(at):
+        return at, at
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (value[at[1:]] != value[at[:-1]])
+    first = np.flatnonzero(new)
+    return at[first], at[np.append(first[1:], len(at)) - 1] + 1
 
 
 class Shard:
@@ -241,19 +267,15 @@ def search_shards(length: int, shard_bytes: int):
             return values, np.union1d(again, values[counts > 1])
 
         for keys, texts in _shards(batches, shard_bytes):
-            own_anchors: list[np.ndarray] = []
             shard = Shard(texts)
-            repeats = repeated_starts(shard.bytes, shard.valid(length), length)
+            valid = shard.valid(length)
+            repeats = repeated_starts(shard.bytes, valid, length)
             rows = []
             for (doc_id, text_hash), text, at in zip(keys, texts, shard.starts):
-                count = len(text) - length + 1
-                own = runs_of(repeats[at : at + max(0, count)])
-                if count > 0 and not (len(own) == 1 and own[0, 1] - own[0, 0] == count):
-                    place, h = anchors(np.frombuffer(text, np.uint8), length)
-                    own_anchors.append(np.unique(h[np.unique(place[~repeats[at : at + count]])]))
+                own = runs_of(repeats[at : at + max(0, len(text) - length + 1)])
                 rows.append((doc_id, text_hash, len(text), hashlib.sha256(text).hexdigest(), own[:, 0].tolist(), own[:, 1].tolist()))
-            if own_anchors:
-                fresh.append(np.unique(np.concatenate(own_anchors)))
+            value = anchors(shard.bytes, length)
+            fresh.append(np.unique(value[anchor_runs(value, valid & ~repeats)[0]]))
             if sum(map(len, fresh)) > 1 << 20:
                 (seen, again), fresh = merge(), []
             n = len(rows)
@@ -304,58 +326,60 @@ _SEGMENT = pa.schema(
 )
 
 
-def cut_segments(length: int):
+def cut_segments(length: int, shard_bytes: int):
     """Over the rows of one part, hashes first: the runs of starts that repeat in the part, and the strings around anchors that other shards have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[np.ndarray] = []
-        shared: np.ndarray | None = None
         known: dict[tuple, tuple[list[int], list[int]]] = {}
         sent: set[bytes] = set()
-        last = None
-        for batch in batches:
+
+        def texts_of() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for kind, doc_id, text_hash, hashes, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "text_hash", "hashes", "starts", "ends"))):
+                    if kind == 0:
+                        packs.append(np.frombuffer(hashes, np.uint64))
+                    elif kind == 1:
+                        known[doc_id, text_hash] = (starts, ends)
+                texts = batch.filter(batch.column("text").is_valid()).select(["doc_id", "text_hash", "text"])
+                if texts.num_rows:
+                    yield texts
+
+        shared = np.zeros(0, np.uint64)
+        for keys, texts in _shards(texts_of(), shard_bytes):
+            if packs:
+                shared = np.unique(np.concatenate([shared, *packs]))
+                packs.clear()
+            shard = Shard(texts)
+            wanted = shard.valid(length)
+            runs: list[tuple[list[int], list[int]]] = []
+            for key, at in zip(keys, shard.starts):
+                starts, ends = known.pop(key, ([], []))
+                for s, e in zip(starts, ends):
+                    wanted[at + s : at + e] = False
+                runs.append((starts, ends))
+            # Starts of one anchor that follow one another make one segment.
+            value = anchors(shard.bytes, length)
+            first, end = anchor_runs(value, wanted)
+            if len(shared) and len(first):
+                near = np.minimum(np.searchsorted(shared, value[first]), len(shared) - 1)
+                hit = shared[near] == value[first]
+                first, end = first[hit], end[hit]
+            else:
+                first = end = first[:0]
+            owner = np.searchsorted(shard.starts, first, "right") - 1
+            at = shard.starts[owner]
             out: list[tuple] = []
-            for kind, doc_id, text_hash, hashes, starts, ends, text in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "text_hash", "hashes", "starts", "ends", "text"))):
-                if kind == 0:
-                    packs.append(np.frombuffer(hashes, np.uint64))
-                    continue
-                if kind == 1:
-                    known[doc_id, text_hash] = (starts, ends)
-                    continue
-                if shared is None:
-                    shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *packs]))
-                    packs = []
-                if (doc_id, text_hash) == last:
-                    continue
-                last = (doc_id, text_hash)
-                starts, ends = known.pop(last, ([], []))
-                data = text.encode()
-                count = len(data) - length + 1
-                mine: list[tuple] = []
-                if count > 0 and len(shared):
-                    place, h = anchors(np.frombuffer(data, np.uint8), length)
-                    wanted = np.ones(count, bool)
-                    for s, e in zip(starts, ends):
-                        wanted[s:e] = False
-                    value = h[place]
-                    at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
-                    wanted &= shared[at] == value
-                    # Starts of one anchor that follow one another make one segment.
-                    mark = np.where(wanted, place + 1, 0)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mark, [0]])))
-                    for s, e in zip(edge, edge[1:]):
-                        if not mark[s]:
-                            continue
-                        # A segment that this part has sent repeats throughout; documents come in order.
-                        digest = hashlib.blake2b(data[s : e + length - 1], digest_size=16).digest()
-                        if digest in sent:
-                            starts, ends = [*starts, int(s)], [*ends, int(e)]
-                        else:
-                            sent.add(digest)
-                            mine.append((doc_id, text_hash, None, None, int(value[s].view(np.int64)), int(s), data[s : e + length - 1]))
-                if starts:
-                    out.append((doc_id, text_hash, starts, ends, None, None, None))
-                out += mine
+            for i, s, e, anchor in zip(owner.tolist(), (first - at).tolist(), (end - at).tolist(), value[first].view(np.int64).tolist()):
+                # A segment that this part has sent repeats throughout; documents come in order.
+                segment = texts[i][s : e + length - 1]
+                digest = hashlib.blake2b(segment, digest_size=16).digest()
+                if digest in sent:
+                    runs[i] = ([*runs[i][0], s], [*runs[i][1], e])
+                else:
+                    sent.add(digest)
+                    out.append((*keys[i], None, None, anchor, s, segment))
+            out += [(*key, *run, None, None, None) for key, run in zip(keys, runs) if run[0]]
             for i in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[i : i + 20_000]), _SEGMENT)], schema=_SEGMENT)
 
@@ -478,7 +502,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 20) -
     own = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int"))
     all_ = shaped(shared, 0).unionByName(shaped(own, 1)).unionByName(shaped(rows.select("part", "doc_id", "text_hash", "text"), 2))
     dealt = all_.repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind", "doc_id", "text_hash")
-    touched = kept(dealt.mapInArrow(cut_segments(length), "doc_id bigint, text_hash bigint, starts array<bigint>, ends array<bigint>, anchor bigint, start bigint, segment binary"))
+    touched = kept(dealt.mapInArrow(cut_segments(length, shard_bytes), "doc_id bigint, text_hash bigint, starts array<bigint>, ends array<bigint>, anchor bigint, start bigint, segment binary"))
     within = touched.filter("anchor is null").select("doc_id", "text_hash", "starts", "ends")
     segments = touched.filter("anchor is not null").select("anchor", "doc_id", "text_hash", "start", "segment")
 

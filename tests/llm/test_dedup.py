@@ -226,9 +226,53 @@ def test_repeats_and_anchors():
         want.append(data[i : i + 100] in seen)
         seen.add(data[i : i + 100])
     assert suffix_dedup.repeated_starts(text, valid)[: len(want)].tolist() == want
-    place, h = suffix_dedup.anchors(text)
-    for i in range(len(place)):
-        assert place[i] == i + int(np.argmin(h[i : i + 69]))
+    for length in (2, 5, 9, 33):  # shorter strings, which may all be sorted at once
+        first = {}
+        short = [first.setdefault(data[i : i + length], i) < i for i in range(len(data) - length + 1)]
+        found = suffix_dedup.repeated_starts(text, np.arange(len(text)) <= len(text) - length, length)
+        assert found[: len(short)].tolist() == short
+    # The anchor is the smallest of the 69 hashes of 32 bytes in a string, wherever the string lies.
+    value = suffix_dedup.anchors(text)
+    assert len(value) == len(want) and not len(suffix_dedup.anchors(text[:99]))
+    alone = [int(suffix_dedup.anchors(text[i : i + 32], 32)[0]) for i in range(len(data) - 31)]
+    assert value.tolist() == [min(alone[i : i + 69]) for i in range(len(value))]
+    # Runs: wanted starts of one anchor that follow one another.
+    wanted = rng.random(len(text)) < 0.9
+    wanted[len(value) :] = False
+    first, end = suffix_dedup.anchor_runs(value, wanted)
+    covered = [i for s, e in zip(first, end) for i in range(s, e)]
+    assert covered == np.flatnonzero(wanted).tolist()
+    assert all(len(set(value[s:e].tolist())) == 1 for s, e in zip(first, end))
+
+
+def test_suffix_array_of_many_bytes():
+    """All byte values and long repeats; groups share the bytes that they are said to share."""
+    rng = np.random.default_rng(3)
+    block = rng.integers(0, 256, 2000).astype(np.uint8)
+    for text in (np.concatenate([block, block, block[:700]]), np.arange(256, dtype=np.uint8).repeat(3)):
+        data = text.tobytes()
+        order, group = suffix_dedup.suffix_array(text, 100)
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        known = suffix_dedup.symbols_of(text, 100)[2]
+        while known * 2 < 100:
+            known *= 2
+        padded = data + b"\0" * known
+        same = {}
+        for i in range(len(data)):
+            assert same.setdefault(int(group[i]), padded[i : i + known]) == padded[i : i + known]
+
+
+def test_suffix_array_whose_groups_need_more_than_a_word():
+    """Two copies of 1.5 million bytes: numbers of group, rank and place do not fit in 64 bits together."""
+    half = np.random.default_rng(4).integers(0, 256, 1_500_000).astype(np.uint8)
+    text = np.concatenate([half, half])
+    order, _ = suffix_dedup.suffix_array(text, 100)
+    rank = np.full(len(text) + 1, -1, np.int64)
+    rank[order] = np.arange(len(text))
+    assert (np.sort(order) == np.arange(len(text))).all()
+    # Suffixes are in order if their first bytes are, and of equal ones the suffixes behind these.
+    a, b = order[:-1], order[1:]
+    assert ((text[a] < text[b]) | ((text[a] == text[b]) & (rank[a + 1] < rank[b + 1]))).all()
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
