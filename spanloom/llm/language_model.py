@@ -4,9 +4,9 @@ Tokens are words and one end per text.  Words are counted over all training
 documents; the most frequent are the model's vocabulary, which grows with the
 number of distinct words to the power of 0.4, every other word is one symbol,
 whose probability is shared out by the counts.  The model is a gated recurrent
-unit with an output softmax factored into classes of words, trained in numpy by
-backpropagation through windows of a few tokens, the state carried from one to
-the next.
+unit with an output softmax factored into classes of words, few words in those
+of frequent ones, trained in numpy by backpropagation through windows of a few
+tokens, the state carried from one to the next.
 
 Training goes in rounds.  The training documents are dealt by hash, so that a
 part has about the same number of tokens in every round however many files they
@@ -32,7 +32,8 @@ from .common import batches_of, documents, kept, release
 
 HIDDEN = 16
 WINDOW = 32
-LANES = 1024
+#: No power of two: rows of a matrix of lanes would fall on the same lines of the cache.
+LANES = 1000
 #: Rounds of training, and about how many tokens a part learns from in each.
 ROUNDS, PIECE = 4, 1 << 21
 #: Numbers of a model that are added up together.
@@ -44,12 +45,28 @@ _PACKS = 10
 
 
 def side_of(words: int) -> int:
-    """Classes of the vocabulary, and words in each, for so many distinct words: a token costs about as much as both."""
+    """The square root of the size of the vocabulary for so many distinct words: what a token costs grows with it."""
     return max(8, ceil(5 * words**0.2))
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the tokens of all texts, each closed by ``END``, and where each text begins.  A-Z are lower-cased."""
+def classes_of(side: int) -> np.ndarray:
+    """Where the classes of a vocabulary of ``side ** 2`` words in order of frequency begin, and its end.
+
+    A token costs all classes and the words of its own.  Where frequency falls
+    as one over the rank, both together are least for classes whose sizes grow
+    as the square root of the rank, so limits lie at squares.  Number 0, any
+    other word, is a class by itself and costs no more than the classes.
+    """
+    n, count = side * side, max(2, round(0.6 * side))
+    limits = 1 + np.round((n - 1) * (np.arange(count + 1) / count) ** 2).astype(np.int64)
+    return np.unique(np.concatenate([[0], limits]))
+
+
+def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct tokens of all texts, which of them each token is, and where each text begins.
+
+    Each text is closed by ``END``, the last of the distinct ones.  A-Z are lower-cased.
+    """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     owner, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
     some = pc.not_equal(flat, "")
@@ -58,9 +75,9 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
     sizes = np.bincount(owner, minlength=len(texts)) + 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.full(starts[-1], END, np.uint64)
-    out[np.arange(len(owner)) + owner] = known[coded.indices.to_numpy()]
-    return out, starts
+    codes = np.full(starts[-1], len(known), np.int64)
+    codes[np.arange(len(owner)) + owner] = coded.indices.to_numpy()
+    return np.append(known, END), codes, starts
 
 
 def count_words(chunk: int):
@@ -69,10 +86,9 @@ def count_words(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part in batches_of(batches, "text", chunk):
-            hashes, starts = token_hashes(part["text"].combine_chunks())
+            own, codes, starts = token_codes(part["text"].combine_chunks())
             learns = ~part["held_out"].to_numpy()
-            own, inverse = np.unique(hashes, return_inverse=True)
-            n = np.bincount(inverse, np.repeat(learns, np.diff(starts)), len(own)).astype(np.int64)
+            n = np.bincount(codes, np.repeat(learns, np.diff(starts)), len(own)).astype(np.int64)
             words, inverse = np.unique(np.concatenate([words, own]), return_inverse=True)
             counts = np.bincount(inverse, np.concatenate([counts, n]), len(words)).astype(np.int64)
         number = TaskContext.get().partitionId()
@@ -148,6 +164,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place, through the exponential, which numpy has for several numbers at once."""
+    x *= -2
+    np.exp(x, out=x)
+    x += 1
+    np.divide(2, x, out=x)
+    x -= 1
+    return x
+
+
 def _weights(logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of a softmax, in place, their sums, and the log probability of a picked column of each row.
 
@@ -175,16 +201,22 @@ class Recurrent:
 
     def __init__(self, flat: np.ndarray, side: int = 64):
         self.flat, self.side = flat, side
+        self.limits = classes_of(side)
+        sizes = np.diff(self.limits)
+        # 16 bits where they do: numpy sorts those by counting.
+        self.class_of = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.int64), sizes)
         at = 0
         for name, shape in self.shapes(side).items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        # The words of a class: a matrix of its own for each.
+        self.words = [(self.ww[a * HIDDEN : b * HIDDEN].reshape(HIDDEN, b - a), self.bw[a:b]) for a, b in zip(self.limits, self.limits[1:])]
 
     @staticmethod
     def shapes(side: int) -> dict[str, tuple[int, ...]]:
-        v, h = side * side, HIDDEN
-        return {"embed": (v, h), "w": (h, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h, side), "bc": (side,), "ww": (side, h, side), "bw": (side, side)}
+        v, h, c = side * side, HIDDEN, len(classes_of(side)) - 1
+        return {"embed": (v, h), "w": (h, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h, c), "bc": (c,), "ww": (v * h,), "bw": (v,)}
 
     @classmethod
     def start(cls, vocabulary: Vocabulary) -> "Recurrent":
@@ -197,11 +229,10 @@ class Recurrent:
         counts = np.full(side * side, -1.0)
         counts[0] = max(vocabulary.other_tokens, 1)
         counts[1 : 1 + len(vocabulary.counts)] = np.maximum(vocabulary.counts, 0.5)
-        counts = counts.reshape(side, side)
         held = np.where(counts > 0, counts, 0)
-        with np.errstate(divide="ignore"):
-            model.bw[:] = np.where(counts > 0, np.log(np.maximum(held, 1e-9)) - np.log(np.maximum(held.sum(1, keepdims=True), 1e-9)), -1e9)
-            model.bc[:] = np.where(held.sum(1) > 0, np.log(np.maximum(held.sum(1), 1e-9)) - np.log(held.sum()), -1e9)
+        each = np.add.reduceat(held, model.limits[:-1])
+        model.bw[:] = np.where(counts > 0, np.log(np.maximum(held, 1e-9)) - np.log(np.maximum(each, 1e-9))[model.class_of], -1e9)
+        model.bc[:] = np.where(each > 0, np.log(np.maximum(each, 1e-9)) - np.log(held.sum()), -1e9)
         model.ww[:] *= 0.1
         model.wc[:] *= 0.1
         return model
@@ -211,57 +242,71 @@ class Recurrent:
         return self.embed @ self.w + self.b
 
     def window(self, inputs: np.ndarray, fresh: np.ndarray | None, state: np.ndarray, table: np.ndarray | None = None):
-        """States of one window; ``inputs`` and ``fresh`` (start of a text, None if nowhere) are (steps, lanes)."""
-        x = (self.table() if table is None else table)[inputs]
+        """States of one window; ``inputs`` and ``fresh`` (start of a text, None if nowhere) are (steps, lanes).
+
+        Inside a step lanes are columns, so that gates are whole rows.
+        """
+        table = self.table() if table is None else table
         h, n = HIDDEN, len(inputs)
         states = np.empty((n, state.shape[0], h), np.float32)
+        u = np.ascontiguousarray(self.u.T)
+        now = np.ascontiguousarray(state.T)
         cache = []
         for t in range(n):
-            before = state * ~fresh[t][:, None] if fresh is not None and fresh[t].any() else state
-            g = before @ self.u
-            zr = _sigmoid(x[t, :, : 2 * h] + g[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            new = r * g[:, 2 * h :]
-            new += x[t, :, 2 * h :]
-            np.tanh(new, out=new)
-            state = before - new
-            state *= z
-            state += new
-            states[t] = state
-            cache.append((before, g[:, 2 * h :], z, r, new))
-        return states, cache, state
+            before = now * ~fresh[t] if fresh is not None and fresh[t].any() else now
+            x = np.ascontiguousarray(table.take(inputs[t], axis=0).T)
+            g = u @ before
+            x[: 2 * h] += g[: 2 * h]
+            zr = _sigmoid(x[: 2 * h])
+            z, r, new = zr[:h], zr[h:], x[2 * h :]
+            new += r * g[2 * h :]
+            _tanh(new)
+            now = before - new
+            now *= z
+            now += new
+            states[t] = now.T
+            cache.append((before, g[2 * h :], z, r, new))
+        return states, cache, now.T
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: "Recurrent | None" = None):
         """Natural log probabilities of the targets after each state; with ``grads``, also the gradient of their sum over the states."""
-        c, k = targets // self.side, targets % self.side
+        c = self.class_of[targets]
         logits = states @ self.wc
         logits += self.bc
         p, total, logp = _weights(logits, c)
-        rows = np.arange(len(targets))
         back = None
         if grads is not None:
             p /= -total[:, None]
-            p[rows, c] += 1
+            p[np.arange(len(targets)), c] += 1
             grads.wc += states.T @ p
-            grads.bc += p.sum(axis=0)
+            grads.bc += np.ones(len(p), np.float32) @ p
             back = p @ self.wc.T
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(self.side + 1))
-        for j in range(self.side):
-            own = order[ends[j] : ends[j + 1]]
-            if not len(own):
+        # Class after class; number 0 comes first and is alone in its class.
+        ends = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(self.words)))])
+        order = np.argsort(c, kind="stable")[ends[1] :]
+        ends -= ends[1]
+        k = targets[order] - self.limits[c[order]]
+        sorted_states = states.take(order, axis=0)
+        found = np.zeros(len(order), logp.dtype)
+        behind = np.zeros_like(sorted_states) if grads is not None else None
+        for j in range(1, len(self.words)):
+            a, b = ends[j], ends[j + 1]
+            if a == b:
                 continue
-            s, picked = states[own], k[own]
-            logits = s @ self.ww[j]
-            logits += self.bw[j]
-            p, total, found = _weights(logits, picked)
-            logp[own] += found
+            s, picked, (weights, offsets) = sorted_states[a:b], k[a:b], self.words[j]
+            logits = s @ weights
+            logits += offsets
+            p, total, found[a:b] = _weights(logits, picked)
             if grads is not None:
                 p /= -total[:, None]
-                p[np.arange(len(own)), picked] += 1
-                grads.ww[j] += s.T @ p
-                grads.bw[j] += p.sum(axis=0)
-                back[own] += p @ self.ww[j].T
+                p[np.arange(b - a), picked] += 1
+                own, own_offsets = grads.words[j]
+                own += s.T @ p
+                own_offsets += np.ones(len(p), np.float32) @ p
+                np.matmul(p, weights.T, out=behind[a:b])
+        logp[order] += found
+        if grads is not None:
+            back[order] += behind
         return logp, back
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, state: np.ndarray, grads: "Recurrent"):
@@ -271,31 +316,42 @@ class Recurrent:
         _, back = self.output(states.reshape(n * lanes, h), targets.reshape(-1), grads)
         back = back.reshape(n, lanes, h)
         dx = np.empty((n, lanes, 3 * h), np.float32)
-        carried = np.zeros((lanes, h), np.float32)
+        carried = np.zeros((h, lanes), np.float32)
         for t in range(n - 1, -1, -1):
             before, g, z, r, new = cache[t]
-            d = back[t] + carried
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dn * g * r * (1 - r)
-            dx[t, :, :h], dx[t, :, h : 2 * h], dx[t, :, 2 * h :] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            grads.u += before.T @ dg
-            carried = d * z + dg @ self.u.T
+            d = back[t].T + carried
+            dg = np.empty((3 * h, lanes), np.float32)
+            dz, dr, dn = dg[:h], dg[h : 2 * h], dg[2 * h :]
+            rest = 1 - z
+            np.multiply(d, rest, out=dn)
+            dn *= 1 - new * new
+            np.multiply(before - new, d, out=dz)
+            dz *= z
+            dz *= rest
+            np.multiply(dn, g, out=dr)
+            dr *= r
+            dr *= 1 - r
+            dx[t] = dg.T
+            dn *= r
+            grads.u += before @ dg.T
+            carried = self.u @ dg
+            d *= z
+            carried += d
             if fresh[t].any():
-                carried = carried * ~fresh[t][:, None]
+                carried *= ~fresh[t]
         flat = dx.reshape(-1, 3 * h)
         # Sum the gradients of equal inputs once, then go through the embedding.
-        order = np.argsort(inputs.reshape(-1), kind="stable")
-        ordered = inputs.reshape(-1)[order]
+        words = inputs.reshape(-1)
+        order = np.argsort(words.astype(np.uint16) if len(self.embed) <= 1 << 16 else words, kind="stable")
+        ordered = words[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        per_word, words = np.add.reduceat(flat[order], first, axis=0), ordered[first]
+        per_word, words = np.add.reduceat(flat.take(order, axis=0), first, axis=0), ordered[first]
         grads.b += per_word.sum(axis=0)
         grads.w += self.embed[words].T @ per_word
         grads.embed[words] += per_word @ self.w.T
         return after
 
-    def text_scores(self, tokens: np.ndarray, starts: np.ndarray, end: int, lanes: int = 1024) -> np.ndarray:
+    def text_scores(self, tokens: np.ndarray, starts: np.ndarray, end: int, lanes: int = LANES) -> np.ndarray:
         """Natural log probability of each text's tokens, its whole length through, the state carried from window to window."""
         n = len(starts) - 1
         sizes = np.diff(starts)
@@ -351,8 +407,8 @@ def train_part(vocabulary: Vocabulary, start: np.ndarray, chunk: int, rate: floa
         grads = Recurrent(grad, vocabulary.side)
         seen = 0
         for part in batches_of(batches, "text", chunk):
-            hashes, starts = token_hashes(part["text"].combine_chunks())
-            tokens = vocabulary.numbers(hashes)
+            own, codes, starts = token_codes(part["text"].combine_chunks())
+            tokens = vocabulary.numbers(own)[codes]
             n = len(tokens)
             if not n:
                 continue
@@ -460,22 +516,22 @@ def score_part(vocabulary: Vocabulary, flat: np.ndarray, chunk: int):
                 words, counts = (np.concatenate([x, *y]) for x, y in zip((words, counts), zip(*packs)))
                 order = np.argsort(words)
                 words, counts, packs = words[order], counts[order], []
-            hashes, starts = token_hashes(part["text"].combine_chunks())
+            own, codes, starts = token_codes(part["text"].combine_chunks())
+            c = np.zeros(len(own), np.int64)
             if len(words):
-                at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                c = np.where(words[at] == hashes, counts[at], 0)
-            else:
-                c = np.zeros(len(hashes), np.int64)
-            base = np.log10((c + 1.0) / (vocabulary.train_tokens + vocabulary.train_words + 1.0))
-            tokens = vocabulary.numbers(hashes)
-            found = model.text_scores(tokens, starts, vocabulary.end) / np.log(10)
-            found += np.where(tokens == 0, np.log10((c + 1.0) / (vocabulary.other_tokens + vocabulary.other_words + 1.0)), 0)
+                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                c = np.where(words[at] == own, counts[at], 0)
+            numbers = vocabulary.numbers(own)
+            base = np.log10((c + 1.0) / (vocabulary.train_tokens + vocabulary.train_words + 1.0))[codes]
+            shared_out = np.where(numbers == 0, np.log10((c + 1.0) / (vocabulary.other_tokens + vocabulary.other_words + 1.0)), 0)
+            found = model.text_scores(numbers[codes], starts, vocabulary.end) / np.log(10) + shared_out[codes]
+            known = (c > 0)[codes].astype(np.int64)
             n = part.num_rows
             columns = [
                 part["doc_id"].combine_chunks(),
                 part["held_out"].combine_chunks(),
                 pa.array(np.diff(starts)),
-                pa.array(np.add.reduceat((c > 0).astype(np.int64), starts[:-1])),
+                pa.array(np.add.reduceat(known, starts[:-1])),
                 pa.array(np.full(n, vocabulary.train_tokens)),
                 pa.array(np.add.reduceat(base, starts[:-1])),
                 pa.array(np.add.reduceat(found, starts[:-1])),
