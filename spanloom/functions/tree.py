@@ -37,7 +37,7 @@ _STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f
 # the character before it: the end of another value and a comma, an opening
 # bracket, or nothing.  So commas are checked here, and brackets by the fold.
 _VALUE = r'\G(?:(?:(?<=[\]}"l]),|(?<=\[)|\A)(?:' + _STRING + r'|\{"type":' + _STRING + r',"fields":\[|null|\['
-_WRITER_TOKEN = _VALUE + r")|\]\}?+)"
+_WRITER_TOKEN = _VALUE + r")|(?:\]\}?+)++)"
 _ANY_TOKEN = _VALUE + r'|\{"fields":\[)|\],"type":' + _STRING + r"\}|\]\}?+)"
 # Blanks of JSON stand beside punctuation or at the ends.
 _SPACED = "(" + _STRING + r")|[ \t\r\n]*+([\[\]{},:])[ \t\r\n]*+"
@@ -66,35 +66,44 @@ def _as(value: object, type_: str) -> Expr:
     return S.lit(value).cast(type_)
 
 
-def _standing(stem: object, index: object, seen: object) -> Expr:
+def _standing(stem: object, index: object, seen: object, **more: object) -> Expr:
+    texts = {name: _as(value, "string") for name, value in more.items()}
     return S.struct(
-        stem=_as(stem, "string"), index=_as(index, "int"), seen=_as(seen, "string")
+        stem=_as(stem, "string"), index=_as(index, "int"), seen=_as(seen, "string"), **texts
     )
 
 
+def _number(index: Expr) -> Expr:
+    """An index cut out of an address; none outside the root.  A cast that fails costs as much as the rest of a line."""
+    return S.nullif(index, "").cast("int")
+
+
 def _up(at: Expr, seen: Expr) -> Expr:
     """Leave the current node: "3.2." becomes "3." and 2; the root has no index."""
     parent = S.left(at["stem"], S.length(at["stem"]) - 1)
     index = S.substring_index(parent, ".", -1)
     stem = S.left(parent, S.length(parent) - S.length(index))
     outermost = _standing("", S.lit(None), S.when(at["index"].is_not_null(), seen))
-    return S.when(at["stem"] == "", outermost).otherwise(_standing(stem, index.try_cast("int"), seen))
+    return S.when(at["stem"] == "", outermost).otherwise(_standing(stem, _number(index), seen))
 
 
 #: Steps whose addresses are put together before they join those seen so far.
 _BLOCK = 64
 
 
-def _folded(tokens: Expr, start: Expr, step: Callable[[Expr, Expr], Expr]) -> Expr:
+def _folded(tokens: Expr, start: Expr, step: Callable[[Expr, Expr], Expr], *more: str) -> Expr:
     """Fold all tokens but the first; the addresses seen, NULL when not all is closed in the end.
 
+    ``more`` names what is carried beside stem, index and addresses.
+
     Every step copies the addresses it adds to.  Blocks keep what is copied
     short, so that a line costs about the length of its addresses.
     """
 
     def block(at: Expr, number: Expr) -> Expr:
-        inner = S.aggregate(S.slice(tokens, number * _BLOCK + 2, S.lit(_BLOCK)), _standing(at["stem"], at["index"], ""), step)
-        return let(inner, lambda b: _standing(b["stem"], b["index"], S.concat(at["seen"], b["seen"])))
+        carried = lambda b: {name: b[name] for name in more}
+        inner = S.aggregate(S.slice(tokens, number * _BLOCK + 2, S.lit(_BLOCK)), _standing(at["stem"], at["index"], "", **carried(at)), step)
+        return let(inner, lambda b: _standing(b["stem"], b["index"], S.concat(at["seen"], b["seen"]), **carried(b)))
 
     last = Expr(f"(greatest(size({tokens.text}) - 2, 0) DIV {_BLOCK})")
     return S.aggregate(S.sequence(S.lit(0), last), start, block, lambda at: S.when(at["index"].is_null(), at["seen"]))
@@ -140,15 +149,18 @@ def _unescape_all(text: Expr, names: Expr) -> Expr:
     return S.when(text.contains("\\"), S.transform(names, unescape)).otherwise(names)
 
 
-#: What ends the stem while in an object, an array, or an object whose name comes last; its closing token has to agree.
+#: Kinds of open brackets: an object, an array, an object whose name comes last.  What closes one has to agree.
 _OBJECT, _ARRAY, _LATE = ".", ";", ":"
 
 
 def _json_fold(tokens: Expr, late: bool) -> Expr:
     """Addresses of all tokens that begin a node, NULL if brackets do not match.
 
-    With ``late``, objects may have their name behind their children; what
-    closes one is then noted as "!" and its stem.
+    The kinds of the open brackets, innermost first, are carried beside the
+    stem, so that addresses are put together as they are in the end.  A token
+    may close several brackets.  With ``late``, objects may have their name
+    behind their children, each token closes one bracket, and what closes one
+    is noted as "!" and its stem.
     """
 
     def kind(token: Expr) -> Expr:
@@ -158,44 +170,46 @@ def _json_fold(tokens: Expr, late: bool) -> Expr:
         return opened.when(token.startswith('{"type":'), _OBJECT)
 
     def closes(token: Expr) -> Expr:
-        closed = S.when(token == "]}", _OBJECT).when(token == "]", _ARRAY)
-        return closed.otherwise(_LATE) if late else closed
+        closed = S.replace(S.replace(token, "]}", _OBJECT), "]", _ARRAY)
+        return S.when(token.startswith('],"type":'), _LATE).otherwise(closed) if late else closed
 
-    def up(at: Expr, token: Expr) -> Expr:
+    def up(at: Expr, closed: Expr) -> Expr:
         seen = S.concat(at["seen"], ",!", at["stem"]) if late else at["seen"]
-        matching = S.when(at["stem"].endswith(closes(token)), seen)
-        parent = S.left(at["stem"], S.length(at["stem"]) - 1)
-        index = S.substring_index(_one_mark(parent), ".", -1)
-        stem = S.left(parent, S.length(parent) - S.length(index))
-        return _standing(stem, index.try_cast("int"), matching)
+        matching = S.when(at["kinds"].startswith(closed), seen)
+        # From the index of the last node that is closed on.
+        tail = S.substring_index(at["stem"], ".", S.lit(-1) - S.length(closed))
+
+        def left(open_: Expr) -> Expr:
+            stem = S.left(at["stem"], S.length(at["stem"]) - S.length(open_["tail"]))
+            index = _number(S.substring_index(open_["tail"], ".", 1))
+            outermost = _standing("", S.lit(None), matching, kinds="")
+            return S.when(open_["kinds"] == "", outermost).otherwise(_standing(stem, index, matching, kinds=open_["kinds"]))
+
+        return let(S.struct(kinds=S.substring(at["kinds"], S.length(closed) + 1), tail=tail), left)
 
     def step(at: Expr, token: Expr) -> Expr:
-        leaf = _standing(at["stem"], at["index"] + 1, _noted(at, _next(at)))
-        down = _standing(S.concat(at["stem"], _next(at), kind(token)), 0, _noted(at, _next(at)))
+        leaf = _standing(at["stem"], at["index"] + 1, _noted(at, _next(at)), kinds=at["kinds"])
+        stem = S.concat(at["stem"], _next(at), ".")
+        down = _standing(stem, 0, _noted(at, _next(at)), kinds=S.concat(kind(token), at["kinds"]))
         # Most tokens are strings, so these are told apart first.
         return (
             S.when(token.startswith('"') | (token == "null"), leaf)
-            .when(token.startswith("]"), up(at, token))
+            .when(token.startswith("]"), let(closes(token), lambda closed: up(at, closed)))
             .otherwise(down)
         )
 
     first = S.get(tokens, 0)
     # A leaf at the root is over at once; what closes nothing cannot come first.
     start = (
-        S.when(first.startswith('"') | (first == "null"), _standing("", S.lit(None), ""))
-        .when(first.startswith("]"), _standing("", S.lit(None), S.lit(None)))
-        .otherwise(_standing(kind(first), 0, ""))
+        S.when(first.startswith('"') | (first == "null"), _standing("", S.lit(None), "", kinds=""))
+        .when(first.startswith("]"), _standing("", S.lit(None), S.lit(None), kinds=""))
+        .otherwise(_standing("", 0, "", kinds=kind(first)))
     )
-    return _folded(tokens, start, step)
-
-
-def _one_mark(stem: Expr) -> Expr:
-    return S.replace(S.replace(stem, _ARRAY, _OBJECT), _LATE, _OBJECT)
+    return _folded(tokens, start, step, "kinds")
 
 
-def _plain_addresses(seen: Expr) -> Expr:
-    """Addresses without the mark of the root and the kinds of brackets."""
-    return S.split(S.replace(_one_mark(seen), ",.", ","), ",", -1)
+def _addresses(seen: Expr) -> Expr:
+    return S.split(seen, ",", -1)
 
 
 def _tokens(text: Expr, pattern: str, body: Callable[[Expr], Expr]) -> Expr:
@@ -230,7 +244,7 @@ def _from_writer_order(text: Expr) -> Expr:
         names = S.transform(S.filter(tokens, lambda t: ~t.startswith("]")), name)
         return let(
             _json_fold(tokens, late=False),
-            lambda seen: S.when(seen.is_not_null(), _tree(_plain_addresses(seen), _unescape_all(text, names))),
+            lambda seen: S.when(seen.is_not_null(), _tree(_addresses(seen), _unescape_all(text, names))),
         )
 
     return _tokens(text, _WRITER_TOKEN, build)
@@ -242,7 +256,7 @@ def _from_any_order(text: Expr) -> Expr:
     def build(tokens: Expr) -> Expr:
         def finish(seen: Expr) -> Expr:
             def name(address: Expr, token: Expr) -> Expr:
-                note = S.concat("!.", S.when(address != "", S.concat(address, ".")).otherwise(""))
+                note = S.concat("!", S.when(address != "", S.concat(address, ".")).otherwise(""))
                 close = S.get(tokens, S.array_position(seen, note).cast("int") - 1)
                 return (
                     S.when(token == "null", token)
@@ -258,7 +272,7 @@ def _from_any_order(text: Expr) -> Expr:
             )
             return let(nodes, lambda n: _tree(n["path"], _unescape_all(text, n["name"])))
 
-        return let(_json_fold(tokens, late=True), lambda seen: S.when(seen.is_not_null(), let(_plain_addresses(seen), finish)))
+        return let(_json_fold(tokens, late=True), lambda seen: S.when(seen.is_not_null(), let(_addresses(seen), finish)))
 
     return _tokens(text, _ANY_TOKEN, build)
 

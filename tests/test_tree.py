@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from spanloom.functions import (
     S,
     debug_text,
@@ -22,6 +23,7 @@ from spanloom.functions import (
     tree_from_text_shallow,
     update,
 )
+from spanloom.functions.tree import _WRITER_TOKEN
 
 from samples import DEEP, HOLLOW, MALFORMED, TYPICAL, evaluate, rows, trees
 
@@ -276,6 +278,21 @@ def test_json_without_limits(spark):
     assert tuple(made.first()) == (25_000_000, 12_500_000, "2.1")
 
 
+def test_json_steps(spark):
+    """Brackets that close together are one step, whatever they close; no step tries a cast that fails."""
+    assert "try_cast" not in tree_from_json("line").text
+    depth = 40
+    deep = '{"type":"d","fields":["s",[' * depth + '"x"' + "]]}" * depth
+    frame = spark.createDataFrame([(deep,)], "line string")
+    assert frame.select(F.size(S.regexp_extract_all(S.col("line"), _WRITER_TOKEN, 0).column)).first()[0] == 3 * depth + 2
+    mixed = '{"type":"T","fields":["a",[["b",{"type":"U","fields":[["c"]]}],[]],"d"]}'
+    good, *bad = decode(spark, mixed, mixed.replace('"c"]]}]', '"c"]]]}'), mixed + "]}", mixed[:-2], mixed + ',"e"')
+    assert list(zip(good.path, good.name)) == [
+        ("", "T"), ("1", "a"), ("2", ""), ("2.1", ""), ("2.1.1", "b"), ("2.1.2", "U"), ("2.1.2.1", ""), ("2.1.2.1.1", "c"), ("2.2", ""), ("3", "d"),
+    ]
+    assert bad == [None] * 4
+
+
 def test_json_long_and_wide(spark):
     long = "x\\\"" * 200_000
     wide = ",".join(['"w"'] * 3000)
