@@ -13,6 +13,7 @@ from spanloom.plans import TraceConfig, dump_trace, open_traces, process_trace,
 from spanloom.sources import decode_events, read_lines, read_result, store
 
 from samples import rows
+from workload.adapter import ROWS, dealt, event_rows, tasks_for
 
 LOOP = "org.apache.spark.scheduler.DAGSchedulerEventProcessLoop.doOnReceive(Event)"
 
@@ -189,3 +190,14 @@ def test_contract(spark):
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["start", "end", "location", "content"]
+
+
+def test_rows_are_dealt_by_their_number(spark, tmp_path):
+    """A long table in few splits gives as many tasks as it has rows for, so that no task grows with the table."""
+    rows = 9 * ROWS
+    made = "id AS event_id, id % 7 AS user_id, 'click' AS event_type, timestamp_ntz'2024-01-01' AS ts, 1D AS value, '{\"k\": 1}' AS props"
+    spark.range(rows).coalesce(8).selectExpr(*made.split(", ")).write.parquet(f"{tmp_path}/events.parquet")
+    table = spark.read.parquet(f"{tmp_path}/events.parquet")
+    assert event_rows(spark, str(tmp_path)).rdd.getNumPartitions() == tasks_for(table) == max(spark.sparkContext.defaultParallelism, 9)
+    many = spark.range(100).repartition(20)
+    assert dealt(many, 10).rdd.getNumPartitions() == 20 and dealt(many, 3).rdd.getNumPartitions() == 34

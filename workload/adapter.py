@@ -8,6 +8,7 @@ Spark and DuckDB read; the engine gets the JSON text, the checks get the leaves.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,21 +103,34 @@ def json_sql(tree) -> str:
     return f"""'"' || {text} || '"'"""
 
 
-def dealt(frame: DataFrame) -> DataFrame:
-    """A table with at least as many splits as there are cores.
+#: Most rows of ``events`` for one task; a row is decoded in some tenths of a millisecond.
+ROWS = 50_000
 
-    The work per row is more than its few bytes suggest, so a small table in
-    one file is dealt out, by a number that adaptive execution leaves alone.
-    One with splits enough is not shuffled.
+
+def tasks_for(frame: DataFrame, rows: int = ROWS) -> int:
+    """Tasks that get so many rows each, and at least one a core; Parquet counts its rows without reading them."""
+    return max(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(frame.count() / rows))
+
+
+def dealt(frame: DataFrame, rows: int = ROWS) -> DataFrame:
+    """A table with at least as many splits as there are cores, and as keep each at so many rows.
+
+    The work per row is more than its few bytes suggest, so a table whose
+    splits are too few or too long is dealt out, by a number that adaptive
+    execution leaves alone.  One with splits enough is not shuffled.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    tasks = tasks_for(frame, rows)
+    return frame if frame.rdd.getNumPartitions() >= tasks else frame.repartition(tasks)
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the columns the templates use; ``ms`` reads ``ts`` as UTC."""
+    return _columns(dealt(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def _columns(events: DataFrame) -> DataFrame:
     wall = "from_utc_timestamp(cast(ts AS timestamp), current_timezone())"
-    return dealt(spark.read.parquet(f"{sf_dir}/events.parquet")).select(
+    return events.select(
         "event_id",
         "user_id",
         "event_type",
@@ -129,11 +143,13 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trace_lines(spark: SparkSession, sf_dir: str, services: bool = True) -> DataFrame:
     """``(trace_id, line)``: a line per event and four per user."""
-    events = event_rows(spark, sf_dir)
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events, read = event_rows(spark, sf_dir), _columns(table)
     if not services:
-        events = events.filter("event_type != 'signup'")
+        events, read = (e.filter("event_type != 'signup'") for e in (events, read))
     whens = " ".join(f"WHEN {condition} THEN {json_sql(envelope(body))}" for _n, condition, body in BODIES)
     own = events.select("trace_id", F.expr(f"CASE {whens} END").alias("line"))
-    jvms = events.groupBy("trace_id", "user_id").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    # Times of JVMs need no dealing; what is decoded per JVM does.
+    jvms = read.groupBy("trace_id", "user_id").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi")).repartition(tasks_for(table))
     lives = F.array(*[F.expr(json_sql(envelope(body, time))) for _n, time, body in JVM_BODIES])
     return own.unionByName(jvms.select("trace_id", F.explode(lives).alias("line")))

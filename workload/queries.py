@@ -38,6 +38,8 @@ from .adapter import TRACES, dealt, event_rows, trace_lines
 
 #: Levels of the lines of ``deep_decode``: objects, each around an array.
 DEEP = 300
+#: Most of them for one task; one holds nine hundred addresses of half a megabyte in all.
+DEEP_ROWS = 1000
 
 _KEPT: dict[tuple, DataFrame] = {}
 
@@ -82,7 +84,7 @@ def trace_decode(spark, sf_dir):
 
 def deep_decode(spark, sf_dir):
     """Lines 600 levels deep: objects around arrays around the name of a supplier."""
-    suppliers = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    suppliers = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet"), DEEP_ROWS)
     line = f"""concat(repeat('{{"type":"d","fields":["a",[', {DEEP}), '"', s_name, '"', repeat(']]}}', {DEEP}))"""
     tree = tree_from_json(Expr(line))
     made = suppliers.select("s_suppkey", F.explode(F.array(tree.column)).alias("t"))
