@@ -217,10 +217,8 @@ def case_parse(
     # linear in the number of steps, and most events pass a step untouched.
     for step in _steps(compiled):
         hits = [(rule.matches(state["tree"]), rule.value) for rule in step]
-        wanted = S.filter(
-            S.flatten(S.array(*[_where(hit, [path.node for path in paths]) for hit, paths in hits])),
-            lambda node: node.is_not_null(),
-        )
+        # No lambda around the conditions: what a lambda reads is interpreted, this is generated code.
+        wanted = S.concat(S.array().cast("array<string>"), *[_where(hit, [path.node for path in paths]) for hit, paths in hits])
 
         def parse(acc: Expr, node: Expr) -> Expr:
             if strict:

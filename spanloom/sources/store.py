@@ -39,6 +39,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Most rows in a file of a kept table.  Spark counts each file it opens as some megabytes
+#: (``spark.sql.files.openCostInBytes``), so the rows of a split that reads the table are bounded as well.
+FILE_ROWS = 12_500
+
+
 def keep(frame: DataFrame, *order: str) -> DataFrame:
     """Compute an intermediate table once, for all that is made from it.
 
@@ -46,12 +51,13 @@ def keep(frame: DataFrame, *order: str) -> DataFrame:
     costs no recomputation of what came before, and the planner knows the true
     size of the table, so it broadcasts small ones by its own threshold and no
     others.  Rows are put in ``order`` within each task, so statistics of row
-    groups let a reader skip what it does not want; data never decides on names
-    or numbers of files.  :func:`release` deletes what is no longer needed.
+    groups let a reader skip what it does not want.  Files are short, as a few
+    compressed bytes of a tree are much work for who reads them: a split never
+    grows with the table.  :func:`release` deletes what is no longer needed.
     """
     spark = frame.sparkSession
     target = f"{shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
-    (frame.sortWithinPartitions(*order) if order else frame).write.parquet(target)
+    (frame.sortWithinPartitions(*order) if order else frame).write.option("maxRecordsPerFile", FILE_ROWS).parquet(target)
     made = spark.read.schema(frame.schema).parquet(target)
     made._kept_at = target
     return made

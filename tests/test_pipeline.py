@@ -9,11 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from spanloom.functions import tree_from_json
+from spanloom.operators.rules import case_parse
 from spanloom.plans import TraceConfig, dump_trace, open_traces, process_trace, run
 from spanloom.sources import decode_events, read_lines, read_result, store
 
 from samples import rows
 from workload.adapter import ROWS, dealt, event_rows, tasks_for
+from workload.queries import QUERIES, _KEPT, prepared
 
 LOOP = "org.apache.spark.scheduler.DAGSchedulerEventProcessLoop.doOnReceive(Event)"
 
@@ -201,3 +204,39 @@ def test_rows_are_dealt_by_their_number(spark, tmp_path):
     assert event_rows(spark, str(tmp_path)).rdd.getNumPartitions() == tasks_for(table) == max(spark.sparkContext.defaultParallelism, 9)
     many = spark.range(100).repartition(20)
     assert dealt(many, 10).rdd.getNumPartitions() == 20 and dealt(many, 3).rdd.getNumPartitions() == 34
+
+
+def test_files_of_kept_tables_are_short(spark):
+    """A task that writes many rows writes several files, so that no split of the table grows with it."""
+    rows = 2 * store.FILE_ROWS + 1
+    table = store.keep(spark.range(rows).coalesce(1))
+    per_file = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+    assert sorted(per_file) == [1, store.FILE_ROWS, store.FILE_ROWS]
+
+
+def test_conditions_of_case_parsing_are_generated_code(spark):
+    """No lambda stands around the conditions: what a lambda reads is interpreted, and every event is checked."""
+    line = json.dumps(tree("Tuple3", "a", "1", tree("Fn", "k.f(int)", tree("Args", tree("Begin", "T(1)")))), separators=(",", ":"))
+    raw = spark.createDataFrame([(line,)], "line string").select(F.explode(F.array(tree_from_json("line").column)).alias("tree"))
+    done = case_parse(raw, {"3.0 = Fn": {"default": ["3.1"], "3.2.1.0 in Begin, End": ["3.2.1.1"], "3.1.0 = none": ["3.2"]}})
+    assert done.select("tree.name").first().name == ["Tuple3", "a", "1", "Fn", "k.f", "int", "Args", "Begin", "T", "1"]
+    checks = [p for p in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if " AS _wanted#" in p]
+    assert checks and not any("lambda" in p for p in checks)
+
+
+@pytest.fixture(scope="module")
+def spans_of_one_user(spark, tmp_path_factory):
+    """Span 7-1 starts twice and ends three times, 7-2 only starts, one without a number does both."""
+    folder = str(tmp_path_factory.mktemp("spans"))
+    kinds = [("view", 1), ("view", 1), ("view", 2), ("view", None), ("purchase", 1), ("purchase", 1), ("purchase", 1), ("purchase", None)]
+    made = [(i, 7, kind, f"2024-01-01 00:00:0{i}", 1.0, "{}" if k is None else f'{{"k": {k}}}') for i, (kind, k) in enumerate(kinds)]
+    table = spark.createDataFrame(made, "event_id long, user_id long, event_type string, ts string, value double, props string")
+    table.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_rules_read_what_was_decoded(spark, spans_of_one_user):
+    """Trees are written as decoded and with the rules applied, and not once more in between."""
+    assert prepared(spark, spans_of_one_user).filter("kept").count() > 0
+    mine = [key[2] for key in _KEPT if key[1] == spans_of_one_user]
+    assert "prepared" in mine and "events" not in mine

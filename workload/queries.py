@@ -52,14 +52,22 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return _KEPT[key]
 
 
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded events as they were written, for a query that reads them once: decoding is kept, their time is counted as they are read."""
+    key = (spark.sparkContext.applicationId, sf_dir, "written")
+    if key not in _KEPT:
+        _KEPT[key] = base_events(trace_lines(spark, sf_dir))
+    return _KEPT[key]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded events as they were written."""
-    return once(spark, sf_dir, "events", lambda: base_events(trace_lines(spark, sf_dir)))
+    """The same as a kept table."""
+    return once(spark, sf_dir, "events", lambda: written(spark, sf_dir))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events after case parsing, with the verdict of the filters."""
-    made = lambda: prepare(events(spark, sf_dir), TraceConfig())
+    made = lambda: prepare(written(spark, sf_dir), TraceConfig())
     return once(spark, sf_dir, "prepared", made, "kept", "kind")
 
 
