@@ -240,3 +240,11 @@ def test_rules_read_what_was_decoded(spark, spans_of_one_user):
     assert prepared(spark, spans_of_one_user).filter("kept").count() > 0
     mine = [key[2] for key in _KEPT if key[1] == spans_of_one_user]
     assert "prepared" in mine and "events" not in mine
+
+
+def test_span_pair_reads_trees_once(spark, spans_of_one_user):
+    """Starts and ends come from one kept table of marks; every start meets every end."""
+    pairs = QUERIES["span_pair"](spark, spans_of_one_user)
+    assert "tree" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    found = Counter((r.span_id, r.start, r.end) for r in pairs.collect() if r.span_id != "jvm7")
+    assert found == Counter(("7-1", start, end) for start in (0, 1000) for end in (4000, 5000, 6000))

@@ -345,7 +345,8 @@ def span_length_calls(spark, sf_dir):
 
 
 def span_pair(spark, sf_dir):
-    marks = stats.span_marks(events(spark, sf_dir).withColumn("kind", name_at("tree", "3.0").column))
+    # Kept, as starts and ends would each count and read the trees again.
+    marks = keep(stats.span_marks(written(spark, sf_dir).withColumn("kind", name_at("tree", "3.0").column)))
     starts = marks.filter("opens").select("trace_id", "span_id", "uuid", F.col("ts").alias("start"))
     ends = marks.filter("NOT opens").select("trace_id", "span_id", F.col("ts").alias("end"))
     return span_pairs(starts, ends)
