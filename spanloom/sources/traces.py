@@ -96,6 +96,8 @@ def relative_time(events: DataFrame, starts: DataFrame) -> DataFrame:
     """
     joined = events.join(F.broadcast(starts), "trace_id", "left").withColumn("ts", F.col("ts") - F.col("trace_start"))
     # The tree carries the time as well; exploded so that filters do not copy the update.
+    # It is made before it is exploded, as a projection is generated code and a generator is not.
     retimed = rename_leaf("tree", 2, S.col("ts").cast("string"))
     rest = [name for name in events.columns if name != "tree"]
-    return joined.select(*rest, F.explode(S.array(retimed).column).alias("tree"))
+    made = joined.select(*rest, retimed.column.alias("_tree"))
+    return made.select(*rest, F.explode(F.array("_tree")).alias("tree"))

@@ -12,7 +12,7 @@ import __spark_entry__
 from spanloom.functions import tree_from_json
 from spanloom.operators.rules import case_parse
 from spanloom.plans import TraceConfig, dump_trace, open_traces, process_trace, run
-from spanloom.sources import decode_events, read_lines, read_result, store
+from spanloom.sources import decode_events, read_lines, read_result, relative_time, store, trace_starts
 
 from samples import rows
 from workload.adapter import ROWS, dealt, event_rows, tasks_for
@@ -248,3 +248,13 @@ def test_span_pair_reads_trees_once(spark, spans_of_one_user):
     assert "tree" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     found = Counter((r.span_id, r.start, r.end) for r in pairs.collect() if r.span_id != "jvm7")
     assert found == Counter(("7-1", start, end) for start in (0, 1000) for end in (4000, 5000, 6000))
+
+
+def test_trees_get_their_time_in_generated_code(spark):
+    """The tree is made in a projection; a generator would interpret what makes it."""
+    line = json.dumps(tree("Tuple3", "a", "40", tree("MainEnd")), separators=(",", ":"))
+    events = decode_events(spark.createDataFrame([(0, line), (0, line.replace("40", "55"))], "trace_id int, line string"), "DROPMALFORMED")
+    done = relative_time(events, trace_starts(events))
+    assert sorted(r.name for r in done.select("tree.name").collect()) == [["Tuple3", "a", "0", "MainEnd"], ["Tuple3", "a", "15", "MainEnd"]]
+    steps = done._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("slice(" in p for p in steps) and not any("slice(" in p for p in steps if "Generate " in p)
