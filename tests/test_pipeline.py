@@ -253,7 +253,8 @@ def test_span_pair_reads_trees_once(spark, spans_of_one_user):
 def test_trees_get_their_time_in_generated_code(spark):
     """The tree is made in a projection; a generator would interpret what makes it."""
     line = json.dumps(tree("Tuple3", "a", "40", tree("MainEnd")), separators=(",", ":"))
-    events = decode_events(spark.createDataFrame([(0, line), (0, line.replace("40", "55"))], "trace_id int, line string"), "DROPMALFORMED")
+    lines = spark.createDataFrame([(0, line), (0, line.replace("40", "55"))], "trace_id int, line string")
+    events = store.keep(decode_events(lines, "DROPMALFORMED"))
     done = relative_time(events, trace_starts(events))
     assert sorted(r.name for r in done.select("tree.name").collect()) == [["Tuple3", "a", "0", "MainEnd"], ["Tuple3", "a", "15", "MainEnd"]]
     steps = done._jdf.queryExecution().optimizedPlan().toString().splitlines()
